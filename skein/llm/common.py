@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: The white space of the contracts: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\f\r"
+#: Stands for a null id where ids are compared.
+NO_ID = (1 << 63) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -41,9 +43,14 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def ids_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id``, ``th`` (a hash of the text: with doc_id it names a row's content) and ``text`` as bytes, null as empty."""
+    """``doc_id`` (null as NO_ID), ``th`` (a hash of the text: with doc_id it names a row's content) and ``text`` as bytes, null as empty."""
     text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
-    return docs.select(docs[f"`{id_col}`"].cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
+    return docs.select(F.coalesce(docs[f"`{id_col}`"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
+
+
+def with_null_ids(df: DataFrame) -> DataFrame:
+    """``df`` with NO_ID as null again."""
+    return df.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
 def held_out(doc_id: Column | str, mod: int, rest: int) -> Column:

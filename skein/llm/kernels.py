@@ -129,7 +129,7 @@ def anchors(values: np.ndarray, k: int, w: int) -> tuple[np.ndarray, ...]:
 
 
 def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     step = np.empty(len(keys), np.int64)
     if len(keys):
         step[0] = 0
@@ -139,14 +139,15 @@ def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, ranks
 
 
-def suffix_order(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order of their first ``length`` symbols, and each position's rank among those prefixes.
+def suffix_order(symbols: np.ndarray, length: int, have: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order of their first ``length`` elements, and each position's rank among those prefixes.
 
-    Prefix doubling: ranks of prefixes of 1, 2, 4, ... symbols; the last step joins two overlapping prefixes, so that
-    exactly ``length`` symbols count. A suffix that is shorter is as if followed by symbols below all others.
+    Prefix doubling: ranks of prefixes of 1, 2, 4, ... elements; the last step joins two overlapping prefixes, so that
+    exactly ``length`` count. A suffix that is shorter is as if followed by elements below all others. ``have``: how many
+    elements each symbol already covers.
     """
-    order, ranks = _ranks(symbols.astype(np.int64))
-    have, n = 1, len(symbols)
+    order, ranks = _ranks(symbols if symbols.dtype == np.uint64 else symbols.astype(np.int64))
+    n = len(symbols)
     while have < length and n:
         step = min(have, length - have)
         if ranks[order[-1]] == n - 1:
@@ -159,6 +160,55 @@ def suffix_order(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     return order, ranks
 
 
+def pack_bytes(data: np.ndarray) -> np.ndarray:
+    """Each position's next seven bytes as one number that sorts as they do; 0 stands past the end, bytes count from 1."""
+    wide, out = np.concatenate([data.astype(np.int64) + 1, np.zeros(6, np.int64)]), np.zeros(len(data), np.int64)
+    for k in range(7):
+        out = out * 257 + wide[k : k + len(data)]
+    return out
+
+
+def previous_smaller(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each place the nearest earlier place with a smaller value, not before ``first`` of it; -1 if there is none."""
+    p = np.arange(len(x)) - 1
+    p[p < first] = -1
+    open_ = np.flatnonzero(p >= 0)
+    while len(open_):
+        open_ = open_[x[p[open_]] >= x[open_]]
+        p[open_] = p[p[open_]]
+        open_ = open_[p[open_] >= first[open_]]
+    p[p < first] = -1
+    return p
+
+
+def previous_factors(order: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each position's first ``length`` elements (those that ranks tell apart) also start earlier, and later.
+
+    These are the longest-previous-factor and longest-next-factor arrays against that length: the previous and the next
+    place in suffix order with a smaller (or larger) position bound the longest match, and a match reaches the length where
+    that place is in the same run of ranks.
+    """
+    n = len(order)
+    earlier, later = np.zeros(n, bool), np.zeros(n, bool)
+    if not n:
+        return earlier, later
+    r = ranks[order]
+    edge = np.concatenate([[True], r[1:] != r[:-1], [True]])
+    at = np.flatnonzero(~(edge[:-1] & edge[1:]))  # members of runs of two or more
+    if not len(at):
+        return earlier, later
+    x, run = order[at], np.cumsum(edge[:-1])[at]
+    begin = np.concatenate([[True], run[1:] != run[:-1]])
+    first = np.maximum.accumulate(np.where(begin, np.arange(len(at)), 0))
+    end = np.concatenate([begin[1:], [True]])
+    back = np.maximum.accumulate(np.where(end[::-1], np.arange(len(at)), 0))
+    for out, y in ((earlier, x), (later, -x)):
+        psv = previous_smaller(y, first)
+        nsv = previous_smaller(y[::-1], back)[::-1]
+        out[x] = (psv >= 0) | (nsv >= 0)
+    return earlier, later
+
+
 def merge_spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of half-open intervals as disjoint maximal ones."""
     if len(starts) == 0:
