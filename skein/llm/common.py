@@ -53,9 +53,9 @@ def with_null_ids(df: DataFrame) -> DataFrame:
     return df.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
-def held_out(doc_id: Column | str, mod: int, rest: int) -> Column:
-    """Whether crc32 of the id as text leaves ``rest``; a null id counts as the empty string."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit(None)).cast("string").cast("binary")) % mod == rest
+def held_out(doc_id: str, mod: int, rest: int) -> Column:
+    """Whether crc32 of the id as text leaves ``rest``; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % mod == rest
 
 
 def bytes_of(column: pa.ChunkedArray | pa.Array) -> Iterator[memoryview]:

@@ -124,7 +124,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def learned(docs: DataFrame) -> Model:
-    return fit(docs.where(~held_out("doc_id", 3, 1) | F.col("doc_id").isNull()))
+    return fit(docs.where(~held_out("doc_id", 3, 1)))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,12 @@ from skein.llm.decontaminate import op8_decontaminate
 from skein.llm.exact_dedup import OP9_SQL, op9_exact_dedup
 from skein.llm.language_id import op10_language_id
 from skein.llm.line_dedup import op5_line_dedup
+from skein.llm.lm_scoring import op1_lm_score
 from skein.llm.mixing import op4_mix_sources
 from skein.llm.ngram_join import op6_ngram_join
 from skein.llm.quality import op2_quality
 from skein.llm.substring_dedup import op7_substring_dedup
 from skein.llm.suffix_dedup import op3_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_suffix_dedup, op4_mix_sources, op5_line_dedup, op6_ngram_join, op7_substring_dedup, op8_decontaminate, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_quality, op3_suffix_dedup, op4_mix_sources, op5_line_dedup, op6_ngram_join, op7_substring_dedup, op8_decontaminate, op9_exact_dedup, op10_language_id)}
 SQL = {"op9_exact_dedup": OP9_SQL}
