@@ -103,3 +103,31 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = stash(docs.select("doc_id", "source", words(F.col("text")).alias("size"), F.lit(1.0).alias("tilt")), "sizes")
     return allocate(rows).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE nth % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, source_size * 2.0::DOUBLE AS top FROM s
+), l AS (
+  SELECT *, sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(top) OVER o, 0) AS remaining, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS open
+  FROM w WINDOW o AS (ORDER BY top / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (
+  SELECT *, remaining * w >= top * open AS is_full, row_number() OVER (ORDER BY top / w, source NULLS LAST) AS place FROM l
+), g AS (
+  SELECT source, source_size, CASE WHEN is_full THEN top ELSE w * min_by(remaining / open, place) FILTER (WHERE NOT is_full) OVER () END AS target FROM f
+), e AS (
+  SELECT d.doc_id, d.source, size, source_size, target, CASE WHEN size > 0 THEN least(2.0::DOUBLE, target * 1.0::DOUBLE / source_size) ELSE 0 END AS expected,
+         (CAST(('0x' || substr(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source
+), q AS (
+  SELECT *, floor(expected) AS whole, CASE WHEN expected > floor(expected) THEN (u / (1 - u)) / ((expected - floor(expected)) / (1 - (expected - floor(expected)))) END AS q FROM e
+), r AS (
+  SELECT *, target - sum(size * whole) OVER (PARTITION BY source) AS need,
+         sum(CASE WHEN q IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY q NULLS FIRST, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS until FROM q
+)
+SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN q IS NOT NULL AND until - size / 2 <= need THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
+"""

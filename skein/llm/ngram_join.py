@@ -113,3 +113,23 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))
     null = lambda c: F.when(F.col(c) != NO_ID, F.col(c)).alias(c)
     return with_null_ids(found).select("doc_id", null("copy_id"), null("class_id"), "n_links", "n_text_links")
+
+
+OP6_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_sort(list_distinct([md5(array_to_string(w[i:i + least(5, len(w)) - 1], ' ')) FOR i IN range(1, len(w) - least(5, len(w)) + 2)])) AS g FROM d WHERE len(w) > 0
+), c AS (
+  SELECT min(doc_id) AS id, any_value(g) AS g, len(any_value(g)) AS n, count(*) AS weight FROM s GROUP BY md5(array_to_string(g, ''))
+), x AS (SELECT id, n, weight, unnest(g) AS h FROM c),
+p AS (
+  SELECT a.id AS a, b.id AS b, any_value(b.weight) AS weight FROM x a JOIN x b ON a.h = b.h AND a.id <> b.id AND a.n * 10 >= b.n * 8 AND b.n * 10 >= a.n * 8
+  GROUP BY a.id, b.id HAVING count(*) * 10 >= 8 * (any_value(a.n) + any_value(b.n) - count(*))
+), r(id, root) AS (SELECT id, id FROM c UNION SELECT p.b, r.root FROM r JOIN p ON p.a = r.id),
+k AS (SELECT id, min(root) AS class_id FROM r GROUP BY 1),
+l AS (SELECT a AS id, count(*) AS texts, sum(weight) AS docs FROM p GROUP BY 1),
+m AS (SELECT s.doc_id, c.id, c.weight FROM s JOIN c ON c.g = s.g)
+SELECT d.doc_id, coalesce(m.id, d.doc_id) AS copy_id, coalesce(class_id, d.doc_id) AS class_id, CAST(coalesce(weight - 1, 0) + coalesce(docs, 0) AS BIGINT) AS n_links, CAST(coalesce(texts, 0) AS BIGINT) AS n_text_links
+FROM d LEFT JOIN m ON m.doc_id = d.doc_id LEFT JOIN k ON k.id = m.id LEFT JOIN l ON l.id = m.id
+"""

@@ -48,3 +48,22 @@ def dedup_words(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", t
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_words(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, i, md5_number(array_to_string(w[i:i + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) AS t(i)
+), c AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS least FROM g) WHERE least < doc_id
+), gone AS (
+  SELECT doc_id, list(DISTINCT p) AS p FROM (SELECT doc_id, unnest(range(i, i + 50)) AS p FROM c) GROUP BY 1
+), v AS (
+  SELECT d.doc_id, w, coalesce(len(p), 0) AS n_removed, p FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id
+), k AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS kept FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d) t
+  WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, unnest(p) AS p FROM gone) z WHERE z.doc_id = t.doc_id AND z.p = t.i) GROUP BY 1
+)
+SELECT v.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM v LEFT JOIN k ON k.doc_id = v.doc_id
+"""

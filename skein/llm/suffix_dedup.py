@@ -48,3 +48,27 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, keep: str = "first",
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_substrings(table(spark, sf_dir, "documents"), LENGTH, "none")
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS x FROM documents
+), w AS (
+  SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, 400)) AS h FROM d, unnest(range(0, n - 199)) AS t(i) WHERE n >= 200
+), c AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM w
+), s AS (
+  SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 AS goes_on FROM c WHERE c > 1
+), g AS (
+  SELECT doc_id, i, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s
+), r AS (
+  SELECT doc_id, run, min(i) AS lo, max(i) + 200 AS hi FROM g GROUP BY ALL
+), a AS (
+  SELECT doc_id, sum(hi - lo) AS n_removed, count(*) AS n_spans, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM r GROUP BY 1
+), e AS (
+  SELECT d.doc_id, n, x, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, list_concat([0], coalesce(his, [])) AS f, list_concat(coalesce(los, []), [n]) AS t FROM d LEFT JOIN a ON a.doc_id = d.doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
+       sha256(unhex(array_to_string([substr(x, 2 * f[k] + 1, 2 * (t[k] - f[k])) FOR k IN range(1, len(f) + 1)], ''))) AS kept_sha256
+FROM e
+"""
