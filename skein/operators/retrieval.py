@@ -18,8 +18,8 @@ from skein.functions.text import Clause, cover_density, search_text, stem, terms
 
 TOP = 50
 RRF = 60
-#: Query vectors of a block and slabs of the corpus: what one task of the dense lane holds is a block and an Arrow batch of vectors.
-BLOCK = 256
+#: Queries of a block and vectors of a slab: what one task of the dense lane holds at a time, however large the corpus is.
+BLOCK, SLAB = 256, 20_000
 
 
 def ranked(scored: DataFrame, n: int = TOP, score: str = "score") -> DataFrame:
@@ -45,7 +45,7 @@ def keyword_search(index: DataFrame, queries: DataFrame, n: int = TOP, within: D
     """Ranked lists by words: chunks with all terms of a query, or, where there is none, chunks with any.
 
     Both attempts come from one pass: a chunk has all terms when it has as many as the query. All-term hits are scored by cover
-    density over their places, which only they carry on; any-term hits by a tenth of their occurrences. ``within``
+    density over their places; any-term hits by a tenth of their occurrences. ``within``
     (query_id, chunk_id) or (chunk_id) limits the search. A query without terms finds nothing.
     """
     if within is not None:
@@ -82,7 +82,7 @@ def web_search(chunks: DataFrame, query: str, stemmed: bool = True) -> DataFrame
     return rows.drop("_words")
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, n: int = TOP, within: DataFrame | None = None, block: int = BLOCK, slabs: int = 64) -> DataFrame:
+def dense_search(vectors: DataFrame, queries: DataFrame, n: int = TOP, within: DataFrame | None = None, block: int = BLOCK, slab: int = SLAB) -> DataFrame:
     """Ranked lists by exact cosine: vectors (chunk_id, embedding) against queries (query_id, embedding).
 
     Queries are dealt into blocks and vectors into slabs; each pair of a block and a slab is one matrix product in one task,
@@ -91,7 +91,7 @@ def dense_search(vectors: DataFrame, queries: DataFrame, n: int = TOP, within: D
     """
     if within is not None:
         vectors = vectors.join(within.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    blocks = max(1, -(-queries.count() // block))
+    blocks, slabs = max(1, -(-queries.count() // block)), max(1, -(-vectors.count() // slab))
     q = queries.select("query_id", F.col("embedding").alias("qv"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("b")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))))
     v = vectors.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id"), F.lit(slabs)).cast("int").alias("s")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 

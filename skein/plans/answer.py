@@ -83,7 +83,7 @@ class Engine:
 
     def retrieve(self, question: str, within: DataFrame | None = None, n: int = 6) -> list:
         queries = self.spark.createDataFrame([(0, question, [float(x) for x in self.embed(question)])], "query_id bigint, query string, embedding array<float>")
-        lanes = retrieval.keyword_search(self.index, queries, within=within), retrieval.dense_search(self.vectors, queries, within=within, slabs=self.spark.sparkContext.defaultParallelism)
+        lanes = retrieval.keyword_search(self.index, queries, within=within), retrieval.dense_search(self.vectors, queries, within=within)
         top = retrieval.rerank(retrieval.fuse(*lanes), queries, self.chunks, n)
         return retrieval.in_order(top, self.chunks).collect()
 

@@ -272,8 +272,8 @@ def invoiced_in_year(d):
 @query("SELECT job_id, creation_date, count(*) OVER () AS total FROM jobs WHERE salesperson = '1-URGENT' ORDER BY creation_date DESC, job_id LIMIT 200", "jobs")
 def list_with_total_count(d):
     rows = d.jobs.where(F.col("salesperson") == "1-URGENT").select("job_id", "creation_date")
-    total = rows.agg(F.count("*").alias("total"))  # a one-row side instead of a window that would gather all rows in one task
-    return rows.orderBy(F.desc_nulls_last("creation_date"), "job_id").limit(200).join(F.broadcast(total))
+    total = rows.agg(F.count("*")).scalar()  # a scalar subquery instead of a window that would gather all rows in one task
+    return rows.select("*", total.alias("total")).orderBy(F.desc_nulls_last("creation_date"), "job_id").limit(200)
 
 
 @query("SELECT job_id FROM jobs j WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE l.job_id = j.job_id)", "jobs lines")

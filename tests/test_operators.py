@@ -104,7 +104,7 @@ def test_dense(spark):
     queries = [(1, [1.0, 2.0, 3.0, 4.0]), (2, [-1.0, 0.5, 0.0, 2.0]), (3, [0.0] * 4)]
     v_, q = spark.createDataFrame(vectors, "chunk_id bigint, embedding array<float>"), spark.createDataFrame(queries, "query_id bigint, embedding array<float>")
     got = {}
-    for r in retrieval.dense_search(v_, q, n=5, block=2, slabs=3).orderBy("query_id", "rank").collect():
+    for r in retrieval.dense_search(v_, q, n=5, block=2, slab=20).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.chunk_id)
     assert got == {k: brute(vectors, e, 5) for k, e in queries[:2]}
     far = v_.where("chunk_id in (101, 102, 103)").select("chunk_id", cosine_distance(F.col("embedding"), F.array(*[F.lit(x) for x in queries[0][1]])).alias("d"))
