@@ -66,7 +66,7 @@ def _exploded(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(words: int):
-    schema = pa.schema([("root", pa.int64()), ("id", pa.int64()), ("weight", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("root", pa.int64()), ("id", pa.int64()), ("weight", pa.int64()), ("body", pa.binary())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:

@@ -10,6 +10,7 @@ verified exactly. Tasks send on only counts of links and stars of linked sets, n
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import comb
 
 import numpy as np
@@ -44,15 +45,37 @@ def signatures(shingles: np.ndarray, starts: np.ndarray, n: int, seed: int = 11)
     return out
 
 
-def band_values(sig: np.ndarray, rows: int) -> np.ndarray:
-    """One 64-bit value for each band of ``rows`` MinHash values; different bands never share values but by chance."""
+def one_pass_signatures(shingles: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """n values of each set by one-permutation MinHash: the least hash in each of n bins, an empty bin taking that of the next full one.
+
+    Each shingle, itself a scrambled 64-bit hash, is looked at once and not n times. For sets of a few times n shingles; smaller ones leave too many bins empty.
+    """
+    none = np.uint64((1 << 64) - 1)
+    out = np.full(len(starts) * n, none)
+    home = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(shingles))))
+    np.minimum.at(out, home * n + (((shingles >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64), shingles & np.uint64(0xFFFFFFFF))
+    out = out.reshape(-1, n)
+    full, filled = out != none, out.copy()
+    open_ = ~full
+    for d in range(1, n):
+        if not open_.any():
+            break
+        take = open_ & np.roll(full, -d, 1)
+        filled[take] = np.roll(out, -d, 1)[take] + np.uint64(d << 32)
+        open_ &= ~take
+    return filled
+
+
+def band_values(sig: np.ndarray, rows: int, first: int = 1) -> np.ndarray:
+    """One 64-bit value for each band of ``rows`` MinHash values; different bands never share values but by chance. Bands count from ``first``."""
     n, bands = len(sig), sig.shape[1] // rows
-    x = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands)).copy()
+    x = np.broadcast_to(np.arange(first, first + bands, dtype=np.uint64), (n, bands)).copy()
     for k in range(rows):
         x = K.mix(x * np.uint64(0x9E3779B97F4A7C15) + sig[:, k : bands * rows : rows])
     return x
 
 
+@lru_cache
 def least_matches(hashes: int, threshold: float, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
     """(h, m): after h compared values a pair with fewer than m matches is dropped.
 
@@ -129,12 +152,25 @@ def components(edges: DataFrame, name: str = "cc", rounds: int = 60) -> DataFram
     return e.select(F.col("a").alias("id"), F.col("b").alias("root")).union(e.select("b", "b")).distinct()
 
 
-def linked_pairs(sets: list[np.ndarray], hashes: int, threshold: float, split: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def linked_pairs(sets: list[np.ndarray], hashes: int, threshold: float, split: int | None = None, few: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of all pairs of sets (sorted, unique, non-empty) with Jaccard similarity of at least the threshold.
 
-    split: only pairs of one of the first ``split`` sets and one of the others.
+    split: only pairs of one of the first ``split`` sets and one of the others. few: so many sets are compared exactly at once,
+    without their MinHash values.
     """
     n = len(sets)
+    if split is None and n <= few:
+        pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if min(len(sets[i]), len(sets[j])) >= threshold * max(len(sets[i]), len(sets[j]))]
+        hit = []
+        for i, j in pairs:
+            x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+            at = np.searchsorted(y, x)
+            at[at == len(y)] = 0
+            common = np.count_nonzero(y[at] == x)
+            if common >= threshold * (len(x) + len(y) - common) - 1e-9:
+                hit.append((i, j))
+        out = np.array(hit, np.int64).reshape(-1, 2)
+        return out[:, 0], out[:, 1]
     size = np.array([len(s) for s in sets], np.int64)
     start = np.cumsum(size) - size
     flat = np.concatenate(sets)
@@ -197,12 +233,17 @@ def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-SETS = "root long, id long, weight long, shingles binary"
+#: body: a set's sorted shingles as bytes, or whatever ``unpack`` makes them from.
+SETS = "root long, id long, weight long, body binary"
 OUT = "id long, root long, links long, linked long"
 OUT_ARROW = pa.schema([(c, pa.int64()) for c in ("id", "root", "links", "linked")])
 
 
-def verify(sets: DataFrame, hashes: int, threshold: float, size_of: DataFrame) -> DataFrame:
+def as_shingles(body: bytes) -> np.ndarray:
+    return np.frombuffer(body, np.uint64)
+
+
+def verify(sets: DataFrame, hashes: int, threshold: float, size_of: DataFrame, unpack: Callable[[bytes], np.ndarray] = as_shingles, few: int = 0) -> DataFrame:
     """Rows (id, root, links, linked): stars of linked sets, and in each how many sets, and weights of sets, an id links to.
 
     sets: SETS, with the candidate component in root; size_of: (root, members). An id may have several rows: their links add
@@ -214,12 +255,12 @@ def verify(sets: DataFrame, hashes: int, threshold: float, size_of: DataFrame) -
     own = F.pmod(F.xxhash64("id"), n).cast("int")
     large = large.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
     large = large.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": (F.col("own") > F.col("other")).cast("int")})
-    cols = ["root", "i", "j", "side", "id", "weight", "shingles"]
+    cols = ["root", "i", "j", "side", "id", "weight", "body"]
     work = small.select(cols).unionByName(large.select(cols))
-    return work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "id").mapInArrow(_verified(hashes, threshold), OUT)
+    return work.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "side", "id").mapInArrow(_verified(hashes, threshold, unpack, few), OUT)
 
 
-def _verified(hashes: int, threshold: float) -> Callable:
+def _verified(hashes: int, threshold: float, unpack: Callable, few: int) -> Callable:
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         unique = [r for k, r in enumerate(rows) if k == 0 or r[4] != rows[k - 1][4]]
         if len(unique) < 2:
@@ -227,7 +268,7 @@ def _verified(hashes: int, threshold: float) -> Callable:
         split = sum(1 - r[3] for r in unique) if unique[0][1] != unique[0][2] else None
         if split in (0, len(unique)):
             return
-        a, b = linked_pairs([np.frombuffer(r[6], np.uint64) for r in unique], hashes, threshold, split)
+        a, b = linked_pairs([unpack(r[6]) for r in unique], hashes, threshold, split, few)
         ids, weight = np.array([r[4] for r in unique]), np.array([r[5] for r in unique], np.int64)
         links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
         linked = np.bincount(a, weights=weight[b], minlength=len(ids)) + np.bincount(b, weights=weight[a], minlength=len(ids))
