@@ -24,6 +24,8 @@ from skein.llm.common import batches, column_np, stash
 #: Sets of one component that meet in a task; beyond, blocks of about half as many.
 GROUP = 2000
 STEP, TOLERANCE = 16, 1e-7
+#: Bytes of small components that are unpacked at a time.
+TOGETHER = 1 << 18
 
 
 def hash_params(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -239,11 +241,11 @@ OUT = "id long, root long, links long, linked long"
 OUT_ARROW = pa.schema([(c, pa.int64()) for c in ("id", "root", "links", "linked")])
 
 
-def as_shingles(body: bytes) -> np.ndarray:
-    return np.frombuffer(body, np.uint64)
+def as_shingles(bodies: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(b, np.uint64) for b in bodies]
 
 
-def verify(sets: DataFrame, hashes: int, threshold: float, size_of: DataFrame, unpack: Callable[[bytes], np.ndarray] = as_shingles, few: int = 0) -> DataFrame:
+def verify(sets: DataFrame, hashes: int, threshold: float, size_of: DataFrame, unpack: Callable[[list[bytes]], list[np.ndarray]] = as_shingles, few: int = 0) -> DataFrame:
     """Rows (id, root, links, linked): stars of linked sets, and in each how many sets, and weights of sets, an id links to.
 
     sets: SETS, with the candidate component in root; size_of: (root, members). An id may have several rows: their links add
@@ -261,30 +263,42 @@ def verify(sets: DataFrame, hashes: int, threshold: float, size_of: DataFrame, u
 
 
 def _verified(hashes: int, threshold: float, unpack: Callable, few: int) -> Callable:
-    def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        unique = [r for k, r in enumerate(rows) if k == 0 or r[4] != rows[k - 1][4]]
-        if len(unique) < 2:
-            return
-        split = sum(1 - r[3] for r in unique) if unique[0][1] != unique[0][2] else None
-        if split in (0, len(unique)):
-            return
-        a, b = linked_pairs([unpack(r[6]) for r in unique], hashes, threshold, split, few)
-        ids, weight = np.array([r[4] for r in unique]), np.array([r[5] for r in unique], np.int64)
-        links = np.bincount(a, minlength=len(ids)) + np.bincount(b, minlength=len(ids))
-        linked = np.bincount(a, weights=weight[b], minlength=len(ids)) + np.bincount(b, weights=weight[a], minlength=len(ids))
-        label = stars(len(ids), a, b)
-        go = np.flatnonzero(links)
-        yield from batches(OUT_ARROW, [ids[go], ids[label[go]], links[go], linked[go].astype(np.int64)])
+    def settle(groups: list[list[tuple]]) -> Iterator[pa.RecordBatch]:
+        """Groups that are unpacked together, so that small ones cost little each."""
+        sets, out = unpack([r[6] for g in groups for r in g]), []
+        at = 0
+        for g in groups:
+            own, at = sets[at : at + len(g)], at + len(g)
+            split = sum(1 - r[3] for r in g) if g[0][1] != g[0][2] else None
+            if split in (0, len(g)):
+                continue
+            a, b = linked_pairs(own, hashes, threshold, split, few)
+            if not len(a):
+                continue
+            ids, weight = np.array([r[4] for r in g]), np.array([r[5] for r in g], np.int64)
+            links = np.bincount(a, minlength=len(g)) + np.bincount(b, minlength=len(g))
+            linked = np.bincount(a, weights=weight[b], minlength=len(g)) + np.bincount(b, weights=weight[a], minlength=len(g))
+            go = np.flatnonzero(links)
+            out.append((ids[go], ids[stars(len(g), a, b)[go]], links[go], linked[go].astype(np.int64)))
+        if out:
+            yield from batches(OUT_ARROW, [np.concatenate(c) for c in zip(*out, strict=True)])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
+        waiting: list[list[tuple]] = []
+        size = 0
         for batch in parts:
             for r in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
                 if rows and r[:3] != rows[-1][:3]:
-                    yield from settle(rows)
+                    if len(rows) > 1:
+                        waiting.append(rows)
                     rows = []
-                rows.append(r)
-        if rows:
-            yield from settle(rows)
+                    if size > TOGETHER:
+                        yield from settle(waiting)
+                        waiting, size = [], 0
+                if not rows or r[4] != rows[-1][4]:
+                    rows.append(r)
+                    size += len(r[6])
+        yield from settle([*waiting, rows] if len(rows) > 1 else waiting)
 
     return run
