@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-DIM, HIDDEN, WINDOW, OVERLAP, CLASS = 16, 32, 32, 4, 64
+DIM, HIDDEN, WINDOW, OVERLAP, CLASS = 32, 48, 32, 16, 64
 BATCH = 256
 #: Bound of all logits.
 LIMIT = 60.0

@@ -54,6 +54,18 @@ def test_every_unit_is_scored_once_with_its_context(model):
         at += n
 
 
+def test_every_unit_is_scored_from_half_a_window(model):
+    """The score of each unit depends on the units up to half a window before it, in every window of a long text."""
+    r = np.random.default_rng(3)
+    seq = r.integers(0, model.units.n, 150)
+    old = model.score(seq, np.array([150]))[0]
+    for back in (5, 8, 16):
+        for i in range(back, 150, 3):
+            other = seq.copy()
+            other[i - back] = (seq[i - back] + 777) % model.units.n
+            assert model.score(other, np.array([150]))[0][i] != old[i], (back, i)
+
+
 def test_units_sum_to_one(model):
     z = model.hidden(np.zeros((1, A.WINDOW), np.int64))[0, 3:4]
     logp, logb, _ = model.log_probs(np.repeat(z, model.units.n, 0), np.arange(model.units.n))
