@@ -1,13 +1,16 @@
 """A small causal self-attention model over subword units, in numpy.
 
-Units are a public tokenizer's ids, told apart by whether they begin a word. The units of a sample that are frequent get
-vectors, in classes of CLASS units by frequency; the others are one rare unit of their kind, spelled uniformly. The output is a
+Units are a public tokenizer's ids, told apart by whether they begin a word. The frequent ones of the training texts get
+vectors, in classes of CLASS units by frequency; the others are one rare unit of their kind, spelled uniformly by this model
+and by their counts where Units.spelling() is added. The output is a
 softmax over classes and one over the units of the class, so a token costs classes + CLASS products and not one for each unit.
 One layer: unit and place vectors, one attention head with a causal mask, a small hidden layer, both added to their input.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 DIM, HIDDEN, WINDOW, OVERLAP, CLASS = 32, 48, 32, 16, 64
@@ -31,8 +34,9 @@ class Units:
     """Numbers of units: those that begin words (the end of a text among them) come first, in whole classes."""
 
     def __init__(self, begin: np.ndarray, inner: np.ndarray, vocabulary: int, most: int = 2048):
-        """begin, inner: how often each id begins words, and stands inside words, in the sample."""
+        """begin, inner: how often each id begins words, and stands inside words, in the training texts."""
         self.vocabulary = vocabulary
+        self.spell_begin, self.spell_inner = self._spelled(begin, most), self._spelled(inner, most)
         self.of_begin, next_ = self._number(begin, 0, most, 2)
         self.end, self.rare_begin = 0, 1
         self.begin_classes = next_ // CLASS
@@ -45,6 +49,16 @@ class Units:
         """The units of ids that do or do not begin words."""
         return np.where(first, self.of_begin[ids], self.of_inner[ids])
 
+    def spelling(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """What to add to the log probabilities of these ids so that rare ones are spelled by their counts and not uniformly."""
+        return np.where(first, self.spell_begin[ids], self.spell_inner[ids])
+
+    @classmethod
+    def _spelled(cls, counts: np.ndarray, most: int) -> np.ndarray:
+        rare = cls._number(counts, 0, most, 0)[0] < 0
+        share = np.where(rare, counts + 1.0, 0)
+        return np.where(rare, np.log(np.maximum(share, 1) / max(1, share.sum()) * len(counts)), 0).astype(np.float32)
+
     @staticmethod
     def _number(counts: np.ndarray, base: int, most: int, taken: int) -> tuple[np.ndarray, int]:
         order = np.argsort(-counts, kind="stable")[:most]
@@ -171,28 +185,51 @@ class Model:
             g /= n
         return -float(logp.mean()), grads
 
-    def fit(self, texts: list[np.ndarray], steps: int, batch: int = 64, rate: float = 0.01, seed: int = 2) -> list[float]:
-        """Adam over random windows of the texts' units; the output's biases begin at the units' frequencies."""
-        lengths = np.array([len(t) for t in texts])
-        if not lengths.sum():
-            return []
-        seq, offset = np.concatenate(texts), np.cumsum(lengths) - lengths
-        count = np.bincount(seq, minlength=self.units.n).reshape(-1, CLASS) + 0.01
+    def begin_at(self, count: np.ndarray) -> None:
+        """Lets the output's biases begin at the units' frequencies; count: how often each unit stands in the training texts."""
+        count = count.reshape(-1, CLASS) + 0.01
         self.p["cls_b"][:] = np.log(count.sum(1) / count.sum())
         self.p["out_b"][:] = np.log(count / count.sum(1, keepdims=True))
-        home, begin, _ = windows(lengths)
-        r, losses = np.random.default_rng(seed), []
+
+    def fit(self, texts: Iterable[np.ndarray], least: int, expected: float = 0, rates: tuple[float, float] = (0.01, 0.0005), batch: int = 64, seed: int = 2, together: int = 1 << 20) -> tuple[list[float], int]:
+        """Adam over windows of the texts' units, in an order shuffled among ``together`` units at a time: losses and units seen.
+
+        Every unit of every text is predicted once; texts of too few windows for ``least`` steps are gone through again.
+        The rate rises over the first steps and goes from the first of ``rates`` to the second over the expected steps.
+        """
+        r, losses, units, span = np.random.default_rng(seed), [], 0, max(least, expected, 1)
         m, v = ({n: np.zeros_like(x) for n, x in self.p.items()} for _ in range(2))
-        for t in range(1, steps + 1):
-            w = r.integers(0, len(home), batch)
-            loss, grads = self.step(*inputs_of(seq, offset[home[w]], begin[w], lengths[home[w]], self.units.n)[:3])
-            losses.append(loss)
-            lr = rate * min(1, t / 20) * (1 - t / (steps + 1))
-            for n, g in grads.items():
-                m[n] += 0.1 * (g - m[n])
-                v[n] += 0.01 * (g * g - v[n])
-                self.p[n] -= np.float32(lr) * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.99**t)) + np.float32(1e-8))
-        return losses
+
+        def learn(some: list[np.ndarray], least: int) -> None:
+            lengths = np.array([len(t) for t in some])
+            seq, offset = np.concatenate(some), np.cumsum(lengths) - lengths
+            home, begin, _ = windows(lengths, WINDOW)
+            done = 0
+            while done == 0 or done < least:
+                order = r.permutation(len(home))
+                for at in range(0, len(order), batch):
+                    w, t = order[at : at + batch], len(losses) + 1
+                    loss, grads = self.step(*inputs_of(seq, offset[home[w]], begin[w], lengths[home[w]], self.units.n)[:3])
+                    losses.append(loss)
+                    done += 1
+                    lr = min(1, t / 20) * (rates[0] + (rates[1] - rates[0]) * min(1, t / span))
+                    for n, g in grads.items():
+                        m[n] += 0.1 * (g - m[n])
+                        v[n] += 0.01 * (g * g - v[n])
+                        self.p[n] -= np.float32(lr) * (m[n] / (1 - 0.9**t)) / (np.sqrt(v[n] / (1 - 0.99**t)) + np.float32(1e-8))
+
+        some, size = [], 0
+        for text in texts:
+            for at in range(0, len(text), together):
+                some.append(text[at : at + together])
+                size += len(some[-1])
+                units += len(some[-1])
+                if size >= together:
+                    learn(some, 0)
+                    some, size = [], 0
+        if some:
+            learn(some, least - len(losses))
+        return losses, units
 
     def score(self, seq: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log probability of each unit of the texts (one after another in seq), and of any that begins a word, there.
@@ -217,12 +254,12 @@ class Model:
         return logp, logb
 
 
-def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def windows(lengths: np.ndarray, stride: int = WINDOW - OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each window: its text, where it begins there, and whether it is the text's first."""
-    count = np.where(lengths > 0, 1 + np.maximum(0, -(-(lengths - WINDOW) // (WINDOW - OVERLAP))), 0)
+    count = np.where(lengths > 0, 1 + np.maximum(0, -(-(lengths - WINDOW) // stride)), 0)
     home = np.repeat(np.arange(len(lengths)), count)
     nth = np.arange(len(home)) - (np.cumsum(count) - count)[home]
-    return home, nth * (WINDOW - OVERLAP), nth == 0
+    return home, nth * stride, nth == 0
 
 
 def inputs_of(seq: np.ndarray, offset: np.ndarray, begin: np.ndarray, length: np.ndarray, start: int) -> tuple[np.ndarray, ...]:

@@ -1,7 +1,9 @@
 """Language-model scoring: corpus word counts and a causal self-attention model over subword ids.
 
-Words of all training documents are counted on Spark. The attention model (attention.py) is trained in numpy on at most SAMPLE
-training documents of at most LONGEST bytes, and scores every text whole in overlapping windows, each subword once. A word's
+Words of all training documents are counted on Spark, and these counts name the attention model's units. The model
+(attention.py) learns from every training document whole: documents are dealt to ROUNDS rounds by hash, in a round each block of
+them goes through its own texts from the same parameters, and the next round begins at the mean of what the blocks came to,
+weighted by their units. It scores every text whole in overlapping windows, each subword once. A word's
 probability mixes its share of the training tokens with the model's probability of its subwords, which includes that the word
 ends there, so both are distributions over words.
 
@@ -14,7 +16,7 @@ from __future__ import annotations
 import base64
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +24,14 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.attention import Model, Units
-from skein.llm.common import batches, bytes_of, column_np, held_out, ids_and_bytes, stash, with_null_ids
+from skein.llm.attention import WINDOW, Model, Units
+from skein.llm.common import batches, bytes_of, column_np, ids_and_bytes, stash, with_null_ids
 from skein.sources.tables import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
-BLOCK, SAMPLE, LONGEST, STEPS, SHARE = 16 << 20, 1500, 1 << 16, 1400, 0.4
+BLOCK, ROUNDS, STEPS, SHARE = 16 << 20, 8, 1400, 0.4
+#: Parameters of a model that are averaged together; windows of a step of training.
+PIECE, BATCH = 1 << 14, 64
 #: Characters of a word that are tokenized at a time.
 PART = 48
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -76,16 +80,121 @@ class Subwords:
         return flat, np.diff(np.append(np.flatnonzero(self.begins[flat]), len(flat)))
 
 
+def sequence(text, units: Units, subwords: Subwords) -> np.ndarray:
+    """The units of a text and its end."""
+    flat, _ = subwords.ids(words_of(text))
+    return np.append(units.of(flat, subwords.begins[flat]), units.end)
+
+
+def new_model(begin: np.ndarray, inner: np.ndarray, ends: int, subwords: Subwords) -> Model:
+    """An untrained model for ids that begin words, and stand inside words, this often, with so many ends of texts."""
+    units = Units(begin, inner, subwords.size)
+    model = Model(units)
+    count = np.bincount(units.of_begin, begin, units.n) + np.bincount(units.of_inner, inner, units.n)
+    count[units.end] += ends
+    if ends:
+        model.begin_at(count)
+    return model
+
+
 def train(texts: list[bytes], subwords: Subwords, steps: int = STEPS) -> Model:
-    """A model of these texts; with none it is untrained but still a distribution."""
-    docs = [words_of(t) for t in texts]
-    flat, size = subwords.ids([w for d in docs for w in d])
+    """A model of these texts, trained here; with none it is untrained but still a distribution."""
+    flat, _ = subwords.ids([w for t in texts for w in words_of(t)])
     first = subwords.begins[flat]
-    units = Units(np.bincount(flat[first], minlength=subwords.size), np.bincount(flat[~first], minlength=subwords.size), subwords.size)
-    numbers = units.of(flat, first)
-    edges = np.concatenate([[0], np.cumsum(size)])[np.cumsum([0, *map(len, docs)])]
-    model = Model(units)
-    model.fit([np.append(numbers[a:b], units.end) for a, b in zip(edges[:-1], edges[1:], strict=True)], steps if docs else 0)
+    model = new_model(np.bincount(flat[first], minlength=subwords.size), np.bincount(flat[~first], minlength=subwords.size), len(texts), subwords)
+    model.fit([sequence(t, model.units, subwords) for t in texts], steps if texts else 0)
+    return model
+
+
+def _ids(shared):
+    """How often ids begin words (id) and stand inside words (-1 - id), from words with counts."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords = shared.value
+        begin, inner = np.zeros(subwords.size, np.int64), np.zeros(subwords.size, np.int64)
+        for batch in parts:
+            words, c = batch.column(0).to_pylist(), column_np(batch, "c")
+            real = np.array([w != END for w in words], bool)
+            flat, size = subwords.ids([w for w in words if w != END])
+            times = np.repeat(c[real], size)
+            first = subwords.begins[flat]
+            np.add.at(begin, flat[first], times[first])
+            np.add.at(inner, flat[~first], times[~first])
+        a, b = np.flatnonzero(begin), np.flatnonzero(inner)
+        yield from batches(pa.schema([("id", pa.int64()), ("n", pa.int64())]), [np.concatenate([a, -1 - b]), np.concatenate([begin[a], inner[b]])])
+
+    return run
+
+
+def _learned(shared, model, least: int, expected: float, rates: tuple[float, float], seed: int):
+    """Parameters, times the units seen, that each block of texts comes to from the model's, in pieces."""
+    schema = pa.schema([("piece", pa.int64()), ("block", pa.int64()), ("units", pa.int64()), ("values", pa.binary())])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords, start = shared.value, model.value
+
+        def rows() -> Iterator[tuple[int, memoryview]]:
+            for batch in parts:
+                yield from zip(column_np(batch, "block").tolist(), bytes_of(batch.column(1)), strict=True)
+
+        for block, texts in groupby(rows(), key=lambda row: row[0]):
+            own = Model(start.units)
+            for n, x in start.p.items():
+                own.p[n] = x.copy()
+            _, units = own.fit((sequence(t, own.units, subwords) for _, t in texts), least, expected, rates, seed=seed)
+            flat = np.concatenate([own.p[n].ravel() for n in Model.NAMES]).astype(np.float64) * units
+            cut = range(0, len(flat), PIECE)
+            yield pa.RecordBatch.from_arrays([pa.array([at // PIECE for at in cut]), pa.array([block] * len(cut)), pa.array([units] * len(cut)), pa.array([flat[at : at + PIECE].tobytes() for at in cut], pa.binary())], schema=schema)
+
+    return run
+
+
+def _summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the pieces, which come in order; a piece of all blocks at a time."""
+    piece, units, total = None, 0, np.empty(0)
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([units]), pa.array([total.tobytes()], pa.binary())], names=["piece", "units", "values"])
+
+    for batch in parts:
+        for p, u, x in zip(column_np(batch, "piece").tolist(), column_np(batch, "units").tolist(), bytes_of(batch.column(3)), strict=True):
+            if p != piece:
+                if piece is not None:
+                    yield out()
+                piece, units, total = p, 0, np.zeros(len(x) // 8)
+            units += u
+            total += np.frombuffer(x, np.float64)
+    if piece is not None:
+        yield out()
+
+
+def trained(rows: DataFrame, counts: DataFrame, subwords, n_blocks: int, steps: int, rounds: int) -> Model:
+    """A model of all rows (doc_id, th, text, block) that are not held out; counts: their words."""
+    tokenizer, context = subwords.value, rows.sparkSession.sparkContext
+    times = np.zeros((2, tokenizer.size), np.int64)
+    # at most two rows for each id of the tokenizer
+    for i, n in counts.mapInArrow(_ids(subwords), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
+        times[int(i < 0), i if i >= 0 else -1 - i] = n
+    ends = counts.where(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
+    model = new_model(times[0], times[1], ends, tokenizer)
+    # one block has nothing to average
+    rounds = rounds if n_blocks > 1 else 1
+    expected = (times.sum() / WINDOW + ends) / BATCH / n_blocks / rounds
+    falling = np.linspace(0.01, 0.0005, rounds + 1).tolist()
+    learn = rows.where(~F.col("held_out")).withColumn("order", F.xxhash64("doc_id", "th", F.lit(7))).withColumn("round", F.pmod("order", F.lit(rounds)))
+    for k in range(rounds if ends else 0):
+        shared = context.broadcast(model)
+        dealt = learn.where(F.col("round") == k).select("block", "text", "order").repartition(n_blocks, "block").sortWithinPartitions("block", "order").select("block", "text")
+        found = dealt.mapInArrow(_learned(subwords, shared, -(-steps // rounds), expected, (falling[k], falling[k + 1]), k), "piece long, block long, units long, values binary")
+        # as many pieces as the model has, however many blocks there are
+        got = sorted(tuple(r) for r in found.repartition("piece").sortWithinPartitions("piece", "block").mapInArrow(_summed, "piece long, units long, values binary").collect())
+        shared.unpersist()
+        if got:
+            flat, at = np.concatenate([np.frombuffer(x, np.float64) / u for _, u, x in got]), 0
+            for n in Model.NAMES:
+                x = model.p[n]
+                model.p[n] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+                at += x.size
     return model
 
 
@@ -98,6 +207,7 @@ class Vocabulary:
         self.counts: list[int] = []
         self.count = np.empty(0, np.int64)
         self.flat, self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.spelling = np.empty(0)
 
     def add(self, words: list[bytes], counts: np.ndarray) -> None:
         """Words with their counts, before any text's words that have none."""
@@ -128,10 +238,13 @@ class Vocabulary:
             return
         u, new = self.model.units, list(islice(self.number, old, None))
         flat, size = self.subwords.ids([w for w in new if w != END])
-        flat = u.of(flat, self.subwords.begins[flat])
+        first = self.subwords.begins[flat]
+        spelled = np.add.reduceat(u.spelling(flat, first).astype(np.float64), np.cumsum(size) - size) if len(size) else np.empty(0)
+        flat = u.of(flat, first)
         if END in new:  # the end has no subwords, but one unit
             at = new.index(END)
-            flat, size = np.insert(flat, size[:at].sum(), u.end), np.insert(size, at, 1)
+            flat, size, spelled = np.insert(flat, size[:at].sum(), u.end), np.insert(size, at, 1), np.insert(spelled, at, 0)
+        self.spelling = np.concatenate([self.spelling, spelled])
         self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
         self.start = np.cumsum(self.size) - self.size
 
@@ -150,7 +263,7 @@ def score_texts(texts: list[np.ndarray], vocab: Vocabulary, total: int, distinct
     # a word is its subwords, given that a word begins, and then that another begins; the end is the last word's other
     after = np.append(logb[at[1:]], 0)
     after[first[1:] - 1] = 0
-    own = np.add.reduceat(logp.astype(np.float64), at) - logb[at] + after
+    own = np.add.reduceat(logp.astype(np.float64), at) + vocab.spelling[words] - logb[at] + after
     mixed = np.log1p(-share) + own
     known = c > 0
     mixed[known] = np.logaddexp(mixed[known], np.log(share * c[known] / max(1, total)))
@@ -219,10 +332,11 @@ def _scored(shared, total: int, distinct: int, share: float):
     return run
 
 
-def lm_score(docs: DataFrame, mod: int = 10, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, sample: int = SAMPLE, steps: int = STEPS, share: float = SHARE, block_bytes: int = BLOCK) -> DataFrame:
+def lm_score(docs: DataFrame, mod: int = 10, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER, steps: int = STEPS, rounds: int = ROUNDS, share: float = SHARE, block_bytes: int = BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of each row of docs.
 
-    Documents whose crc32 of the id as text is divisible by ``mod`` are held out of all learning. Null and empty texts are one
+    Documents whose crc32 of the id as text is divisible by ``mod`` are held out of all learning; the model learns from all
+    others, and where a block of them gives fewer than ``steps`` steps, it goes through them again. Null and empty texts are one
     end token; null ids count as the empty text; repeated rows count each time and score alike; if nothing is learned, all
     tokens are unknown and the untrained model scores; an empty table gives an empty result.
     """
@@ -236,11 +350,9 @@ def lm_score(docs: DataFrame, mod: int = 10, id_col: str = "doc_id", text_col: s
     counts = stash(seen.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
-    chosen = slim.where(~held_out("doc_id", mod, 0) & (F.octet_length("text") <= LONGEST)).select(F.xxhash64("doc_id", F.lit(3)).alias("h"), "doc_id").orderBy("h", "doc_id").limit(sample).distinct()
-    got = slim.join(F.broadcast(chosen), "doc_id", "left_semi").where(F.octet_length("text") <= LONGEST).select("doc_id", F.col("text").cast("binary").alias("t")).collect()
-    subwords = Subwords(tokenizer)
-    model = train([t for _, t in sorted((r["doc_id"], bytes(r["t"])) for r in got)], subwords, steps)
-    shared = docs.sparkSession.sparkContext.broadcast((model, subwords))
+    context = docs.sparkSession.sparkContext
+    subwords = context.broadcast(Subwords(tokenizer))
+    shared = context.broadcast((trained(rows, counts, subwords, n_blocks, steps, rounds), subwords.value))
 
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     words = seen.join(counts, "word").select("block", F.lit(0).alias("kind"), "word", "c", none("long", "doc_id"), none("boolean", "held_out"), none("binary", "text"))

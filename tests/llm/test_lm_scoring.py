@@ -99,3 +99,24 @@ def test_gradients(model):
 def test_beats_the_base_on_held_out_prose(spark):
     got = lm_score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
+
+
+def test_the_model_learns_from_long_documents(spark):
+    """What only a document of over 64 KB shows, an order of words, is learned."""
+    rows = [(i, "plain words of short texts %d" % i, "en", "a", 1) for i in range(1, 40)] + [(41, "qzj xvw " * 10_000, "en", "a", 1)]
+    assert zlib.crc32(b"41") % 10
+    got = {r.doc_id: r for r in lm_score(frame(spark, rows), steps=200).collect()}
+    # by counts alone a word of two has 0.4 * 0.5 of the mixture: -0.7
+    assert got[41].score / got[41].n_tokens > -0.4
+
+
+def test_rare_units_are_spelled_by_their_counts():
+    counts = np.array([0, 5, 9, 3, 0, 1])
+    u = A.Units(counts, counts[::-1], 6, most=2)
+    ids = np.arange(6)
+    for first, c in ((True, counts), (False, counts[::-1])):
+        unit, extra = u.of(ids, np.full(6, first)), u.spelling(ids, np.full(6, first))
+        rare = unit == (u.rare_begin if first else u.rare_inner)
+        assert rare.sum() == 4 and not extra[~rare].any()
+        p = np.exp(extra[rare]) / 6
+        assert np.isclose(p.sum(), 1) and p[c[rare] == 3] > p[c[rare] == 0].max()
