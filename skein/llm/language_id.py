@@ -3,8 +3,9 @@
 A text is the set of its n-grams of 1 to 4 bytes after A-Z are lower-cased and other ASCII marks become blanks (the blended
 spectrum, by presence). The kernel of two texts is the cosine of these sets. Nyström landmarks, as many from each language,
 span the feature space, and one ridge regression for each language against the rest is fitted in it. As the kernel is linear
-in the n-grams, landmarks, whitening and weights fold into one matrix, and a batch of texts is scored by one matrix product.
-It is fitted on at most PER_LANGUAGE labelled texts of each language, of at most LONGEST bytes each; every text is scored whole.
+in the n-grams, landmarks, whitening and weights fold into one table with a row for each n-gram that a landmark holds; a text's
+score is the sum of its n-grams' rows. Others have no weight and do not count. It is fitted on at most PER_LANGUAGE labelled
+texts of each language; texts of any length are learned from and scored whole, as sets of n-grams made in Spark tasks.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from pyspark.sql.window import Window
 from skein.llm.common import bytes_of, held_out
 from skein.sources.tables import table
 
-PER_LANGUAGE, LONGEST = 400, 1 << 16
-LANDMARKS, RIDGE, MOST_GRAMS, ORDERS, TABLE_BITS = 64, 1e-3, 1 << 14, 4, 20
+PER_LANGUAGE = 400
+LANDMARKS, RIDGE, ORDERS, TABLE_BITS = 64, 1e-3, 4, 20
 UNKNOWN = "und"
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 PIECE = 1 << 20
@@ -39,62 +40,96 @@ def gram_codes(text: bytes) -> Iterator[np.ndarray]:
             yield ((code + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)
 
 
+def gram_set(text: bytes) -> np.ndarray:
+    """The different n-grams of a text, however long."""
+    seen = np.empty(0, np.uint64)
+    for codes in gram_codes(text):
+        seen = np.union1d(seen, codes)
+    return seen
+
+
 class Model:
     """slot: each n-gram hash's column or 0; weights: (columns + 1) x languages, row 0 zero."""
 
-    def __init__(self, texts: list[bytes], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+    def __init__(self, texts: list[bytes | np.ndarray], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE):
+        """texts: bytes or their gram_set()."""
         self.langs = sorted(set(langs))
-        seen = np.zeros(1 << TABLE_BITS, np.int32)
-        sets = [np.unique(np.concatenate(list(gram_codes(t)))) if t else np.empty(0, np.uint64) for t in texts]
-        for s in sets:
-            seen[s] += 1
-        common = np.flatnonzero(seen >= min(2, len(texts)))
-        common = np.sort(common[np.argsort(-seen[common], kind="stable")[:MOST_GRAMS]])
+        sets = [t if isinstance(t, np.ndarray) else gram_set(t) for t in texts]
+        at = np.array(langs, object)
+        chosen = np.concatenate([np.flatnonzero(at == b)[:landmarks] for b in self.langs]) if self.langs else np.empty(0, np.int64)
+        known = np.zeros(1 << TABLE_BITS, bool)
+        for i in chosen:
+            known[sets[i]] = True
+        held = np.flatnonzero(known)
         self.slot = np.zeros(1 << TABLE_BITS, np.int32)
-        self.slot[common] = np.arange(1, len(common) + 1)
-        self.weights = np.zeros((len(common) + 1, len(self.langs)), np.float32)
+        self.slot[held] = np.arange(1, len(held) + 1)
+        self.weights = np.zeros((len(held) + 1, len(self.langs)), np.float32)
         if not self.langs:
             return
-        x = np.concatenate([self._unit(texts[i : i + 256]) for i in range(0, len(texts), 256)])
+        columns = [x[x > 0] for x in (self.slot[s] for s in sets)]
         y = np.array([[1.0 if a == b else -1.0 for b in self.langs] for a in langs])
         # equal weight for each language, however many texts it has
         w = 1 / np.array([langs.count(a) for a in langs])[:, None]
-        chosen = np.concatenate([np.array([i for i, a in enumerate(langs) if a == b])[:landmarks] for b in self.langs])
-        z = x[chosen]
-        values, vectors = np.linalg.eigh((z @ z.T).astype(np.float64))
+        kernel = np.empty((len(sets), len(chosen)), np.float32)
+        for lo in range(0, len(chosen), 64):
+            table = np.zeros((len(held) + 1, min(64, len(chosen) - lo)), np.float32)
+            for j, i in enumerate(chosen[lo : lo + 64]):
+                table[columns[i], j] = 1 / max(1, np.sqrt(len(columns[i])))
+            for row, c in zip(kernel, columns, strict=True):
+                row[lo : lo + 64] = table[c].sum(0) / max(1, np.sqrt(len(c)))
+        values, vectors = np.linalg.eigh(kernel[chosen].astype(np.float64))
         good = values > 1e-6 * values.max() if len(values) and values.max() > 0 else np.zeros(len(values), bool)
         whiten = vectors[:, good] / np.sqrt(values[good])
-        phi = (x @ z.T) @ whiten
+        phi = kernel @ whiten
         fit = np.linalg.solve(phi.T @ (w * phi) + ridge * np.eye(phi.shape[1]), phi.T @ (w * y)) if good.any() else np.zeros((0, len(self.langs)))
-        self.weights[:] = z.T @ (whiten @ fit)
-        self.weights[0] = 0
+        for i, part in zip(chosen, whiten @ fit, strict=True):
+            self.weights[columns[i]] += (part / max(1, np.sqrt(len(columns[i])))).astype(np.float32)
+
+    def _columns(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """The columns of the n-grams that each text holds."""
+        mark = np.zeros(len(self.weights), bool)
+        for t in texts:
+            for codes in gram_codes(t):
+                mark[self.slot[codes]] = True
+            mark[0] = False
+            found = np.flatnonzero(mark)
+            mark[found] = False
+            yield found
 
     def _unit(self, texts: list[bytes]) -> np.ndarray:
+        """The texts as rows of length one."""
         x = np.zeros((len(texts), len(self.weights)), np.float32)
-        for row, t in zip(x, texts, strict=True):
-            for codes in gram_codes(t):
-                row[self.slot[codes]] = 1
-        x[:, 0] = 0
-        return x / np.maximum(1, np.sqrt(x.sum(1, keepdims=True)))
+        for row, c in zip(x, self._columns(texts), strict=True):
+            row[c] = 1 / max(1, np.sqrt(len(c)))
+        return x
 
     def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Index of the best language of each text and its score: where the regression lies between rest (0) and it (1)."""
-        s = self._unit(texts) @ self.weights
+        s = np.array([self.weights[c].sum(0) / max(1, np.sqrt(len(c))) for c in self._columns(texts)]).reshape(len(texts), -1)
         best = s.argmax(1)
         return best, np.clip((s[np.arange(len(s)), best].astype(float) + 1) / 2, 0, 1)
 
 
-def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> Model:
+def _gram_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in parts:
+        for k, text in enumerate(bytes_of(batch.column(1))):
+            row = batch.slice(k, 1)
+            yield pa.RecordBatch.from_arrays([row.column(0), pa.array([gram_set(text).astype(np.int32).tobytes()], pa.binary()), row.column(2)], names=["i", "t", "l"])
+
+
+def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
     """A model of a bounded sample of the labelled rows: those of the smallest id hashes of each language."""
-    rows = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").rlike(r"\p{L}") & (F.octet_length(F.col(f"`{text_col}`")) <= longest))
+    rows = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").rlike(r"\p{L}"))
     slim = rows.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{lang_col}`").alias("l"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(1)).alias("h"))
     nth = F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))
     chosen = slim.withColumn("nth", nth).where(F.col("nth") <= per_language).select("i").distinct()
     # at most per_language ids of each language: small
     got = rows.join(F.broadcast(chosen), rows[f"`{id_col}`"].eqNullSafe(F.col("i")), "left_semi").select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("binary").alias("t"), F.col(f"`{lang_col}`").alias("l"))
+    # sets of at most 2^TABLE_BITS n-grams, however long the texts are
+    got = got.mapInArrow(_gram_sets, got.schema)
     rows_ = sorted(((r["i"] is None, r["i"] or 0, bytes(r["t"]), r["l"]) for r in got.collect()))
     order = np.random.default_rng(3).permutation(len(rows_))
-    return Model([rows_[k][2] for k in order], [rows_[k][3] for k in order])
+    return Model([np.frombuffer(rows_[k][2], np.int32) for k in order], [rows_[k][3] for k in order])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:

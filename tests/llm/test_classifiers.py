@@ -107,6 +107,33 @@ def test_language_scores_are_the_kernel_regression():
     assert np.allclose(m._unit(texts) @ m.weights, want, atol=1e-3)
 
 
+def test_a_language_of_few_texts_keeps_its_grams():
+    r = random.Random(7)
+    own = lambda letters: ["".join(r.choice(letters) for _ in range(6)) for _ in range(3000)]
+    words = {"l%d" % k: own("abcdefghijklmnopqrstuvwxyz"[k * 5 : k * 5 + 14]) for k in range(3)}
+    texts, langs = [], []
+    for lang, some in words.items():
+        for _ in range(200):
+            texts.append(" ".join(r.choice(some) for _ in range(600)).encode())
+            langs.append(lang)
+    rare = lambda: " ".join("".join(r.choice("აბგდევზთ") for _ in range(5)) for _ in range(20)).encode()
+    m = language_id.Model(texts + [rare() for _ in range(6)], langs + ["rare"] * 6)
+    held = set(np.flatnonzero(m.slot).tolist())
+    firsts = [t for lang in words for t in [t for t, a in zip(texts, langs) if a == lang][:64]]
+    assert all(set(np.concatenate(list(language_id.gram_codes(t))).tolist()) <= held for t in firsts)
+    best, score = m.predict([rare() for _ in range(20)])
+    assert {m.langs[b] for b in best} == {"rare"} and min(score) > 0.5
+
+
+def test_a_language_of_long_texts_alone_is_learned(spark):
+    rows = [(i, "the old house by the sea %d" % i, "en", "a", 1) for i in range(20)]
+    rows += [(20 + i, "la maison de la mer est belle " * 3000, "fr", "a", 1) for i in range(3)]
+    model = language_id.fit(frame(spark, rows))
+    assert model.langs == ["en", "fr"]
+    best, _ = model.predict([b"la maison est belle", b"the house by the sea"])
+    assert [model.langs[b] for b in best] == ["fr", "en"]
+
+
 @given
 def test_language_held_out(spark):
     found = language_id.op10_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text"), "doc_id")
