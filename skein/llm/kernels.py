@@ -168,6 +168,23 @@ def pack_bytes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+def common_prefixes(data: np.ndarray, order: np.ndarray, rest: np.ndarray, step: int = 16) -> np.ndarray:
+    """The LCP array: how many elements each suffix shares with the one before it in order, of which only ``rest`` may be used; 0 for the first."""
+    out = np.zeros(len(order), np.int64)
+    a, b = order[:-1], order[1:]
+    most = np.minimum(rest[a], rest[b])
+    open_, done = np.flatnonzero(most > 0), 0
+    while len(open_):
+        at = done + np.arange(step)
+        x, y = a[open_, None] + at, b[open_, None] + at
+        same = (data[np.minimum(x, len(data) - 1)] == data[np.minimum(y, len(data) - 1)]) & (at < most[open_, None])
+        run = np.where(same.all(1), step, same.argmin(1))
+        out[open_ + 1] += run
+        open_ = open_[run == step]
+        done += step
+    return out
+
+
 def previous_smaller(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     """For each place the nearest earlier place with a smaller value, not before ``first`` of it; -1 if there is none."""
     p = np.arange(len(x)) - 1

@@ -1,11 +1,12 @@
 """Repeated windows of L values (bytes or words) over a whole corpus, without a row for each position.
 
-1. Every window's anchor (the smallest-hashed k-gram in it) names the windows that can equal it: one row for each run of
-   windows with one anchor. Rows whose whole context agrees (two 64-bit hashes: anchor and context) are settled at once,
-   within a batch before the shuffle and then by key, so copies shrink early.
-2. Only where one anchor stands in different contexts do the contexts themselves travel, to the task that holds the anchor;
-   there suffix order settles each window exactly.
-3. An anchor with more than GROUP contexts is not brought to one task: its windows are counted one by one, by hash.
+1. Every window's anchor (the smallest-hashed k-gram in it) is a prefix that its equals share at the same place: one row for
+   each run of windows with one anchor, its context. Contexts whose anchor stands nowhere else end here.
+2. Equal contexts are counted before they are shuffled, so each different one travels once, to the group of its anchor.
+3. A group of more than GROUP contexts gets longer prefixes: its windows are dealt in halves by where the anchor stands in
+   them, each half to the longer gram that all its windows hold, until groups fit; in the end the prefix is the window.
+4. In a group, suffix order settles every window: by smaller positions before and after it (bytes), or by the smallest
+   document below a deep node of the suffix tree (words). What it says of a context goes back to all its occurrences.
 Each result is a span of removed windows.
 """
 
@@ -22,15 +23,28 @@ from pyspark.sql import functions as F
 from skein.llm import kernels as K
 from skein.llm.common import batches, bytes_of, column_np, stash
 
-#: Most contexts of one anchor that meet in a task, and most values whose suffixes are ordered at a time.
+#: Most contexts of one prefix that meet in a task, and most values whose suffixes are ordered at a time.
 GROUP, CHUNK = 4000, 1 << 19
-SPAN, OPEN, BIG = 0, 1, 2
-ROW = "kind long, key long, ctx long, doc_id long, th long, lo long, hi long, at long, n long"
-ROW_ARROW = pa.schema([(c.split()[0], pa.int64()) for c in ROW.split(", ")])
-PART = "key long, kind long, doc_id long, th long, lo long, n long, vals binary"
-PART_ARROW = pa.schema([("key", pa.int64()), ("kind", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("lo", pa.int64()), ("n", pa.int64()), ("vals", pa.binary())])
-SPANS = "doc_id long, th long, lo long, hi long"
-SPANS_ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "th", "lo", "hi")])
+#: What becomes of a run of windows: it goes at every occurrence of its context, or at those after the first.
+ALL, LATER = 1, 2
+
+
+def _long(*names: str) -> pa.Schema:
+    return pa.schema([(n, pa.int64()) for n in names])
+
+
+#: A context at a place: windows that start in [lo, hi] have their anchor at ``at``.
+PLACE = _long("key", "ctx", "doc_id", "th", "lo", "hi", "at")
+#: A different context, first found at (doc_id, th, lo) and ``n`` times in all; its anchor is ``at`` values in and lies [a, b) values in its windows.
+STRING = _long("key", "ctx", "doc_id", "th", "lo", "n", "at", "a", "b").append(pa.field("vals", pa.binary()))
+#: The same cut from the string (of, of_ctx), ``skip`` values in.
+PIECE = _long("of", "of_ctx", "skip", *STRING.names[:-1]).append(pa.field("vals", pa.binary()))
+#: What becomes of the windows [lo, hi] of a context that is first found at (first_doc, first_th, first_lo).
+FATE = _long("key", "ctx", "first_doc", "first_th", "first_lo", "lo", "hi", "fate")
+
+
+def _ddl(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in schema)
 
 
 @dataclass(frozen=True)
@@ -50,6 +64,10 @@ class Kind:
     def length(self) -> int:
         return self.k + self.w - 1
 
+    @property
+    def dtype(self) -> type:
+        return np.uint64 if self.words else np.uint8
+
     def values(self, text) -> np.ndarray:
         data = np.frombuffer(text, np.uint8)
         return K.word_hashes(data)[2] if self.words else data
@@ -58,242 +76,194 @@ class Kind:
         return values if self.words else K.byte_values(values)
 
 
-def _settle(kind: Kind, cols: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows sorted by key, ctx, doc_id, th, lo: which are settled (their windows go), and the first of each context."""
-    n = len(cols["key"])
-    new = np.ones(n, bool)
-    new[1:] = (cols["key"][1:] != cols["key"][:-1]) | (cols["ctx"][1:] != cols["ctx"][:-1])
-    start = np.flatnonzero(new)
-    cls = np.cumsum(new) - 1
-    if kind.keep == "none":
-        return (np.add.reduceat(cols["n"], start) >= 2)[cls] if n else new, new
-    if kind.keep == "document":
-        return cols["doc_id"] > cols["doc_id"][start][cls], new
-    return ~new, new
-
-
-def _emit(**cols) -> Iterator[pa.RecordBatch]:
-    n = len(cols["lo"])
-    zero = np.zeros(n, np.int64)
-    yield from batches(ROW_ARROW, [np.asarray(cols.get(f.name, zero)).astype(np.int64) if not np.isscalar(cols.get(f.name)) else np.full(n, cols[f.name], np.int64) for f in ROW_ARROW])
+def _places(kind: Kind) -> Callable:
+    """The contexts of all texts."""
 
-
-def _merged(doc: np.ndarray, th: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Spans that touch within one document as one."""
-    if not len(lo):
-        return doc, th, lo, hi
-    order = np.lexsort((lo, th, doc))
-    doc, th, lo, hi = doc[order], th[order], lo[order], hi[order]
-    new = np.ones(len(lo), bool)
-    same = (doc[1:] == doc[:-1]) & (th[1:] == th[:-1])
-    # ends rise with starts here except for overlaps of unequal length: a running maximum within each document
-    rank = np.cumsum(np.concatenate([[True], ~same]))
-    top = np.maximum.accumulate(hi + rank * (1 << 40)) - rank * (1 << 40)
-    new[1:] = ~(same & (lo[1:] <= top[:-1]))
-    at = np.flatnonzero(new)
-    return doc[at], th[at], lo[at], top[np.concatenate([at[1:] - 1, [len(lo) - 1]])]
-
-
-def _anchor_rows(kind: Kind) -> Callable:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             ids, ths = column_np(batch, "doc_id"), column_np(batch, "th")
             found, home, size = [], [], 0
-            texts = list(bytes_of(batch.column(2)))
-            for i, text in enumerate(texts):
+            for i, text in enumerate(bytes_of(batch.column(2))):
                 a = K.anchors(kind.hashed(kind.values(text)), kind.k, kind.w)
                 if len(a[0]):
                     found.append(a)
                     home.append(i)
                     size += len(a[0])
-                if found and (size > CHUNK or i == len(texts) - 1):
-                    yield from _local(kind, found, np.repeat(home, [len(f[0]) for f in found]), ids, ths)
+                if found and (size > CHUNK or i == len(batch) - 1):
+                    yield from out(found, np.repeat(home, [len(f[0]) for f in found]), ids, ths)
                     found, home, size = [], [], 0
             if found:
-                yield from _local(kind, found, np.repeat(home, [len(f[0]) for f in found]), ids, ths)
-
-    return run
-
+                yield from out(found, np.repeat(home, [len(f[0]) for f in found]), ids, ths)
 
-def _local(kind: Kind, found: list, home: np.ndarray, ids: np.ndarray, ths: np.ndarray) -> Iterator[pa.RecordBatch]:
-    key, ctx, lo, hi, at = (np.concatenate(x) for x in zip(*found, strict=True))
-    cols = {"key": key.view(np.int64), "ctx": ctx.view(np.int64), "doc_id": ids[home], "th": ths[home], "lo": lo, "hi": hi, "at": at}
-    order = np.lexsort((cols["lo"], cols["th"], cols["doc_id"], cols["ctx"], cols["key"]))
-    cols = {c: v[order] for c, v in cols.items()} | {"n": np.ones(len(order), np.int64)}
-    settled, new = _settle(kind, cols)
-    go = np.flatnonzero(settled)
-    d, t, s, e = _merged(cols["doc_id"][go], cols["th"][go], cols["lo"][go], cols["hi"][go] + kind.length)
-    yield from _emit(kind=SPAN, key=K.mix((d ^ t ^ s).astype(np.uint64)).view(np.int64), doc_id=d, th=t, lo=s, hi=e)
-    # a settled context still sends one row, so that its equals elsewhere meet it
-    stay = np.flatnonzero(~settled | new)
-    cols["n"] = np.where(settled, 2, 1)
-    yield from _emit(kind=OPEN, **{c: v[stay] for c, v in cols.items()})
-
-
-def _resolve(kind: Kind) -> Callable:
-    """Settles rows that come sorted by key, ctx, doc_id, th, lo; what stays open goes on with its group's size in ``kind``."""
-
-    def done(cols: dict[str, np.ndarray], big: bool) -> Iterator[pa.RecordBatch]:
-        spans = cols["kind"] == SPAN
-        s = {c: v[spans] for c, v in cols.items()}
-        cols = {c: v[~spans] for c, v in cols.items()}
-        settled, new = _settle(kind, cols)
-        go = np.flatnonzero(settled)
-        merged = _merged(np.concatenate([s["doc_id"], cols["doc_id"][go]]), np.concatenate([s["th"], cols["th"][go]]), np.concatenate([s["lo"], cols["lo"][go]]), np.concatenate([s["hi"], cols["hi"][go] + kind.length]))
-        yield from _emit(kind=SPAN, doc_id=merged[0], th=merged[1], lo=merged[2], hi=merged[3])
-        if not len(cols["key"]):
-            return
-        first = np.concatenate([[True], cols["key"][1:] != cols["key"][:-1]])
-        group = np.cumsum(first) - 1
-        classes = np.bincount(group, weights=new)[group]
-        left = (~settled | new) & (classes > 1 if not big else True)
-        rows = np.bincount(group, weights=left)[group]
-        cols["n"] = np.where(settled, 2, 1)
-        cols["kind"] = np.where(big | (rows > GROUP), BIG, OPEN)
-        yield from _emit(**{c: v[left] for c, v in cols.items()})
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
-        flowing = None  # the key of a group too large to hold: its rows pass context by context
-        for batch in parts:
-            cols = {f.name: column_np(batch, f.name) for f in ROW_ARROW}
-            if held is not None:
-                cols = {c: np.concatenate([held[c], v]) for c, v in cols.items()}
-            key, n = cols["key"], len(cols["key"])
-            cut = int(np.searchsorted(key, key[-1], "left")) if n else 0
-            if flowing is not None and n:
-                upto = int(np.searchsorted(key, flowing, "right"))
-                if upto == n:  # still the same group: keep its last context back
-                    same = np.flatnonzero(cols["ctx"] != cols["ctx"][-1])
-                    cut = int(same[-1]) + 1 if len(same) else 0
-                    if cut:
-                        yield from done({c: v[:cut] for c, v in cols.items()}, True)
-                    held = {c: v[cut:] for c, v in cols.items()}
-                    continue
-                yield from done({c: v[:upto] for c, v in cols.items()}, True)
-                flowing = None
-                cols = {c: v[upto:] for c, v in cols.items()}
-                cut = max(0, cut - upto)
-            if cut:
-                yield from done({c: v[:cut] for c, v in cols.items()}, False)
-            held = {c: v[cut:] for c, v in cols.items()}
-            if len(held["key"]) > 50 * GROUP:
-                flowing = held["key"][0]
-        if held is not None and len(held["key"]):
-            yield from done(held, flowing is not None)
+    def out(found: list, home: np.ndarray, ids: np.ndarray, ths: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, ctx, lo, hi, at = (np.concatenate(x) for x in zip(*found, strict=True))
+        return batches(PLACE, [key.view(np.int64), ctx.view(np.int64), ids[home], ths[home], lo, hi, at])
 
     return run
 
 
-def _contexts(kind: Kind) -> Callable:
-    """The values of each open row, from its document."""
+def _strings(kind: Kind) -> Callable:
+    """The values of the contexts first found in these documents."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             ids, ths, lists = column_np(batch, "doc_id"), column_np(batch, "th"), batch.column(3)
-            out: list[list] = [[] for _ in PART_ARROW]
+            out: list[list] = [[] for _ in STRING]
             for i, text in enumerate(bytes_of(batch.column(2))):
                 values = np.ascontiguousarray(kind.values(text))
                 rows = lists[i].values
-                key, kd, lo, hi, n = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("key", "kind", "lo", "hi", "n"))
+                key, ctx, lo, wide, n, at = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("key", "ctx", "lo", "wide", "n", "at"))
                 for r in range(len(lo)):
-                    for c, v in zip(out, (key[r], kd[r], ids[i], ths[i], lo[r], n[r], values[lo[r] : hi[r] + kind.length].tobytes()), strict=True):
+                    for c, v in zip(out, (key[r], ctx[r], ids[i], ths[i], lo[r], n[r], at[r], 0, kind.w, values[lo[r] : lo[r] + wide[r] + kind.length].tobytes()), strict=True):
                         c.append(v)
                 if len(out[0]) > 20_000:
-                    yield from batches(PART_ARROW, out)
-                    out = [[] for _ in PART_ARROW]
-            yield from batches(PART_ARROW, out)
+                    yield from batches(STRING, out)
+                    out = [[] for _ in STRING]
+            yield from batches(STRING, out)
+
+    return run
+
+
+def _lengthened(kind: Kind) -> Callable:
+    """Strings in two pieces: windows in which the anchor lies far in, and the others, each under the gram that they share."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            out: list[list] = [[] for _ in PIECE]
+            for r in batch.to_pylist():
+                values, at, mid = np.frombuffer(r["vals"], kind.dtype), r["at"], (r["a"] + r["b"]) // 2
+                sums = K.prefix_sums(kind.hashed(values))
+                last = len(values) - kind.length
+                for a, b, lo, hi in ((mid, r["b"], 0, min(last, at - mid)), (r["a"], mid, max(0, at - mid + 1), last)):
+                    if lo > hi:
+                        continue
+                    edges = np.array([at - a, lo]), np.array([at - b + 1, hi]) + kind.length
+                    gram, whole = K.span_hash(sums, *edges)
+                    key = K.mix(gram + np.uint64(a * 2 * kind.length + b))
+                    ctx = K.mix(whole ^ np.uint64((hi - lo) * 1000003 + (at - lo) + 1))
+                    for c, v in zip(out, (r["key"], r["ctx"], lo, key.view(np.int64), ctx.view(np.int64), r["doc_id"], r["th"], r["lo"] + lo, r["n"], at - lo, a, b, values[lo : hi + kind.length].tobytes()), strict=True):
+                        c.append(v)
+            yield from batches(PIECE, out)
 
     return run
 
 
 def _ordered(kind: Kind) -> Callable:
-    """Settles the windows of open contexts, which come sorted by key, by their suffix order."""
-    width = 8 if kind.words else 1
+    """Settles the windows of strings, which come sorted by key and context, by their suffix order."""
+    width = np.dtype(kind.dtype).itemsize
 
     def settle(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if kind.keep != "none":
-            rows.sort(key=lambda r: (r[2], r[3], r[4]))  # places in the joined values are then places in the corpus
-        data = np.frombuffer(b"".join(r[6] for r in rows), np.uint64 if kind.words else np.uint8)
-        sizes = np.array([len(r[6]) // width for r in rows])
+        # places in the joined values are then places in the corpus; what occurs again is laid down once more, behind them
+        rows.sort(key=lambda r: r[2:5])
+        first = len(rows)
+        if kind.keep != "document":
+            rows = rows + [r for r in rows if r[5] > 1]
+        data = np.frombuffer(b"".join(r[9] for r in rows), kind.dtype)
+        sizes = np.array([len(r[9]) // width for r in rows])
         home = np.repeat(np.arange(len(rows)), sizes)
         start = np.cumsum(sizes) - sizes
-        inside = np.arange(len(data)) - start[home] <= (sizes - kind.length)[home]  # a whole window starts here
+        rest = (start + sizes)[home] - np.arange(len(data))
+        inside = rest >= kind.length  # a whole window starts here
         order, ranks = K.suffix_order(data, kind.length) if kind.words else K.suffix_order(K.pack_bytes(data), kind.length, 7)
-        order = order[inside[order]]
-        doc = np.array([r[2] for r in rows])
+        order, at = order[inside[order]], np.flatnonzero(inside)
+        again = np.array([r[5] > 1 for r in rows])[home]
+        fate = np.zeros(len(data), np.int64)
         if kind.keep == "document":
-            gone = smaller_documents(order, ranks, doc[home])
+            doc = np.array([r[2] for r in rows])[home]
+            fate[at[again[at]]] = LATER
+            fate[below_smaller(data, order, rest, doc, kind.length)] = ALL
         else:
             local = np.full(len(data), -1, np.int64)
-            local[np.flatnonzero(inside)] = np.arange(len(order))
-            earlier, later = K.previous_factors(local[order], ranks[inside])
-            gone = np.flatnonzero(inside)[earlier | later if kind.keep == "none" else earlier]
-        th, lo = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
-        at = lo[home[gone]] + gone - start[home[gone]]
-        yield from batches(SPANS_ARROW, list(_merged(doc[home[gone]], th[home[gone]], at, at + kind.length)))
+            local[at] = np.arange(len(at))
+            earlier, later = K.previous_factors(local[order], ranks[at])
+            copies = int(start[first]) if first < len(rows) else len(data)
+            fate[at[earlier | later if kind.keep == "none" else earlier]] = ALL
+            # the second of two is there for the later ones of its kind
+            if kind.keep == "first":
+                twins = np.flatnonzero(again[:copies])
+                fate[twins] = np.where(fate[twins] == 0, LATER * (fate[copies : copies + len(twins)] > 0), fate[twins])
+            at = at[at < copies]
+        yield from runs(rows, home[at], at - start[home[at]], fate[at])
+
+    def runs(rows: list[tuple], row: np.ndarray, place: np.ndarray, fate: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(row):
+            return
+        cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (fate[1:] != fate[:-1])]))
+        end = np.append(cut[1:], len(row)) - 1
+        go = fate[cut] > 0
+        cut, end = cut[go], end[go]
+        own = np.array([r[:5] for r in rows], np.int64)[row[cut]]
+        yield from batches(FATE, [*own.T, place[cut], place[end], fate[cut]])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, size, last = [], 0, None
         for batch in parts:
             cols = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
             for r in zip(*cols, strict=True):
-                if size > CHUNK * width and r[0] != last:
+                if r[:2] == last:  # from a repeated row of the same id and text
+                    continue
+                if size > CHUNK * width and r[0] != last[0]:
                     yield from settle(rows)
                     rows, size = [], 0
                 rows.append(r)
-                size, last = size + len(r[6]), r[0]
+                size, last = size + len(r[9]), r[:2]
         if rows:
             yield from settle(rows)
 
     return run
 
 
-def smaller_documents(order: np.ndarray, ranks: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Suffix starts below an internal node (of the depth that ranks tell apart) that a smaller document also reaches.
+def below_smaller(data: np.ndarray, order: np.ndarray, rest: np.ndarray, doc: np.ndarray, depth: int) -> np.ndarray:
+    """Suffix starts below an internal node of at least this depth that a smaller document also reaches.
 
-    Leaves in suffix order with equal ranks are the leaves of one such node of the suffix tree.
+    order: suffixes in order; rest: how many values each may use. The nodes are the intervals of the suffix tree in which
+    neighbours have so long a common prefix; deeper nodes lie within them and have no other documents.
     """
     if not len(order):
         return order
-    r = ranks[order]
-    start = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+    start = np.flatnonzero(K.common_prefixes(data, order, rest) < depth)
     least = np.minimum.reduceat(doc[order], start)
-    return order[doc[order] > np.repeat(least, np.diff(np.append(start, len(r))))]
-
-
-def _windows(kind: Kind) -> Callable:
-    schema = pa.schema([(c, pa.int64()) for c in ("w1", "w2", "doc_id", "th", "lo", "n")])
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True):
-                values = kind.hashed(np.frombuffer(r[6], np.uint64 if kind.words else np.uint8))
-                h = K.window_hashes(values, kind.length)
-                full = np.full(len(h), 1, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(K.window_hashes(K.mix(values), kind.length).view(np.int64)), *(pa.array(x) for x in (full * r[2], full * r[3], r[4] + np.arange(len(h)), full * r[5]))], schema=schema)
-
-    return run
+    return order[doc[order] > np.repeat(least, np.diff(np.append(start, len(order))))]
+
+
+def fates(kind: Kind, strings: DataFrame) -> DataFrame:
+    """FATE of all strings (different ones); those of too large groups by longer prefixes."""
+    strings = strings.select(*STRING.names)
+    large = stash(strings.groupBy("key").agg(F.count("*").alias("members")).where(F.col("members") > GROUP).select("key"), "large")
+    some = not large.isEmpty()
+    own = strings.join(large, "key", "left_anti").select(*STRING.names) if some else strings
+    settled = own.repartition("key").sortWithinPartitions("key", "ctx").mapInArrow(_ordered(kind), _ddl(FATE))
+    if not some:
+        return settled
+    hot = strings.join(large, "key", "left_semi").select(*STRING.names).dropDuplicates(["key", "ctx"])
+    pieces = stash(hot.mapInArrow(_lengthened(kind), _ddl(PIECE)), "pieces")
+    first = F.min(F.struct("doc_id", "th", "lo")).alias("first")
+    longer = stash(pieces.groupBy("key", "ctx").agg(first, F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("at", "a", "b", "vals")]).select("key", "ctx", "first.*", "n", "at", "a", "b", "vals"), "longer")
+    found = fates(kind, longer).withColumnsRenamed({"lo": "from", "hi": "to"}).join(pieces.drop("vals", "a", "b", "at"), ["key", "ctx"])
+    fate = F.when((F.col("fate") == ALL) | _after(kind), ALL).otherwise(LATER).cast("long").alias("fate")
+    found = found.select(F.col("of").alias("key"), F.col("of_ctx").alias("ctx"), F.col("doc_id").alias("first_doc"), F.col("th").alias("first_th"), (F.col("lo") - F.col("skip")).alias("first_lo"), (F.col("skip") + F.col("from")).alias("lo"), (F.col("skip") + F.col("to")).alias("hi"), fate)
+    return settled.unionByName(found)
+
+
+def _after(kind: Kind):
+    """Whether an occurrence comes after the first of its context, in the sense that matters."""
+    if kind.keep == "document":
+        return F.col("doc_id") > F.col("first_doc")
+    return F.struct("doc_id", "th", "lo") > F.struct("first_doc", "first_th", "first_lo")
 
 
 def removed_spans(docs: DataFrame, kind: Kind) -> DataFrame:
     """doc_id, th and spans (array of lo, hi) of each document (of doc_id, th, text) that loses something."""
     # the text travels to its documents' spans twice: for the contexts and for the result
-    rows = docs.mapInArrow(_anchor_rows(kind), ROW).repartition("key").sortWithinPartitions("key", "ctx", "doc_id", "th", "lo").mapInArrow(_resolve(kind), ROW)
-    rows = stash(rows, "repeats")
-    todo = rows.where(F.col("kind") != SPAN).groupBy("doc_id", "th").agg(F.collect_list(F.struct("key", "kind", "lo", "hi", "n")).alias("rows"))
-    parts = stash(docs.join(todo, ["doc_id", "th"]).select("doc_id", "th", "text", "rows").mapInArrow(_contexts(kind), PART), "contexts")
-    spans = rows.where(F.col("kind") == SPAN).select("doc_id", "th", "lo", "hi")
-    spans = spans.unionByName(parts.where(F.col("kind") == OPEN).repartition("key").sortWithinPartitions("key").mapInArrow(_ordered(kind), SPANS))
-    big = parts.where(F.col("kind") == BIG).mapInArrow(_windows(kind), "w1 long, w2 long, doc_id long, th long, lo long, n long")
-    if kind.keep == "none":
-        seen = big.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1")
-        hit = big.join(seen, ["w1", "w2"])
-    else:
-        best = F.struct("doc_id", "th", "lo") if kind.keep == "first" else F.struct("doc_id")
-        seen = big.groupBy("w1", "w2").agg(F.min(best).alias("best"), F.count("*").alias("total")).where("total > 1")
-        hit = big.join(seen, ["w1", "w2"]).where(best > F.col("best"))
-    spans = spans.unionByName(hit.select("doc_id", "th", "lo", (F.col("lo") + kind.length).alias("hi")))
+    places = stash(docs.mapInArrow(_places(kind), _ddl(PLACE)), "places")
+    again = places.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    places = stash(places.join(again, "key"), "repeats")
+    first = F.min(F.struct("doc_id", "th", "lo")).alias("first")
+    contexts = places.groupBy("key", "ctx").agg(first, F.count("*").alias("n"), F.min(F.col("hi") - F.col("lo")).alias("wide"), F.min(F.col("at") - F.col("lo")).alias("at"))
+    todo = contexts.groupBy(F.col("first.doc_id"), F.col("first.th")).agg(F.collect_list(F.struct("key", "ctx", F.col("first.lo").alias("lo"), "wide", "n", "at")).alias("rows"))
+    strings = stash(docs.join(todo, ["doc_id", "th"]).select("doc_id", "th", "text", "rows").mapInArrow(_strings(kind), _ddl(STRING)), "strings")
+    found = fates(kind, strings).withColumnsRenamed({"lo": "from", "hi": "to"})
+    spans = places.join(found, ["key", "ctx"]).where((F.col("fate") == ALL) | _after(kind)).select("doc_id", "th", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to") + kind.length).alias("hi"))
     return spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 

@@ -1,8 +1,9 @@
 """Substring deduplication over words, by prefix-partitioned suffix trees.
 
-Windows that share a k-word gram meet in one memory-sized group (repeats.py), and a gram with too many contexts is lengthened
-to whole windows. In a group, suffixes in order form a subtree; its internal nodes of at least 50 words are the repeats, and
-the smallest document below a node keeps its window.
+Windows that share a prefix, at first a gram of half a window, meet in one memory-sized group (repeats.py); where a prefix has
+too many contexts, it is lengthened word by word as far as needed, at most to the window. In a group, suffixes in order with
+their longest common prefixes form a subtree: intervals whose neighbours share at least 50 words are its deep internal nodes,
+the repeats, and the smallest document below a node keeps its window.
 """
 
 from __future__ import annotations

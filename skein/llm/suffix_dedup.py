@@ -1,7 +1,8 @@
 """Exact substring deduplication over bytes, by suffix arrays.
 
-repeats.py brings together the contexts in which a repeated anchor stands; their suffixes are ordered, and the previous and
-next smaller positions in suffix order (longest-previous-factor arrays) say which 200-byte strings start earlier too.
+repeats.py brings together the different contexts in which a repeated anchor stands; their suffixes are ordered, and the
+previous and next smaller positions in suffix order (longest-previous-factor arrays) say which 200-byte strings start earlier
+too. A context that occurs more than once is laid down twice, so that its repeat shows in suffix order like any other.
 """
 
 from __future__ import annotations

@@ -92,3 +92,27 @@ def test_words_against_brute_force(spark, monkeypatch, window, group):
 
 def test_empty(spark):
     assert dedup_words(frame(spark, [])).count() == 0 and dedup_substrings(frame(spark, [])).count() == 0
+
+
+def test_common_prefixes_and_deep_nodes():
+    r = np.random.default_rng(2)
+    for _ in range(60):
+        data, doc = r.integers(0, 2, 70), np.sort(r.integers(0, 4, 70))
+        rest, depth = 70 - np.arange(70), int(r.integers(1, 9))
+        order = K.suffix_order(data, 70)[0]
+        prefixes = [0, *(next((k for k in range(min(rest[a], rest[b])) if data[a + k] != data[b + k]), min(rest[a], rest[b])) for a, b in zip(order, order[1:]))]
+        assert K.common_prefixes(data, order, rest, 3).tolist() == prefixes
+        order = order[rest[order] >= depth]
+        windows = {i: tuple(data[i : i + depth]) for i in order}
+        assert sorted(repeats.below_smaller(data, order, rest, doc, depth)) == sorted(i for i in windows if any(doc[j] < doc[i] and windows[j] == windows[i] for j in windows))
+
+
+@pytest.mark.parametrize("keep,words", [("first", False), ("document", True), ("none", False)])
+def test_longer_prefixes_say_the_same(spark, monkeypatch, keep, words):
+    docs = frame(spark, corpus(7)).selectExpr("coalesce(doc_id, 99) doc_id", "xxhash64(text) th", "cast(coalesce(text, '') as binary) text")
+    kind = repeats.Kind(4, 5, keep, words)
+    found = []
+    for group in (4000, 3, 1):
+        monkeypatch.setattr(repeats, "GROUP", group)
+        found.append(sorted((r.doc_id, r.th, *(x.tolist() for x in K.merge_spans(*map(np.array, zip(*r.spans))))) for r in repeats.removed_spans(docs, kind).collect()))
+    assert found[0] and found[0] == found[1] == found[2]
