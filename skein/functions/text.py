@@ -1,4 +1,4 @@
-"""English text search as Column functions: terms, light stemming, query syntax and cover density."""
+"""Text search: terms and cover density as Column functions, and the syntax of queries."""
 
 from __future__ import annotations
 
@@ -16,30 +16,15 @@ STOP_WORDS = (
     "them then there these they this those through to too under until up very was we were what when where which while who whom why will "
     "with you your"
 ).split()
-VOWEL = "[aeiouy]"
-
-
-def stem(word: Column) -> Column:
-    """Plural, -ed and -ing endings taken off, final y as i: enough to meet inflected forms, no full stemmer."""
-    w = F.regexp_replace(word, r"^(.+ss)es$", "$1")
-    w = F.regexp_replace(w, r"^(.+)ies$", "$1i")
-    w = F.regexp_replace(w, r"^(.*[^s])s$", "$1")
-    cut = F.regexp_replace(w, rf"^(.*{VOWEL}.*)(?:ed|ing)$", "$1")
-    mended = F.when(cut.rlike(r"(?:at|bl|iz)$"), F.concat(cut, F.lit("e"))).otherwise(F.regexp_replace(cut, r"([^aeioulsz])\1$", "$1"))
-    w = F.when(w.rlike("eed$"), F.regexp_replace(w, r"^(.{2,})eed$", "$1ee")).when(cut != w, mended).otherwise(w)
-    return F.regexp_replace(w, r"^(.+[^aeiou])y$", "$1i")
-
-
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-def terms(text: Column, stemmed: bool = True) -> Column:
-    """Array of struct(term, pos): search terms with their places among all words; stop words hold a place but are no terms."""
+def terms(text: Column) -> Column:
+    """Array of struct(term, pos): the words to search by with their places among all words; stop words hold a place but are no terms."""
     placed = F.transform(words(text), lambda w, i: F.struct(w.alias("term"), (i + 1).cast("int").alias("pos")))
-    kept = F.filter(placed, lambda r: ~r.term.isin(STOP_WORDS))
-    return F.transform(kept, lambda r: F.struct(stem(r.term).alias("term"), r.pos.alias("pos"))) if stemmed else kept
+    return F.filter(placed, lambda r: ~r.term.isin(STOP_WORDS))
 
 
 def search_text(raw: Column, context: Column) -> Column:
@@ -73,17 +58,19 @@ def web_query(text: str) -> list[Clause]:
 
 
 def cover_density(hits: Column, n_terms: Column) -> Column:
-    """A tenth of the sum, over the minimal spans that hold all n terms, of n over the span's length.
+    """The sum over the covers of a tenth over one and the words in the cover that are no hits.
 
-    ``hits``: array of struct(pos, nth) in order of pos, nth from 0. One pass keeps the last place of each term; a span ends where
-    its first place moves on.
+    ``hits``: array of struct(pos, nth) in order of pos, nth from 0 to n - 1. A cover is a shortest span that holds all n. One
+    pass keeps the last hit of each; a cover ends where the earliest of these moves on.
     """
     start = F.struct(F.array_repeat(F.lit(0), n_terms.cast("int")).alias("last"), F.lit(0).alias("from"), F.lit(0.0).alias("sum"))
+    placed = F.transform(hits, lambda h, i: F.struct(h["pos"].alias("pos"), h["nth"].alias("nth"), (i + 1).cast("int").alias("i")))
 
     def step(s: Column, h: Column) -> Column:
-        last = F.transform(s["last"], lambda x, i: F.when(i == h["nth"], h["pos"]).otherwise(x))
+        last = F.transform(s["last"], lambda x, i: F.when(i == h["nth"], h["i"]).otherwise(x))
         low = F.array_min(last)
         fresh = low > s["from"]
-        return F.struct(last.alias("last"), F.when(fresh, low).otherwise(s["from"]).alias("from"), (s["sum"] + F.when(fresh, n_terms / (h["pos"] - low + 1).cast("double")).otherwise(0.0)).alias("sum"))
+        noise = F.greatest(h["pos"] - F.get(hits, low - 1)["pos"] - (h["i"] - low), F.lit(0))
+        return F.struct(last.alias("last"), F.when(fresh, low).otherwise(s["from"]).alias("from"), (s["sum"] + F.when(fresh, 0.1 / (1.0 + noise)).otherwise(0.0)).alias("sum"))
 
-    return F.aggregate(hits, start, step, lambda s: s["sum"] * 0.1)
+    return F.aggregate(placed, start, step, lambda s: s["sum"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -94,6 +96,42 @@ def stale(chunks: DataFrame, vectors: DataFrame, key: str = "chunk_id") -> DataF
     return chunks.join(have, key, "left").where(~F.col("vector_hash").eqNullSafe(F.col("text_hash"))).drop("vector_hash")
 
 
+def projected_cost(chunks: DataFrame, prompt_tokens: int, in_price: float, out_price: float, out_tokens: int = 80, by: tuple = ()) -> DataFrame:
+    """requests and projected (in money) of enriching these chunks, before anything is asked for.
+
+    A request has the prompt, ten tokens around it, and a token for every four characters of facts and text; prices are for a million tokens.
+    """
+    tokens = F.lit(prompt_tokens + 10) + F.floor((F.length("facts") + F.length("raw_text")) / 4)
+    cost = (F.sum(tokens) * F.lit(float(in_price)) + F.count("*") * F.lit(out_tokens * float(out_price))) / F.lit(1e6)
+    return chunks.groupBy(*by).agg(F.count("*").alias("requests"), cost.alias("projected"))
+
+
+def within_ceiling(chunks: DataFrame, spent: float, ceiling: float, prompt_tokens: int, in_price: float, out_price: float) -> float:
+    """The projected cost; an error, before anything is asked for, if it and what was spent exceed the ceiling."""
+    projected = projected_cost(chunks, prompt_tokens, in_price, out_price).first()["projected"] or 0.0
+    if spent + projected > ceiling:
+        raise ValueError(f"{spent:.2f} spent and {projected:.2f} projected exceed {ceiling:.2f}")
+    return projected
+
+
+def patient(ask: Callable, refused: type[Exception] = ConnectionError, most: float = 3600.0, delay: float = 10.0, longest: float = 300.0, sleep: Callable[[float], None] = time.sleep) -> Callable:
+    """``ask`` that waits and asks again when refused: twice as long each time, between half and one and a half of that by chance, for ``most`` seconds in all."""
+
+    def asked(*args):
+        pause, waited = delay, 0.0
+        while True:
+            try:
+                return ask(*args)
+            except refused:
+                if waited >= most:
+                    raise
+            now = pause * random.uniform(0.5, 1.5)
+            sleep(now)
+            waited, pause = waited + now, min(2 * pause, longest)
+
+    return asked
+
+
 def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]], key: str = "chunk_id", batch: int = 48) -> DataFrame:
     """(key, embedding, text_hash) by an injected embedder, asked with ``batch`` texts at a time."""
 

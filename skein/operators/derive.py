@@ -46,9 +46,9 @@ def derive_areas(forms: DataFrame, fields: DataFrame) -> DataFrame:
     return rows.select("job_id", "form_id", F.nullif("form_name", F.lit("")).alias("area_name"), F.col("q.sq_ft").alias("sq_ft"), *AREA_FIELDS.values(), F.col("q.failed").alias("sq_ft_failed"))
 
 
-def link_invoices(activities: DataFrame) -> DataFrame:
-    """(job_id, doc_number, activity_id): each number that a job's notes name, with the first activity that does."""
-    found = activities.where(F.col("notes").isNotNull() & (F.col("notes") != "")).select("job_id", "activity_id", F.explode(invoice_numbers(F.col("notes"))).alias("n"))
+def link_invoices(activities: DataFrame, type_name: str = "Invoice") -> DataFrame:
+    """(job_id, doc_number, activity_id): each number that the notes of a job's invoice activities name, with the first that does."""
+    found = activities.where((F.col("type_name") == type_name) & (F.col("notes") != "")).select("job_id", "activity_id", F.explode(invoice_numbers(F.col("notes"))).alias("n"))
     return found.groupBy("job_id", F.col("n").cast("string").alias("doc_number")).agg(F.min("activity_id").alias("activity_id"))
 
 

@@ -11,24 +11,39 @@ ROUTES = ("structured", "semantic", "hybrid", "refuse")
 CUTS = (5, 10, 20)
 
 
-def ranking_metrics(ranks: DataFrame, gold: DataFrame, by: tuple = ("lane",), cuts: tuple = CUTS, k: int = 10) -> DataFrame:
+def ranking_metrics(ranks: DataFrame, gold: DataFrame, by: tuple = ("lane",), cuts: tuple = CUTS, k: int = 10, asked: DataFrame | None = None) -> DataFrame:
     """recall_at_<cut>, mrr and ndcg of each lane and query: ``ranks`` (lane, query_id, chunk_id, rank) against ``gold`` (query_id, chunk_id).
 
-    A lane that found nothing for a query has no row for it; queries without gold have null recall and NDCG and an MRR of 0.
+    ``asked`` has a row (lane, query_id) for each list there should be; one that found nothing scores 0. By default these are the
+    lists of ``ranks`` and the queries with gold in each of its lanes. Queries without gold have null recall and NDCG and an MRR of 0.
     """
     truth = gold.select("query_id", "chunk_id").distinct()
+    rows = ranks.join(truth.withColumn("hit", F.lit(True)), ["query_id", "chunk_id"], "left")
     sizes = truth.groupBy("query_id").agg(F.count("*").alias("n_gold"))
-    hit, rank = F.col("hit"), F.col("rank")
-    rows = ranks.join(truth.withColumn("hit", F.lit(1)), ["query_id", "chunk_id"], "left")
-    gain = F.sum(F.when(hit.isNotNull() & (rank <= k), 1 / F.log2(rank + F.lit(1.0))))
-    got = rows.groupBy(*by, "query_id").agg(*[F.count_if(hit.isNotNull() & (rank <= c)).alias(f"_{c}") for c in cuts], F.min(F.when(hit.isNotNull(), rank)).alias("first"), gain.alias("gain"))
+    if asked is None:
+        lanes = F.explode(ranks.agg(F.collect_set(F.struct(*by))).scalar()).alias("l")  # the few lanes that are compared
+        asked = ranks.select(*by, "query_id").union(sizes.select(lanes, "query_id").select("l.*", "query_id"))
+    return metrics_of(rows, sizes, asked, by, cuts, k)
+
+
+def metrics_of(rows: DataFrame, sizes: DataFrame, asked: DataFrame, by: tuple = ("lane",), cuts: tuple = CUTS, k: int = 10) -> DataFrame:
+    """The same from ranked rows (lane, query_id, rank, hit) and the number of gold chunks (query_id, n_gold)."""
+    hit, rank = F.coalesce("hit", F.lit(False)), F.col("rank")
+    gain = F.sum(F.when(hit & (rank <= k), 1 / F.log2(rank + F.lit(1.0))))
+    got = rows.groupBy(*by, "query_id").agg(*[F.count_if(hit & (rank <= c)).alias(f"_{c}") for c in cuts], F.min(F.when(hit, rank)).alias("first"), gain.alias("gain"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n_gold"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + F.lit(1.0)))
-    out = got.join(sizes, "query_id", "left")
+    out = asked.select(*by, "query_id").distinct().join(got, [*by, "query_id"], "left").na.fill(0, [f"_{c}" for c in cuts]).join(sizes, "query_id", "left")
     recalls = [F.round(F.col(f"_{c}") / F.col("n_gold"), 9).alias(f"recall_at_{c}") for c in cuts]
     ndcg = F.when(F.col("n_gold") > 0, F.round(F.coalesce("gain", F.lit(0.0)) / ideal, 9))
     return out.select(*by, "query_id", *recalls, F.round(F.coalesce(1 / F.col("first"), F.lit(0.0)), 9).alias("mrr"), ndcg.alias("ndcg"))
 
 
+def markdown_lines(rows: DataFrame, labels: list[str], numbers: list[str], digits: int = 3) -> DataFrame:
+    """Each row as a line of a Markdown table, numbers with so many digits and a dash for none."""
+    number = lambda c: F.coalesce(F.format_string(f"%.{digits}f", F.col(c)), F.lit("—"))
+    return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *labels, *[F.when(F.col(c).isNull(), "—").otherwise(number(c)) for c in numbers]), F.lit(" |")).alias("line"))
+
+
 def means(metrics: DataFrame, by: tuple = ("lane",)) -> DataFrame:
     """The mean of each metric, nulls left out."""
     names = [c for c in metrics.columns if c not in (*by, "query_id")]
@@ -77,6 +92,16 @@ def failure_report(rows: DataFrame) -> DataFrame:
     return rows.withColumn("report", kind).where(F.col("report").isNotNull())
 
 
+def first_questions(golden: DataFrame, n: int | None) -> DataFrame:
+    """The first n questions by id, for a short run; all without n."""
+    return golden if n is None else golden.orderBy("id").limit(n)
+
+
+def sample(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
+    """n rows picked by chance, to be read by a person; the same ones for a seed and an order of rows."""
+    return rows.orderBy(F.rand(seed)).limit(n)
+
+
 def read_golden(rows: DataFrame) -> DataFrame:
     """Golden questions with relevant_ids ('1, 2, 3') as array<bigint>; retired ones are left out."""
     ids = F.filter(F.transform(F.split(F.coalesce("relevant_ids", F.lit("")), ","), lambda x: F.btrim(x).try_cast("bigint")), lambda x: x.isNotNull())

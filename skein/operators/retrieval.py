@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from skein.functions.text import Clause, cover_density, search_text, stem, terms, web_query, words
+from skein.functions.stemming import stem, stem_word
+from skein.functions.text import STOP_WORDS, cover_density, search_text, terms, web_query
 
 TOP = 50
 RRF = 60
@@ -28,96 +29,157 @@ def ranked(scored: DataFrame, n: int = TOP, score: str = "score") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
 
 
-def postings(chunks: DataFrame, stemmed: bool = True) -> DataFrame:
-    """The inverted index: one row for each term of each chunk with its places in order. Write it out, partitioned by term hash, to search often."""
+def postings(chunks: DataFrame, stemmed: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """The inverted index: one row for each term of each chunk with its places in order. Write it out, partitioned by term hash, to search often.
+
+    only: a table with the terms that will be looked up; no others are indexed, nor shuffled.
+    """
     text = search_text(F.col("raw_text"), F.col("context_text")) if "context_text" in chunks.columns else F.col("raw_text")
-    rows = chunks.select("chunk_id", F.explode(terms(text, stemmed)).alias("t")).select("chunk_id", "t.term", "t.pos")
+    rows = chunks.select("chunk_id", F.explode(terms(text)).alias("t")).select("chunk_id", "t.term", "t.pos")
+    if stemmed:
+        rows = rows.withColumn("term", stem("term"))
+    if only is not None:
+        rows = rows.join(only.select("term").distinct(), "term", "left_semi")
     return rows.groupBy("term", "chunk_id").agg(F.sort_array(F.collect_list("pos")).alias("places"))
 
 
-def query_terms(queries: DataFrame, stemmed: bool = True) -> DataFrame:
-    """(query_id, term, nth, n_terms): the distinct terms of each query."""
-    found = queries.select("query_id", F.array_sort(F.array_distinct(F.transform(terms(F.col("query"), stemmed), lambda t: t.term))).alias("all"))
-    return found.select("query_id", F.posexplode("all").alias("nth", "term"), F.size("all").alias("n_terms"))
+CLAUSES = "query_id {}, n_clauses int, clause int, negated boolean, phrase int, size int, place int, term string, single boolean"
 
 
-def keyword_search(index: DataFrame, queries: DataFrame, n: int = TOP, within: DataFrame | None = None, stemmed: bool = True) -> DataFrame:
-    """Ranked lists by words: chunks with all terms of a query, or, where there is none, chunks with any.
+def query_terms(queries: DataFrame, stemmed: bool = True) -> DataFrame:
+    """The terms of queries in web-search syntax (text.web_query): one row for each word of each phrase of each different clause.
 
-    Both attempts come from one pass: a chunk has all terms when it has as many as the query. All-term hits are scored by cover
-    density over their places; any-term hits by a tenth of their occurrences. ``within``
-    (query_id, chunk_id) or (chunk_id) limits the search. A query without terms finds nothing.
+    n_clauses counts those that must hold; place is the word's in its phrase, stop words counted but left out; single: the
+    clause is one word that must hold. A query without such clauses has no rows.
     """
+
+    def parsed(text: str) -> list[tuple[frozenset, bool]]:
+        out: dict[tuple, None] = {}
+        for c in web_query(text):
+            phrases = [tuple((i, stem_word(w) if stemmed else w) for i, w in enumerate(p) if w not in STOP_WORDS) for p in c.phrases]
+            if kept := frozenset(p for p in phrases if p):
+                out[kept, c.negated] = None
+        return sorted(out, key=lambda c: c[1])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for qid, text in zip(f["query_id"], f["query"], strict=True):
+                clauses = parsed(text or "")
+                n = sum(not negated for _, negated in clauses)
+                for i, (phrases, negated) in enumerate(clauses if n else []):
+                    single = not negated and len(phrases) == 1 and len(next(iter(phrases))) == 1
+                    rows += [(qid, n, i, negated, j, len(p), at, w, single) for j, p in enumerate(sorted(phrases)) for at, w in p]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CLAUSES.split(", ")])
+
+    return queries.select("query_id", "query").mapInPandas(run, CLAUSES.format(queries.schema["query_id"].dataType.simpleString()))
+
+
+def _phrases(parts):
+    """Of an array of struct(clause, phrase, size, negated, starts): the clauses that hold, as structs (clause, negated)."""
+    same = lambda p, q: (p["clause"] == q["clause"]) & (p["phrase"] == q["phrase"])
+    names = F.array_distinct(F.transform(parts, lambda p: F.struct(p["clause"], p["phrase"], p["size"], p["negated"])))
+
+    def holds(n):
+        own = F.transform(F.filter(parts, lambda p: same(p, n)), lambda p: p["starts"])
+        # all its words stand at the distances they have in the phrase
+        return (F.size(own) == n["size"]) & (F.size(F.aggregate(own, F.get(own, 0), lambda a, x: F.array_intersect(a, x))) > 0)
+
+    return F.array_distinct(F.transform(F.filter(names, holds), lambda n: F.struct(n["clause"], n["negated"])))
+
+
+PAIR = ["query_id", "chunk_id"]
+
+
+def _hits(index: DataFrame, queries: DataFrame, within: DataFrame | None, stemmed: bool) -> DataFrame:
+    """The postings of the queries' terms."""
     if within is not None:
         index = index.join(within.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    q = query_terms(queries, stemmed)
-    hits = index.join(q, "term")
-    if within is not None and "query_id" in within.columns:
-        hits = hits.join(within.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_semi")
-    found = hits.groupBy("query_id", "chunk_id").agg(F.count("*").alias("matched"), F.sum(F.size("places")).alias("occurrences"), F.max("n_terms").alias("n_terms"), F.collect_list(F.struct("nth", "places")).alias("per_term"))
-    best = F.max("matched").over(Window.partitionBy("query_id"))
-    found = found.withColumn("strict", best == F.col("n_terms")).where(~F.col("strict") | (F.col("matched") == F.col("n_terms")))
-    places = F.array_sort(F.flatten(F.transform("per_term", lambda t: F.transform(t.places, lambda p: F.struct(p.alias("pos"), t.nth.alias("nth"))))))
-    score = F.when(F.col("strict"), cover_density(places, F.col("n_terms"))).otherwise(F.col("occurrences") * 0.1)
-    return ranked(found.select("query_id", "chunk_id", F.round(score, 9).alias("score")), n)
+    hits = index.join(query_terms(queries, stemmed), "term")
+    return hits.join(within.select(*PAIR).distinct(), PAIR, "left_semi") if within is not None and "query_id" in within.columns else hits
 
 
-def web_search(chunks: DataFrame, query: str, stemmed: bool = True) -> DataFrame:
-    """Chunks that match one query in web-search syntax: quoted phrases, ``or``, ``-``; a query without words matches nothing."""
-    spaced = F.concat(F.lit(" "), F.array_join(F.transform(words(F.col("raw_text")), stem) if stemmed else words(F.col("raw_text")), " "), F.lit(" "))
+def matches(index: DataFrame, queries: DataFrame, within: DataFrame | None = None, stemmed: bool = True) -> DataFrame:
+    """(query_id, chunk_id, matched, occurrences, n_clauses) of chunks with any word of a query and none of its negated clauses.
+
+    Words are counted in one aggregate over the postings; places travel only for phrases and alternatives.
+    """
+    hits, pair = _hits(index, queries, within, stemmed), PAIR
+    many = F.size("places").cast("long")
+    single = hits.where("single").groupBy(*pair).agg(F.count("*").alias("matched"), F.sum(many).alias("found"), F.max("n_clauses").alias("n1"))
+    starts = F.transform("places", lambda p: p - F.col("place"))
+    other = hits.where("not single").groupBy(*pair).agg(F.collect_list(F.struct("clause", "phrase", "size", "negated", starts.alias("starts"))).alias("parts"), F.sum(F.when(~F.col("negated"), many)).alias("also"), F.max("n_clauses").alias("n2"))
+    other = other.withColumn("held", _phrases(F.col("parts"))).drop("parts")
+    both = single.join(other, pair, "full").where(~F.coalesce(F.exists("held", lambda h: h["negated"]), F.lit(False)))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return both.select(
+        *pair, (zero(F.col("matched")) + zero(F.size("held"))).alias("matched"), (zero(F.col("found")) + zero(F.col("also"))).alias("occurrences"), F.coalesce("n1", "n2").alias("n_clauses")
+    ).where("occurrences > 0")
 
-    def holds(clause: Clause):
-        out = F.lit(False)
-        for phrase in clause.phrases:
-            wanted = F.array(*[stem(F.lit(w)) if stemmed else F.lit(w) for w in phrase])
-            out = out | F.contains(F.col("_words"), F.concat(F.lit(" "), F.array_join(wanted, " "), F.lit(" ")))
-        return ~out if clause.negated else out
 
-    clauses = web_query(query)
-    if not any(not c.negated for c in clauses):
-        return chunks.limit(0)
-    rows = chunks.withColumn("_words", spaced)
-    for clause in clauses:
-        rows = rows.where(holds(clause))
-    return rows.drop("_words")
+def keyword_search(index: DataFrame, queries: DataFrame, n: int = TOP, within: DataFrame | None = None, stemmed: bool = True) -> DataFrame:
+    """Ranked lists by words: chunks in which all clauses of a query hold, or, where there is none, chunks with any of its words.
+
+    Queries may have "quoted phrases", ``or`` and ``-``. Chunks in which all clauses hold are scored by cover density, the others
+    by a tenth of their occurrences; chunks with a negated clause are never found. ``within`` (query_id, chunk_id) or (chunk_id)
+    limits the search. A query without words finds nothing.
+    """
+    pair, both = PAIR, matches(index, queries, within, stemmed)
+    whole = both.where("matched = n_clauses").select(*pair)
+    strict = whole.select(F.col("query_id").alias("q")).distinct()
+    some = both.join(strict, F.col("query_id") == F.col("q"), "left_anti").select(*pair, (F.col("occurrences") * 0.1).alias("score"))
+    places = _hits(index, queries, within, stemmed).where("not negated").join(whole, pair, "left_semi").groupBy(*pair).agg(F.max("n_clauses").alias("n_clauses"), F.collect_list(F.struct("clause", "places")).alias("parts"))
+    at = F.array_sort(F.array_distinct(F.flatten(F.transform("parts", lambda t: F.transform(t["places"], lambda p: F.struct(p.alias("pos"), t["clause"].alias("nth")))))))
+    # a column of its own, as the fold looks back at it
+    every = places.withColumn("at", at).select(*pair, cover_density(F.col("at"), F.col("n_clauses")).alias("score"))
+    return ranked(every.unionByName(some).withColumn("score", F.round("score", 9)), n)
+
+
+def web_search(chunks: DataFrame, query: str, stemmed: bool = True) -> DataFrame:
+    """Chunks in which all clauses of one query hold; a query without words matches nothing."""
+    q = query_terms(chunks.sparkSession.createDataFrame([(0, query)], "query_id int, query string"), stemmed)
+    hits = postings(chunks, stemmed, only=q).join(q, "term")
+    starts = F.transform("places", lambda p: p - F.col("place"))
+    held = hits.groupBy("chunk_id").agg(F.max("n_clauses").alias("n"), F.collect_list(F.struct("clause", "phrase", "size", "negated", starts.alias("starts"))).alias("parts")).withColumn("held", _phrases(F.col("parts")))
+    found = held.where((F.size("held") == F.col("n")) & ~F.exists("held", lambda h: h["negated"]))
+    return chunks.join(found.select("chunk_id"), "chunk_id", "left_semi")
 
 
 def dense_search(vectors: DataFrame, queries: DataFrame, n: int = TOP, within: DataFrame | None = None, block: int = BLOCK, slab: int = SLAB) -> DataFrame:
     """Ranked lists by exact cosine: vectors (chunk_id, embedding) against queries (query_id, embedding).
 
-    Queries are dealt into blocks and vectors into slabs; each pair of a block and a slab is one matrix product in one task,
-    which returns its n best of each query, so what is shuffled next is n rows for each query and slab. Vectors of another
-    length than the query's, without length or null are not found.
+    Queries are dealt into blocks and vectors into slabs, by two counts of column data alone; each pair of a block and a slab is
+    one matrix product in one task, which returns its n best of each query, so what is shuffled next is n rows for each query
+    and slab. Vectors of another length than the query's, without length or null are not found.
     """
     if within is not None:
         vectors = vectors.join(within.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    blocks, slabs = max(1, -(-queries.count() // block)), max(1, -(-vectors.count() // slab))
+    known = vectors.where(F.col("embedding").isNotNull())
+    blocks, slabs = (max(1, -(-c // size)) for c, size in ((queries.count(), block), (known.count(), slab)))
     q = queries.select("query_id", F.col("embedding").alias("qv"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("b")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))))
-    v = vectors.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id"), F.lit(slabs)).cast("int").alias("s")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    v = known.select("chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id"), F.lit(slabs)).cast("int").alias("s")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+
+    def unit(column: pa.ListArray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of that length, as doubles of length one, that have a length."""
+        at = np.flatnonzero((np.diff(column.offsets.to_numpy()) == length) & column.is_valid().to_numpy(zero_copy_only=False))
+        m = np.asarray(column.values, np.float64)[column.offsets.to_numpy()[at][:, None] + np.arange(length)]
+        size = np.sqrt((m * m).sum(1))
+        ok = size > 0
+        return at[ok], m[ok] / size[ok, None]
 
     def product(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"query_id": [], "chunk_id": [], "score": []}
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
         if left.num_rows and right.num_rows:
-            ids, rows = right["chunk_id"].to_numpy(), right["embedding"].combine_chunks()
-            sizes = np.diff(rows.offsets.to_numpy())
-            for qid, vec in zip(left["query_id"].to_pylist(), left["qv"].to_pylist(), strict=True):
-                if not vec:
-                    continue
-                same = np.flatnonzero(sizes == len(vec))
-                if not len(same):
-                    continue
-                first = rows.offsets.to_numpy()[same]
-                m = np.asarray(rows.values, np.float64)[first[:, None] + np.arange(len(vec))]
-                x = np.asarray(vec, np.float64)
-                lengths = np.sqrt((m * m).sum(1)) * np.sqrt(x @ x)
-                ok = lengths > 0
-                score, at = np.round((m @ x)[ok] / lengths[ok], 12), ids[same][ok]
-                best = np.lexsort((at, -score))[:n]
-                out["query_id"].append(np.full(len(best), qid))
-                out["chunk_id"].append(at[best])
-                out["score"].append(score[best])
-        arrays = [np.concatenate(x) if x else np.empty(0) for x in out.values()]
-        return pa.table([pa.array(a, t) for a, t in zip(arrays, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=list(out))
+            qids, ids = left["query_id"].to_numpy(), right["chunk_id"].to_numpy()
+            asked, have = left["qv"].combine_chunks(), right["embedding"].combine_chunks()
+            for length in np.unique(np.diff(asked.offsets.to_numpy())).tolist():
+                (i, a), (j, b) = unit(asked, length), unit(have, length)
+                # one product for all queries of a length; a tie at the n-th place goes by id, so all that tie are kept first
+                for k, score in zip(i, np.round(a @ b.T, 12) if len(i) and len(j) else (), strict=False):
+                    near = np.flatnonzero(score >= np.partition(score, -n)[-n]) if len(score) > n else np.arange(len(score))
+                    best = near[np.lexsort((ids[j[near]], -score[near]))][:n]
+                    out.append((np.full(len(best), qids[k]), ids[j[best]], score[best]))
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "chunk_id", "score"])
 
     best = q.groupBy("b", "s").cogroup(v.groupBy("b", "s")).applyInArrow(product, "query_id bigint, chunk_id bigint, score double")
     return ranked(best, n)

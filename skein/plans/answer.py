@@ -6,10 +6,12 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from skein.operators import retrieval
-from skein.plans.guard import Guard, Result, run_structured
+from skein.plans.guard import Guard, Rejected, Result, run_structured
 
 ROUTES = ("structured", "semantic", "hybrid", "refuse")
 SHOWN = 50
@@ -41,6 +43,17 @@ def route(question: str, router: Callable[[str], Route] = rule_router) -> Route:
     return found if found.route in ROUTES else Route("semantic", f"unknown route {found.route}")
 
 
+def routes(questions: DataFrame, router: Callable[[str], Route] = rule_router) -> DataFrame:
+    """``questions`` (question and others) with route and reason; many questions at a time, each by the router."""
+
+    def run(frames):
+        for f in frames:
+            found = [route(q, router) for q in f["question"]]
+            yield f.assign(route=[r.route for r in found], reason=[r.reason for r in found])
+
+    return questions.mapInPandas(run, T.StructType([*questions.schema.fields, T.StructField("route", T.StringType()), T.StructField("reason", T.StringType())]))
+
+
 def format_rows(result: Result, shown: int = SHOWN) -> str:
     head = " | ".join(result.columns)
     body = [" | ".join("" if v is None else str(v) for v in row) for row in result.rows[:shown]]
@@ -93,7 +106,7 @@ class Engine:
             return None
         try:
             return run_structured(self.guard, question, self.generate)
-        except Exception:
+        except (Rejected, TimeoutError, PySparkException):
             return None
 
     def answer(self, question: str) -> Answer:

@@ -27,6 +27,10 @@ FUNCTIONS = set(
 )
 
 
+#: A limit at the end of a query. A limit of a subquery is followed by a parenthesis.
+_LIMIT = re.compile(r"\s+limit\s+(\d+|all)\s*$", re.I)
+
+
 class Rejected(ValueError):
     """The query is not allowed."""
 
@@ -84,8 +88,8 @@ class Result:
 class Guard:
     """Runs queries in a session of its own that holds only the given views.
 
-    ``build`` makes the views in the session it gets. A query's own limit counts; more than ``max_rows`` rows are never shown,
-    while row_count tells how many the query has.
+    ``build`` makes the views in the session it gets. A query without a limit of its own shows ``max_rows`` rows; row_count tells
+    how many there are without any limit at the query's end.
     """
 
     def __init__(self, spark: SparkSession, build: Callable[[SparkSession], dict[str, DataFrame]], max_rows: int = MAX_ROWS, timeout: float = TIMEOUT) -> None:
@@ -129,14 +133,20 @@ class Guard:
             raise Rejected(str(e)[:300]) from e
 
     def run(self, sql: str) -> Result:
-        df = self.frame(sql)
+        df, text = self.frame(sql), unfenced(sql)
+        whole = _LIMIT.sub("", text)
+        own = whole != text
         group, out, fault = uuid.uuid4().hex, [], []
 
         def work() -> None:
             try:
                 self.session.sparkContext.setJobGroup(group, "guarded query", True)
-                rows = df.limit(self.max_rows + 1).collect()
-                out.extend([rows[: self.max_rows], len(rows) if len(rows) <= self.max_rows else df.count()])
+                rows = (df if own else df.limit(self.max_rows + 1)).collect()
+                if own and rows:
+                    n = self.session.sql(whole).count()
+                else:
+                    n = len(rows) if len(rows) <= self.max_rows else df.count()
+                out.extend([rows if own else rows[: self.max_rows], n])
             except Exception as e:
                 fault.append(e)
 
@@ -144,7 +154,7 @@ class Guard:
         thread.start()
         thread.join(self.timeout)
         if thread.is_alive():
-            for _ in range(50):  # a job that was still being planned starts after the first attempt
+            for _ in range(150):  # a query that is still being planned starts its jobs after the first attempt
                 self.session.sparkContext.cancelJobGroup(group)
                 thread.join(0.2)
                 if not thread.is_alive():
@@ -152,7 +162,7 @@ class Guard:
             raise TimeoutError(f"stopped after {self.timeout} s")
         if fault:
             raise fault[0]
-        return Result(unfenced(sql), df.columns, out[0], out[1], df)
+        return Result(text, df.columns, out[0], out[1], df)
 
 
 def run_structured(guard: Guard, question: str, generate: Callable[[str, str | None, str | None], str]) -> Result:

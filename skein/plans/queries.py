@@ -1,95 +1,17 @@
-"""The registered queries of the core library, each with its SQL where SQL can state it."""
+"""Registered queries over the curated views, derived tables and chunks, each with its SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from skein.functions import parsers
-from skein.functions.text import STOP_WORDS
 from skein.operators import chunks as ch
-from skein.operators import derive, evals, gates, retrieval
+from skein.operators import derive, gates
 from skein.plans import views as v
+from skein.plans.registry import PCT, query
 from skein.sources.domain import Domain
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-#: The domain tables in DuckDB's words; a query names those it needs.
-TABLES = {
-    "jobs": """SELECT o_orderkey AS job_id, c_name AS job_name, 'Account ' || o_custkey AS account_name, o_orderpriority AS salesperson, n_name AS city,
-        c_mktsegment AS process_name, o_orderstatus AS job_status_name, CAST(o_orderdate AS DATE) AS creation_date
-        FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey""",
-    "lines": """SELECT l_orderkey AS job_id, l_suppkey AS crew_id, l_partkey, l_suppkey, l_linestatus AS status_name,
-        CASE l_partkey % 5 WHEN 0 THEN 'Quote' WHEN 1 THEN 'Measure' WHEN 2 THEN 'Template' WHEN 3 THEN 'Follow Up'
-             ELSE CASE WHEN l_suppkey % 3 = 0 THEN 'Install' ELSE 'Repair' END END AS type_name,
-        CASE WHEN l_returnflag <> 'A' THEN CAST(l_shipdate AS DATE) END AS activity_date,
-        CASE WHEN l_partkey % 97 = 0 THEN 'Payment received — invoice #' || l_orderkey
-             WHEN l_partkey % 89 = 0 THEN 'check-bot: order ' || l_orderkey || ' paid'
-             WHEN l_partkey % 7 = 0 THEN 'invoice ' || l_orderkey || ' for $ ' || l_partkey || ' on ' || strftime(l_shipdate, '%Y-%m-%d') || ', see # ' || (l_orderkey + 1) || '.'
-             WHEN l_partkey % 11 = 0 THEN '' WHEN l_partkey % 13 <> 0 THEN 'Spoke with the client about part ' || l_partkey || '/' || l_suppkey END AS notes,
-        l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS activity_id
-        FROM lineitem""",
-    "areas": "SELECT l_orderkey AS job_id, l_quantity AS sq_ft, p_type AS room_type, p_name AS material_name, p_brand AS edge FROM lineitem JOIN part ON l_partkey = p_partkey",
-    "invoices": "SELECT CAST(o_orderkey AS VARCHAR) AS doc_number, o_custkey AS customer_id, CAST(o_orderdate AS DATE) AS txn_date, CAST(o_totalprice AS DECIMAL(18,2)) AS total_amt, o_orderstatus AS status FROM orders",
-    "signals": """SELECT job_id, min(activity_date) AS first_signal_date, max(activity_date) AS last_signal_date,
-        bool_or(type_name = 'Quote') AS q, bool_or(type_name = 'Measure') AS m, bool_or(type_name = 'Template') AS t
-        FROM lines WHERE type_name IN ('Quote', 'Measure', 'Template') AND activity_date <= DATE '2000-12-31' GROUP BY job_id""",
-    "last_signal": """SELECT job_id, signal_source FROM (SELECT job_id, lower(type_name) AS signal_source, row_number() OVER (PARTITION BY job_id ORDER BY activity_date DESC,
-        CASE type_name WHEN 'Quote' THEN 1 WHEN 'Measure' THEN 2 ELSE 3 END) AS nth FROM lines
-        WHERE type_name IN ('Quote', 'Measure', 'Template') AND activity_date <= DATE '2000-12-31') WHERE nth = 1""",
-    "moves": "SELECT job_id, min(activity_date) AS first_move_date FROM lines WHERE type_name IN ('Install', 'Removal') AND activity_date IS NOT NULL GROUP BY job_id",
-    "status": """SELECT j.job_id, j.job_name, s.job_id IS NOT NULL AS is_quoted, first_signal_date, last_signal_date, signal_source, coalesce(q, false) AS had_dated_quote,
-        coalesce(m, false) AS had_dated_measure, coalesce(t, false) AS had_dated_template, mv.job_id IS NOT NULL AS moved_forward, first_move_date,
-        coalesce(first_move_date > DATE '2000-12-31', false) AS move_is_future,
-        CASE WHEN s.job_id IS NOT NULL AND mv.job_id IS NULL THEN CAST(date_diff('day', last_signal_date, DATE '2000-12-31') AS INTEGER) END AS days_silent,
-        CASE WHEN s.job_id IS NULL THEN 'not_quoted' WHEN mv.job_id IS NOT NULL THEN 'moved' WHEN date_diff('day', last_signal_date, DATE '2000-12-31') <= 30 THEN 'pending' ELSE 'quiet' END AS status
-        FROM jobs j LEFT JOIN signals s ON s.job_id = j.job_id LEFT JOIN last_signal l ON l.job_id = j.job_id LEFT JOIN moves mv ON mv.job_id = j.job_id""",
-    "paid": "SELECT DISTINCT job_id FROM lines WHERE (type_name IN ('Install', 'Removal') AND activity_date IS NOT NULL) OR notes ILIKE '%payment received —%' OR notes ILIKE '%payment recorded —%' OR notes ILIKE '%check-bot%'",
-    "sqft": "SELECT l_orderkey AS job_id, sum(l_quantity) AS total_sq_ft, count(*) AS n_areas FROM lineitem GROUP BY 1",
-    "masked": r"SELECT job_id, activity_id, regexp_replace(regexp_replace(notes, '[0-9]+([.,/-][0-9]+)+', 'x', 'g'), '\$\s*[0-9]+', 'x', 'g') AS note FROM lines WHERE notes <> ''",
-    "numbers": "SELECT job_id, activity_id, unnest(regexp_extract_all(note, '(?:# ?)?[0-9]+')) AS s FROM masked",
-    "links": """SELECT job_id, CAST(n AS VARCHAR) AS doc_number, min(activity_id) AS activity_id FROM (SELECT job_id, activity_id, s LIKE '#%' AS tagged, TRY_CAST(ltrim(s, '# ') AS BIGINT) AS n FROM numbers)
-        WHERE n BETWEEN 1002 AND 19999 AND (tagged OR n NOT BETWEEN 2018 AND 2031) GROUP BY ALL""",
-    "documents_words": "SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS w FROM documents",
-}
-TABLES["assignee"] = """SELECT DISTINCT activity_id, s_name AS assignee_name FROM (SELECT activity_id, unnest(CASE WHEN crew_id % 2 = 0 THEN [crew_id, crew_id % 10] ELSE [crew_id] END) AS s FROM lines) JOIN supplier ON s = s_suppkey"""
-NEEDS = {
-    "signals": ["lines"], "last_signal": ["lines"], "moves": ["lines"], "status": ["jobs", "signals", "last_signal", "moves"], "paid": ["lines"],
-    "masked": ["lines"], "numbers": ["masked"], "links": ["numbers"], "assignee": ["lines"],
-}
-PCT = "CAST(round(100.0 * {} / {}, 1) AS DOUBLE)"
-
-
-def with_tables(names: str, select: str) -> str:
-    """``select`` with the tables it needs, and those that they need, before it."""
-    order: list[str] = []
-
-    def add(name: str) -> None:
-        for n in NEEDS.get(name, []):
-            add(n)
-        if name not in order:
-            order.append(name)
-
-    for name in names.split():
-        add(name)
-    return "WITH " + ", ".join(f"{n} AS ({TABLES[n]})" for n in order) + " " + select if order else select
-
-
-def query(sql: str | None = None, tables: str = ""):
-    """Registers a function of Domain under its name, with its SQL over ``tables``."""
-
-    def add(f: Callable[[Domain], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Domain(spark, sf_dir))
-        if sql is not None:
-            SQL[f.__name__] = with_tables(tables, sql)
-        return f
-
-    return add
-
 
 def _status(d: Domain) -> DataFrame:
     return v.pipeline_status(d.jobs, d.activities)
@@ -175,11 +97,11 @@ def placeholder_diagnostic(d):
 
 
 @query(
-    f"SELECT l.activity_id, l.job_id, job_name, type_name, status_name, activity_date, assignees, {HAPPENED} AS happened, {FUTURE} AS is_scheduled_future FROM lines l JOIN jobs j ON j.job_id = l.job_id LEFT JOIN (SELECT activity_id, string_agg(assignee_name, ', ' ORDER BY assignee_name) AS assignees FROM assignee GROUP BY 1) a ON a.activity_id = l.activity_id",
+    f"SELECT l.activity_id, l.job_id, job_name, type_name, status_name, activity_date, phase, assignees, notes AS note, {HAPPENED} AS happened, {FUTURE} AS is_scheduled_future FROM lines l JOIN jobs j ON j.job_id = l.job_id LEFT JOIN (SELECT activity_id, string_agg(assignee_name, ', ' ORDER BY assignee_name) AS assignees FROM assignee GROUP BY 1) a ON a.activity_id = l.activity_id",
     "lines jobs assignee",
 )
 def activities_with_assignees(d):
-    return v.v_activities(d.keyed_activities, d.assignees, d.jobs)
+    return v.v_activities(d.staffed_activities, None, d.jobs)
 
 
 @query("SELECT * FROM sqft", "sqft")
@@ -205,17 +127,17 @@ def jobs_view(d):
     return v.v_jobs(d.jobs)
 
 
-@query("SELECT a.job_id, job_name, salesperson, room_type, sq_ft, material_name, edge FROM areas a JOIN jobs j ON j.job_id = a.job_id", "areas jobs")
+@query("SELECT a.job_id, job_name, area_name, room_type, sq_ft, material_name, supplier, edge, backsplash, sink FROM areas a JOIN jobs j ON j.job_id = a.job_id", "areas jobs")
 def job_areas_view(d):
     return v.v_job_areas(d.job_areas, d.jobs)
 
 
-@query("SELECT doc_number, customer_id, txn_date, total_amt AS amount, status FROM invoices", "invoices")
+@query("SELECT * FROM invoices", "invoices")
 def invoices_view(d):
     return v.v_invoices(d.invoices)
 
 
-@query("SELECT l.job_id, job_name, l.doc_number, txn_date, total_amt AS amount FROM links l JOIN jobs j ON j.job_id = l.job_id LEFT JOIN invoices i ON i.doc_number = l.doc_number", "links jobs invoices")
+@query("SELECT l.job_id, job_name, l.doc_number, txn_date, total_amt, balance, status FROM links l JOIN jobs j ON j.job_id = l.job_id LEFT JOIN invoices i ON i.doc_number = l.doc_number", "links jobs invoices")
 def job_invoices_view(d):
     return v.v_job_invoices(derive.link_invoices(d.keyed_activities), d.jobs, d.invoices)
 
@@ -316,7 +238,7 @@ def fact_strings(d):
     f"""SELECT source_id, job_id, sha256(raw_text || sha256(facts)) AS text_hash, CAST(length(raw_text) // 4 AS INTEGER) AS token_count,
     regexp_matches(raw_text, '(?i)payment bot|backfill|check-bot|Payment recorded|Payment received|No movement in the job since|invoice-parsing fix') AS is_bot_generated
     FROM (SELECT activity_id AS source_id, l.job_id, notes AS raw_text, concat_ws('; ', job_facts, 'this note is on a ' || type_name || ' activity', 'activity status ' || nullif(status_name, ''),
-    CASE WHEN activity_date IS NULL THEN 'undated' ELSE 'dated ' || strftime(activity_date, '%Y-%m-%d') END) AS facts FROM lines l JOIN ({JOB_FACTS}) f ON f.job_id = l.job_id WHERE length(trim(notes)) >= 25)""",
+    CASE WHEN activity_date IS NULL THEN 'undated' ELSE 'dated ' || strftime(activity_date, '%Y-%m-%d') END, 'phase ' || phase) AS facts FROM lines l JOIN ({JOB_FACTS}) f ON f.job_id = l.job_id WHERE length(trim(notes)) >= 25)""",
     "lines jobs areas",
 )
 def chunk_build(d):
@@ -383,34 +305,6 @@ def text_hash(d):
     return d.raw("documents").select("doc_id", parsers.text_hash(text, F.coalesce("source", F.lit(""))).alias("text_hash"), parsers.token_estimate(text).alias("tokens"))
 
 
-#: Texts of the parsers' edge cases.
-SQFT_CASES = ("72", "72.5", "72 sf", " 72 ", "$72", "72 sq. ft.", "72sqft.", "", "abc", "72 by 3", "7,200")
-LINE_CASES = ("Top x2 $1,500.00 | Sink $-20 | cut off…", "A x B x3.0 $9", "Fee $0.00", "", "x1 $5", "Zero x0 $5")
-NUMBER_CASES = (("1,198 jobs", "there are 1198"), ("$2.59M", "2,591,000 dollars"), ("72.5", "about 72.9"), ("3 and 4", "4 then 5"), ("none", "7"), ("12", "no digits"), ("-3", "fell by -3 points"))
-
-
-@query(
-    "SELECT raw, CASE WHEN ok THEN CAST(regexp_extract(trim(raw), '[0-9]+(\\.[0-9]+)?') AS DOUBLE) END AS sq_ft, trim(raw) <> '' AND NOT ok AS failed FROM (SELECT raw, regexp_full_match(trim(raw), '(?i)\\$?\\s*[0-9]+(\\.[0-9]+)?\\s*(sf|sq\\.?\\s*ft\\.?|ft2|ft)?\\.?') AS ok FROM (VALUES "
-    + ", ".join(f"('{c}')" for c in SQFT_CASES)
-    + ") t(raw))"
-)
-def sqft_parse(d):
-    rows = d.spark.createDataFrame([(c,) for c in SQFT_CASES], "raw string")
-    return rows.withColumn("p", parsers.square_feet(F.col("raw"))).select("raw", "p.sq_ft", "p.failed")
-
-
-@query()
-def line_item_parse(d):
-    rows = d.spark.createDataFrame([(c,) for c in LINE_CASES], "summary string")
-    return rows.select("summary", F.explode(parsers.line_items(F.col("summary"))).alias("l")).select("summary", "l.*")
-
-
-@query()
-def numeric_match_cases(d):
-    rows = d.spark.createDataFrame(NUMBER_CASES, "expected string, answer string")
-    return rows.withColumn("matches", parsers.numeric_match(F.col("expected"), F.col("answer")))
-
-
 #: A small city dictionary over the nations' names; the codes are those of the contract's cascade.
 CITY_NAMES = (("NATION_0", "Zero Town"), ("NATION_1", ""), ("NATION_2", derive.NEEDS_ZIP), ("NATION_3", derive.NEEDS_ZIP))
 CITY_ADDRESSES = (("Account 7", "Seventh Street"), ("Account 70", "Seventieth Street"))
@@ -431,105 +325,6 @@ def city_resolution(d):
     return derive.normalise_cities(jobs, names, places, CITY_ZIPS, CITY_TYPOS).select("job_id", "city_normalized", "city_norm_source")
 
 
-DENSE = """SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM (
-    SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 12) AS score
-    FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 50 = 0) q, (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings {}) v) QUALIFY rank <= 50"""
-
-
-def _dense_queries(d: Domain) -> DataFrame:
-    """The stated query set: every vector whose id is divisible by 50, against all vectors."""
-    return d.embeddings.where(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("query_id"), "embedding")
-
-
-@query(DENSE.format(""))
-def dense_top50(d):
-    return retrieval.dense_search(d.embeddings, _dense_queries(d)).select("query_id", "chunk_id", "rank")
-
-
-@query(DENSE.format("WHERE label = 3"))
-def dense_top50_filtered(d):
-    within = d.embeddings.where("label = 3").select("chunk_id")
-    return retrieval.dense_search(d.embeddings, _dense_queries(d), within=within).select("query_id", "chunk_id", "rank")
-
-
-def _keyword(d: Domain) -> DataFrame:
-    return retrieval.keyword_search(retrieval.postings(d.chunks.drop("facts"), False), d.questions, stemmed=False)
-
-
-@query()
-def keyword_top50(d):
-    return _keyword(d)
-
-
-STOPPED = "', '".join(STOP_WORDS)
-
-
-@query(
-    f"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')) AS term FROM benchmark),
-    p AS (SELECT doc_id AS chunk_id, term, count(*) AS n FROM (SELECT doc_id, unnest(w) AS term FROM ({TABLES['documents_words']})) GROUP BY ALL),
-    t AS (SELECT query_id, term, count(*) OVER (PARTITION BY query_id) AS n_terms FROM q WHERE term NOT IN ('{STOPPED}')),
-    h AS (SELECT query_id, chunk_id, count(*) = any_value(n_terms) AS every, CAST(sum(n) AS BIGINT) AS occurrences FROM t JOIN p USING (term) GROUP BY ALL),
-    s AS (SELECT *, bool_or(every) OVER (PARTITION BY query_id) AS strict FROM h)
-    SELECT query_id, strict, count(*) AS chunks, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM s WHERE every OR NOT strict GROUP BY ALL"""
-)
-def keyword_matches(d):
-    """How many chunks each question matches, by all words or else by any."""
-    index, q = retrieval.postings(d.chunks.drop("facts"), False), retrieval.query_terms(d.questions, False)
-    hits = index.join(q, "term").groupBy("query_id", "chunk_id").agg((F.count("*") == F.max("n_terms")).alias("every"), F.sum(F.size("places")).alias("occurrences"))
-    strict = F.bool_or("every").over(Window.partitionBy("query_id"))
-    return hits.withColumn("strict", strict).where("every or not strict").groupBy("query_id", "strict").agg(F.count("*").alias("chunks"), F.sum("occurrences").alias("occurrences"))
-
-
-LANES = f"""a AS ({DENSE.format('')}), b AS ({DENSE.format('WHERE label = 3')}),
-    f AS (SELECT query_id, chunk_id, round(coalesce(1 / (60.0 + a.rank), 0) + coalesce(1 / (60.0 + b.rank), 0), 12) AS score, a.rank AS dense_rank, b.rank AS keyword_rank FROM a FULL JOIN b USING (query_id, chunk_id)),
-    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM f)"""
-
-
-@query(f"WITH {LANES} SELECT query_id, chunk_id, keyword_rank, dense_rank, rank FROM r WHERE rank <= 50")
-def rrf_fusion(d):
-    """Fuses the filtered and the open lane, whose lists SQL can state."""
-    within = d.embeddings.where("label = 3").select("chunk_id")
-    a = retrieval.dense_search(d.embeddings, _dense_queries(d))
-    b = retrieval.dense_search(d.embeddings, _dense_queries(d), within=within)
-    return retrieval.fuse(b, a).select("query_id", "chunk_id", "keyword_rank", "dense_rank", "rank")
-
-
-def _lane_metrics(d: Domain) -> DataFrame:
-    """Vectors with the query's label are its gold."""
-    e = d.embeddings.select("chunk_id", "label")
-    gold = _dense_queries(d).select(F.col("query_id").alias("chunk_id")).join(e, "chunk_id").select(F.col("chunk_id").alias("query_id"), "label").join(e, "label").select("query_id", "chunk_id")
-    return evals.ranking_metrics(dense_top50(d).withColumn("lane", F.lit("dense")), gold)
-
-
-METRICS = f"""WITH a AS ({DENSE.format('')}), g AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id FROM embeddings q JOIN embeddings e USING (label) WHERE q.vec_id % 50 = 0),
-    n AS (SELECT query_id, count(*) AS n FROM g GROUP BY 1), h AS (SELECT a.query_id, a.rank, g.chunk_id IS NOT NULL AS hit FROM a LEFT JOIN g USING (query_id, chunk_id)),
-    m AS (SELECT query_id, count(*) FILTER (WHERE hit AND rank <= 5) AS r5, count(*) FILTER (WHERE hit AND rank <= 10) AS r10, count(*) FILTER (WHERE hit AND rank <= 20) AS r20, min(rank) FILTER (WHERE hit) AS f, coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE hit AND rank <= 10), 0) AS g FROM h GROUP BY 1)
-    SELECT 'dense' AS lane, query_id, round(r5 / n, 9) AS recall_at_5, round(r10 / n, 9) AS recall_at_10, round(r20 / n, 9) AS recall_at_20, round(coalesce(1 / f, 0), 9) AS mrr,
-    round(g / list_sum(list_transform(range(1, least(n, 10) + 1), lambda i: 1 / log2(i + 1))), 9) AS ndcg FROM m JOIN n USING (query_id)"""
-
-
-@query(METRICS)
-def ranking_metrics(d):
-    return _lane_metrics(d)
-
-
-@query(f"SELECT lane, count(*) AS n, round(avg(recall_at_5), 6) AS recall_at_5, round(avg(recall_at_10), 6) AS recall_at_10, round(avg(recall_at_20), 6) AS recall_at_20, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM ({METRICS}) GROUP BY 1")
-def ablation_table(d):
-    return evals.means(_lane_metrics(d))
-
-
-ROUTED = "SELECT CASE event_type WHEN 'click' THEN 'structured' WHEN 'view' THEN 'semantic' WHEN 'purchase' THEN 'hybrid' ELSE 'refuse' END AS expected, CASE CAST(props->>'$.k' AS INTEGER) % 5 WHEN 0 THEN 'structured' WHEN 1 THEN 'semantic' WHEN 2 THEN 'hybrid' ELSE 'refuse' END AS predicted FROM events"
-
-
-@query(f"SELECT r AS expected, count(*) FILTER (WHERE predicted = 'structured') AS as_structured, count(*) FILTER (WHERE predicted = 'semantic') AS as_semantic, count(*) FILTER (WHERE predicted = 'hybrid') AS as_hybrid, count(*) FILTER (WHERE predicted = 'refuse') AS as_refuse FROM (VALUES ('structured'), ('semantic'), ('hybrid'), ('refuse')) t(r) LEFT JOIN ({ROUTED}) ON r = expected GROUP BY 1")
-def confusion_matrix(d):
-    k = F.from_json("props", "k int")["k"] % 5
-    kind = F.col("event_type")
-    expected = F.when(kind == "click", "structured").when(kind == "view", "semantic").when(kind == "purchase", "hybrid").otherwise("other")
-    predicted = F.when(k == 0, "structured").when(k == 1, "semantic").when(k == 2, "hybrid").when(k == 3, "junk").otherwise("refuse")
-    return evals.confusion_matrix(d.raw("events").select(expected.alias("expected"), predicted.alias("predicted")))
-
-
 @query("SELECT (SELECT count(*) FROM orders) AS jobs, (SELECT count(*) FROM lineitem) AS activities, (SELECT count(*) FROM documents) AS chunks, (SELECT count(*) FROM embeddings) AS vectors")
 def reconciliation_counts(d):
     counts = [d.raw(t).select(F.lit(n).alias("t")) for n, t in (("jobs", "orders"), ("activities", "lineitem"), ("chunks", "documents"), ("vectors", "embeddings"))]

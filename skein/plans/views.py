@@ -26,17 +26,17 @@ def v_jobs(jobs: DataFrame) -> DataFrame:
 
 
 def v_job_areas(areas: DataFrame, jobs: DataFrame) -> DataFrame:
-    return areas.join(jobs.select("job_id", "job_name", "salesperson"), "job_id").select("job_id", "job_name", "salesperson", "room_type", "sq_ft", "material_name", "edge")
+    return areas.join(jobs.select("job_id", "job_name"), "job_id").select("job_id", "job_name", "area_name", "room_type", "sq_ft", "material_name", "supplier", "edge", "backsplash", "sink")
 
 
 def v_invoices(invoices: DataFrame) -> DataFrame:
-    return invoices.select("doc_number", "customer_id", "txn_date", F.col("total_amt").alias("amount"), "status")
+    return invoices.select("doc_number", "customer_name", "txn_date", "total_amt", "balance", "status")
 
 
 def v_job_invoices(links: DataFrame, jobs: DataFrame, invoices: DataFrame) -> DataFrame:
     """Linked numbers of known jobs; numbers that no invoice has stay, with nulls."""
-    known = invoices.select("doc_number", "txn_date", "total_amt")
-    return links.join(jobs.select("job_id", "job_name"), "job_id").join(known, "doc_number", "left").select("job_id", "job_name", "doc_number", "txn_date", F.col("total_amt").alias("amount"))
+    known = invoices.select("doc_number", "txn_date", "total_amt", "balance", "status")
+    return links.join(jobs.select("job_id", "job_name"), "job_id").join(known, "doc_number", "left").select("job_id", "job_name", "doc_number", "txn_date", "total_amt", "balance", "status")
 
 
 def happened(as_of: dt.date = AS_OF) -> Column:
@@ -53,13 +53,18 @@ def assignee_lists(assignees: DataFrame) -> DataFrame:
     return assignees.groupBy("activity_id").agg(F.array_join(F.sort_array(F.collect_list("assignee_name")), ", ").alias("assignees"))
 
 
-def v_activities(activities: DataFrame, assignees: DataFrame, jobs: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
-    acts = activities.join(jobs.select("job_id", "job_name"), "job_id").join(assignee_lists(assignees), "activity_id", "left")
-    return acts.select("activity_id", "job_id", "job_name", "type_name", "status_name", "activity_date", "assignees", happened(as_of).alias("happened"), scheduled(as_of).alias("is_scheduled_future"))
+def v_activities(activities: DataFrame, assignees: DataFrame | None, jobs: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
+    """Activities of known jobs; without a table of assignees the activities have the column already."""
+    acts = activities.join(jobs.select("job_id", "job_name"), "job_id")
+    if assignees is not None:
+        acts = acts.join(assignee_lists(assignees), "activity_id", "left")
+    return acts.select(
+        "activity_id", "job_id", "job_name", "type_name", "status_name", "activity_date", "phase", "assignees", F.col("notes").alias("note"), happened(as_of).alias("happened"), scheduled(as_of).alias("is_scheduled_future")
+    )
 
 
 def v_job_sqft(areas: DataFrame) -> DataFrame:
-    return areas.groupBy("job_id").agg(F.sum("sq_ft").alias("total_sq_ft"), F.count("*").alias("n_areas"))
+    return areas.groupBy("job_id").agg(F.sum("sq_ft").alias("total_sq_ft"), F.count("*").alias("area_count"))
 
 
 def pipeline_status(jobs: DataFrame, activities: DataFrame, as_of: dt.date = AS_OF, settle_days: int = SETTLE_DAYS) -> DataFrame:

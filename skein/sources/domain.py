@@ -22,7 +22,7 @@ def type_name(part, supp):
     kind = part % 5
     return (
         F.when(kind == 0, "Quote").when(kind == 1, "Measure").when(kind == 2, "Template").when(kind == 3, "Follow Up")
-        .when(supp % 3 == 0, "Install").otherwise("Repair")
+        .when(supp % 3 == 0, "Install").when(supp % 3 == 1, "Invoice").otherwise("Repair")
     )
 
 
@@ -64,7 +64,7 @@ class Domain:
             c("l_orderkey").alias("job_id"), type_name(c("l_partkey"), c("l_suppkey")).alias("type_name"),
             F.when(c("l_returnflag") != "A", c("l_shipdate").cast("date")).alias("activity_date"), c("l_linestatus").alias("status_name"),
             notes(c("l_partkey"), c("l_suppkey"), c("l_orderkey"), c("l_extendedprice"), c("l_shipdate")).alias("notes"),
-            c("l_suppkey").alias("crew_id"),
+            c("l_suppkey").alias("crew_id"), F.when(c("l_linenumber") % 4 == 0, F.concat(F.lit("Phase "), c("l_linenumber").cast("string"))).alias("phase"),
         ]
 
     @cached_property
@@ -80,6 +80,16 @@ class Domain:
         lines = self.raw("lineitem").withColumn("activity_id", F.col("l_orderkey") * 1000 + place)
         return lines.select("activity_id", *self._lines(lines))
 
+    @cached_property
+    def staffed_activities(self) -> DataFrame:
+        """Activities with their ids and the list of their assignees' names, found beside the line before it is numbered."""
+        supplier = lambda n: self.raw("supplier").select(F.col("s_suppkey").alias(f"s{n}"), F.col("s_name").alias(f"name{n}"))
+        lines = self.raw("lineitem").join(supplier(1), F.col("l_suppkey") == F.col("s1"), "left").join(supplier(2), (F.col("l_suppkey") % 2 == 0) & (F.col("l_suppkey") % 10 == F.col("s2")), "left")
+        names = F.array_sort(F.array_distinct(F.array_compact(F.array("name1", "name2"))))
+        lines = lines.withColumn("assignees", F.nullif(F.array_join(names, ", "), F.lit("")))
+        place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_COLUMNS))
+        return lines.withColumn("activity_id", F.col("l_orderkey") * 1000 + place).select("activity_id", *self._lines(lines), "assignees")
+
     @cached_property
     def assignees(self) -> DataFrame:
         """(activity_id, assignee_name): the line's supplier, and a second one for every line of an even supplier."""
@@ -89,10 +99,13 @@ class Domain:
 
     @cached_property
     def job_areas(self) -> DataFrame:
-        part = self.raw("part").select("p_partkey", "p_name", "p_brand", "p_type")
-        return self.raw("lineitem").select("l_orderkey", "l_partkey", "l_quantity").join(part, F.col("l_partkey") == F.col("p_partkey")).select(
-            F.col("l_orderkey").alias("job_id"), F.col("p_type").alias("room_type"), F.col("l_quantity").alias("sq_ft"),
-            F.col("p_name").alias("material_name"), F.col("p_brand").alias("edge"),
+        part = self.raw("part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
+        supplier = self.raw("supplier").select("s_suppkey", "s_name")
+        lines = self.raw("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity").join(part, F.col("l_partkey") == F.col("p_partkey"))
+        return lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left").select(
+            F.col("l_orderkey").alias("job_id"), F.concat(F.lit("Area "), F.col("l_linenumber").cast("string")).alias("area_name"), F.col("p_type").alias("room_type"), F.col("l_quantity").alias("sq_ft"),
+            F.col("p_name").alias("material_name"), F.col("s_name").alias("supplier"), F.col("p_brand").alias("edge"),
+            F.when(F.col("p_size") % 2 == 0, F.concat(F.col("p_size").cast("string"), F.lit(" in"))).alias("backsplash"), F.when(F.col("p_size") % 3 != 0, F.concat(F.lit("sink "), F.col("p_size").cast("string"))).alias("sink"),
         )
 
     @cached_property
@@ -102,9 +115,10 @@ class Domain:
 
     @cached_property
     def invoices(self) -> DataFrame:
-        return self.raw("orders").select(
-            F.col("o_orderkey").cast("string").alias("doc_number"), F.col("o_custkey").alias("customer_id"), F.col("o_orderdate").cast("date").alias("txn_date"),
-            F.col("o_totalprice").cast("decimal(18,2)").alias("total_amt"), F.col("o_orderstatus").alias("status"),
+        customer, total = self.raw("customer").select("c_custkey", "c_name"), F.col("o_totalprice").cast("decimal(18,2)")
+        return self.raw("orders").join(customer, F.col("o_custkey") == F.col("c_custkey"), "left").select(
+            F.col("o_orderkey").cast("string").alias("doc_number"), F.col("c_name").alias("customer_name"), F.col("o_orderdate").cast("date").alias("txn_date"), total.alias("total_amt"),
+            F.when(F.col("o_orderstatus") == "F", F.lit(0)).otherwise(total).cast("decimal(18,2)").alias("balance"), F.col("o_orderstatus").alias("status"),
         )
 
     @cached_property

@@ -35,6 +35,12 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.select(F.explode("jobs").alias("job"))
 
 
+def parse_pages(texts: DataFrame) -> DataFrame:
+    """The same from a column ``value`` with the text of a page in each row."""
+    pages = texts.select(F.from_json(F.ltrim(F.col("value"), F.lit("\ufeff")), PAGE_SCHEMA).alias("page"))
+    return pages.select(F.explode("page.jobs").alias("job"))
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV file with a header, quoted cells over several lines and perhaps a byte-order mark; columns go by place."""
     return spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', enforceSchema=True)

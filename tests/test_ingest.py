@@ -42,7 +42,8 @@ def test_pages(spark, tmp_path):
     assert {r.job_id: r.paid_in_full for r in t["job_summary"].collect()} == {7: True, 8: False}
     areas = {r.job_id: r for r in derive.derive_areas(t["job_forms"], t["area_fields"]).collect()}
     assert areas[7].sq_ft == 72.0 and areas[7].sq_ft_raw == "72 sf" and not areas[7].sq_ft_failed
-    assert [tuple(r) for r in derive.link_invoices(t["activities"]).collect()] == [(7, "4556", 70)]
+    assert [tuple(r) for r in derive.link_invoices(t["activities"], "Quote").collect()] == [(7, "4556", 70)]
+    assert derive.link_invoices(t["activities"]).isEmpty()
 
 
 def test_csv_with_mark_and_lines(spark, tmp_path):

@@ -80,6 +80,28 @@ def test_stale_and_embed(spark):
     assert sorted((r.chunk_id, r.embedding, r.text_hash) for r in made) == [(2, [5.0], "h2"), (3, [1.0], "h3")]
 
 
+def test_patience_and_projected_cost(spark):
+    calls, naps = [], []
+
+    def ask(texts):
+        calls.append(texts)
+        if len(calls) < 4:
+            raise ConnectionError("too many")
+        return [1]
+
+    assert ch.patient(ask, sleep=naps.append)(["a"]) == [1] and len(calls) == 4
+    assert all(0.5 * d <= n <= 1.5 * d for d, n in zip((10, 20, 40), naps))
+    calls.clear()
+    with pytest.raises(ConnectionError):
+        ch.patient(ask, most=0.0, sleep=naps.append)(["a"])
+    with pytest.raises(KeyError):
+        ch.patient(lambda: {}["x"], sleep=naps.append)()
+    c = spark.createDataFrame([("f" * 8, "r" * 4), ("", "")], "facts string, raw_text string")
+    assert ch.within_ceiling(c, 0.0, 1.0, 100, 1e3, 1e3) == pytest.approx((110 + 3 + 110 + 160) * 1e3 / 1e6)
+    with pytest.raises(ValueError):
+        ch.within_ceiling(c, 0.9, 1.0, 100, 1e3, 1e3)
+
+
 def test_keyword_all_then_any(spark):
     c = spark.createDataFrame([(1, "sinks and the quartz top"), (2, "quartz quartz"), (3, "quartz with one sink far far away"), (4, None), (5, "")], "chunk_id bigint, raw_text string")
     q = spark.createDataFrame([(1, "quartz sink"), (2, "quartz marble"), (3, "the"), (4, "")], "query_id int, query string")
@@ -89,6 +111,8 @@ def test_keyword_all_then_any(spark):
     assert got == {1: [1, 3], 2: [2, 1, 3]}
     within = spark.createDataFrame([(3,)], "chunk_id bigint")
     assert [r.chunk_id for r in retrieval.keyword_search(retrieval.postings(c), q, within=within).where("query_id = 1").collect()] == [3]
+    words_ = lambda text: [r.chunk_id for r in retrieval.keyword_search(retrieval.postings(c), spark.createDataFrame([(1, text)], "query_id int, query string")).orderBy("rank").collect()]
+    assert words_('"one sink"') == [3] and words_("quartz -sink") == [2] and words_('"quartz top" or away') == [1, 3] and words_("marble or quartz") == [2, 1, 3] and words_("-quartz") == []
     find = lambda text: sorted(r.chunk_id for r in retrieval.web_search(c, text).collect())
     assert find('quartz -sink') == [2] and find('"quartz top" or away') == [1, 3] and find("-quartz") == [] and find("") == []
 
@@ -140,6 +164,9 @@ def test_ranking_metrics(spark):
     assert rows[1].ndcg == pytest.approx((1 / math.log2(3) + 1 / math.log2(4)) / ideal)
     assert rows[2].recall_at_5 is None and rows[2].ndcg is None and rows[2].mrr == 0.0
     (m,) = evals.means(evals.ranking_metrics(ranks, gold)).collect()
+    more = spark.createDataFrame([(1, 6), (1, 7), (1, 99), (3, 4)], "query_id bigint, chunk_id bigint")
+    missed = {r.query_id: r for r in evals.ranking_metrics(ranks, more).collect()}
+    assert set(missed) == {1, 2, 3} and (missed[3].recall_at_5, missed[3].mrr, missed[3].ndcg) == (0.0, 0.0, 0.0)
     assert m.n == 2 and m.mrr == 0.25 and m.recall_at_10 == pytest.approx(2 / 3, abs=1e-6)
 
 

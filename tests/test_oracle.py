@@ -5,7 +5,7 @@ import os
 import pytest
 
 import oracle
-from skein.plans.queries import QUERIES, SQL
+from skein.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
