@@ -1,8 +1,10 @@
+import random
 import re
 from collections import defaultdict
 
 import pytest
 from cases import corpus, frame
+from pyspark.sql import functions as F
 from skein.llm.mixing import mix
 
 
@@ -48,3 +50,28 @@ def test_unequal_weights_and_empty(spark):
         n[r.row.tilt] += r.copies
     assert n[0.0] == 0 and n[3.0] > 1.8 * n[1.0] and sum(r.taken for r in got) == pytest.approx(0.4 * 4000, abs=20)
     assert mix(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.3, 1.0, 1.5, 1.9, 2.0])
+def test_weights_within_the_limit_reach_the_target(spark, share):
+    """Weights from 1 to 4 in every source: the heavy ones stop at two copies and the others make up for them."""
+    r = random.Random(5)
+    rows = [(i, "w " * r.randint(1, 400), "en", r.choice(["a", "a", "a", "b", None]), 20) for i in range(900)]
+    df = frame(spark, rows).withColumn("heavy", F.length(F.col("n_chars").cast("string")) + F.col("doc_id") % 3)
+    got = mix(df, weight_col="heavy", share=share).collect()
+    taken, target, copies = defaultdict(int), {}, defaultdict(list)
+    for x in got:
+        assert x.copies in (0, 1, 2)
+        taken[x.source] += x.taken
+        target[x.source] = x.target
+        copies[x.source, x.row.heavy].append(x.copies)
+    assert all(abs(taken[s] - target[s]) <= 200 for s in target)
+    mean = {k: sum(c) / len(c) for k, c in copies.items()}
+    assert all(mean[s, 4] >= mean[s, 2] - 0.15 for s in ("a", "b")) and (share != 0.3 or mean["a", 4] > mean["a", 2])
+
+
+def test_a_column_of_any_name_and_repeated_ids(spark):
+    rows = [(1, "a b c d", "en", "s", 1)] * 50 + [(i, "e f g h", "en", "s", 1) for i in range(2, 52)]
+    df = frame(spark, rows).withColumns({c: F.lit("x") for c in ("size", "target", "copies", "row", "q", "g")})
+    got = mix(df, share=0.5).collect()
+    assert sum(r.taken for r in got) == pytest.approx(200, abs=4) and all(r.row.size == "x" for r in got)
