@@ -118,29 +118,35 @@ def _gram_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model:
-    """A model of a bounded sample of the labelled rows: those of the smallest id hashes of each language."""
-    rows = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").rlike(r"\p{L}"))
-    slim = rows.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{lang_col}`").alias("l"), F.xxhash64(F.col(f"`{id_col}`"), F.lit(1)).alias("h"))
-    nth = F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))
-    chosen = slim.withColumn("nth", nth).where(F.col("nth") <= per_language).select("i").distinct()
-    # at most per_language ids of each language: small
-    got = rows.join(F.broadcast(chosen), rows[f"`{id_col}`"].eqNullSafe(F.col("i")), "left_semi").select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("binary").alias("t"), F.col(f"`{lang_col}`").alias("l"))
+    """A model of a bounded sample of the labelled rows: those of the smallest hashes of each language.
+
+    Rows equal in id, text and language count once. Rows whose hash is beyond four times the share wanted of their language are
+    out before anything is ranked, so that few rows of a language meet in a task however many it has.
+    """
+    known = docs.where(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").rlike(r"\p{L}"))
+    h = F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.lit(1))
+    rows = known.select(F.col(f"`{id_col}`").alias("i"), F.col(f"`{text_col}`").cast("binary").alias("t"), F.col(f"`{lang_col}`").alias("l"), h.alias("h"))
+    share = known.groupBy(F.col(f"`{lang_col}`").alias("m")).agg(F.approx_count_distinct(h).alias("n")).select("m", F.least(F.lit(1.0), (4.0 * per_language + 200) / F.col("n")).alias("share"))
+    place = (F.col("h") / F.lit(2.0**63) + 1) / 2  # from 0 to 1
+    near = rows.join(share, F.col("l") == F.col("m")).where(place <= F.col("share")).select("i", "t", "l", "h").dropDuplicates(["l", "h"])
+    nth = F.row_number().over(Window.partitionBy("l").orderBy("h"))
     # sets of at most 2^TABLE_BITS n-grams, however long the texts are
-    got = got.mapInArrow(_gram_sets, got.schema)
-    rows_ = sorted(((r["i"] is None, r["i"] or 0, bytes(r["t"]), r["l"]) for r in got.collect()))
+    got = near.withColumn("nth", nth).where(F.col("nth") <= per_language).select("i", "t", "l").mapInArrow(_gram_sets, near.select("i", "t", "l").schema)
+    rows_ = sorted((str(r["i"]), bytes(r["t"]), r["l"]) for r in got.collect())
     order = np.random.default_rng(3).permutation(len(rows_))
-    return Model([np.frombuffer(rows_[k][2], np.int32) for k in order], [rows_[k][3] for k in order])
+    return Model([np.frombuffer(rows_[k][1], np.int32) for k in order], [rows_[k][2] for k in order])
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """doc_id (or ``row``, all columns of docs, with carry), lang_pred and score of each row.
 
-    A text that is null or has no letter is ``und`` with score 0, as is every text if no language was learned. Texts of any
-    length are read whole; repeated rows get equal results; an empty table gives an empty result.
+    A text that is null or has no letter is ``und`` with score 0, as is every text if no language was learned. A text none of
+    whose n-grams is known gets the first language by name with a score of 0.5. Texts of any length are read whole; repeated
+    rows get equal results; an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    first = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row") if carry else F.col(f"`{id_col}`").cast("long").alias("doc_id")
+    first = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row") if carry else F.col(f"`{id_col}`").alias("doc_id")
     slim = docs.select(first, F.when(text.rlike(r"\p{L}"), text).cast("binary").alias("text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,11 @@
 """Quality classification with supervised subword embeddings.
 
-A document is the mean of the learned vectors of its words, of its bigrams of one word twice, and of the n-grams of 3 to 5 bytes inside them (each word between
-< and >), all hashed into BUCKETS; a softmax over the two labels follows. Vectors and output are learned together by numpy
-stochastic gradient descent, one document a step, on at most SAMPLE labelled documents of at most LONGEST bytes (those of the
-smallest id hashes). As a mean is linear, each bucket's vector meets the output once, and scoring adds one number a feature.
+A document is the mean of the learned vectors of its words, of its pairs of neighbouring words, of the n-grams of 3 to 5 bytes
+inside words (each word between < and >), and of how long ago each word stood last (a relative word n-gram, which holds for
+words that training never saw), all hashed into BUCKETS; a softmax over the two labels follows. Vectors and
+output are learned together by numpy stochastic gradient descent, one document a step, on at most SAMPLE labelled documents of
+any length (those of the smallest hashes). As a mean is linear, each bucket's vector meets the output once, and scoring adds
+one number a feature.
 """
 
 from __future__ import annotations
@@ -21,15 +23,22 @@ from skein.llm.common import bytes_of, held_out, packed
 from skein.sources.tables import table
 
 BUCKETS, DIM, EPOCHS, RATE = 1 << 17, 8, 12, 1.0
-SAMPLE, LONGEST = 6000, 1 << 17
+SAMPLE = 6000
 ORDERS = (3, 4, 5)
-#: The bucket of every word bigram that repeats its word: hashed as itself, it would be new in each text.
-SAME = 1
 _MARKS = np.array([ord("<"), ord(">")], np.uint8)
 
 
+def since(hashes: np.ndarray) -> np.ndarray:
+    """For each word how many words ago it stood last, as the power of two not below it; 0 where it is new."""
+    order = np.argsort(hashes, kind="stable")
+    again = hashes[order[1:]] == hashes[order[:-1]]
+    out = np.zeros(len(hashes), np.uint64)
+    out[order[1:][again]] = 1 + np.ceil(np.log2((order[1:] - order[:-1])[again])).astype(np.uint64)
+    return out
+
+
 def features(text: bytes) -> np.ndarray:
-    """Buckets of the text's words and word-internal n-grams; empty for a text without words."""
+    """Buckets of the text's words, word pairs, recurrences and word-internal n-grams; empty for a text without words."""
     data = np.frombuffer(text, np.uint8)
     starts, ends, hashes = K.word_hashes(data)
     if not len(starts):
@@ -42,8 +51,8 @@ def features(text: bytes) -> np.ndarray:
     word = np.repeat(np.arange(len(sizes)), sizes)
     marked[np.arange(len(word)) + 2 * word + 1] = data[starts[word] + np.arange(len(word)) - (np.cumsum(sizes) - sizes)[word]]
     home = np.repeat(np.arange(len(sizes)), sizes + 2)
-    same = hashes[1:] == hashes[:-1]
-    out, code, wide = [hashes >> np.uint64(64 - 17), np.full(int(same.sum()), SAME, np.uint64)], np.zeros(len(marked), np.uint64), marked.astype(np.uint64)
+    pairs = K.mix(hashes[:-1] * np.uint64(3) + hashes[1:])
+    out, code, wide = [hashes >> np.uint64(64 - 17), pairs >> np.uint64(64 - 17), K.mix(since(hashes)) >> np.uint64(64 - 17)], np.zeros(len(marked), np.uint64), marked.astype(np.uint64)
     for n in range(1, max(ORDERS) + 1):
         if n > len(marked):
             break
@@ -54,15 +63,24 @@ def features(text: bytes) -> np.ndarray:
     return np.concatenate(out).astype(np.int64)
 
 
-def train(texts: list[bytes], labels: list[int], seed: int = 5) -> np.ndarray:
-    """The score's log odds that each bucket adds (before the mean), as BUCKETS numbers, then the bias."""
+def counted(text) -> tuple[np.ndarray, np.ndarray]:
+    """The different buckets of a text of any length and how often each is hit."""
+    times = np.zeros(BUCKETS, np.int64)
+    for at in pieces(text):
+        times += np.bincount(features(text[at]), minlength=BUCKETS)
+    ids = np.flatnonzero(times)
+    return ids.astype(np.int32), times[ids].astype(np.float32)
+
+
+def train(texts: list, labels: list[int], seed: int = 5) -> np.ndarray:
+    """The score's log odds that each bucket adds (before the mean), as BUCKETS numbers, then the bias; texts: bytes or counted()."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     output, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     rows = []
     for t in texts:
-        ids, n = np.unique(features(t), return_counts=True)
-        rows.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
+        ids, n = t if isinstance(t, tuple) else counted(t)
+        rows.append((ids, n / max(1, n.sum())))
     total, done = EPOCHS * max(1, len(rows)), 0
     for _ in range(EPOCHS):
         for r in rng.permutation(len(rows)):
@@ -82,15 +100,27 @@ def train(texts: list[bytes], labels: list[int], seed: int = 5) -> np.ndarray:
     return np.append(vectors @ side, bias[1] - bias[0]).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, longest: int = LONGEST) -> np.ndarray:
-    """Learns from a bounded sample of the labelled rows; rows without a label or text, and over-long ones, are not taken."""
-    marks = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y"))
-    text = F.col(f"`{text_col}`").cast("binary")
-    rows = docs.select(F.col(f"`{id_col}`").alias("d"), text.alias("t")).where(F.octet_length("t") <= longest)
-    chosen = rows.select("d").join(marks, F.col("d") == F.col("i"), "inner").select("d", "y").distinct().orderBy(F.xxhash64("d", F.lit(2)), "d").limit(sample)
-    got = rows.join(F.broadcast(chosen.withColumnRenamed("d", "i")), F.col("d") == F.col("i")).select("d", "t", "y").collect()
-    got = sorted((r["d"], bytes(r["t"]), r["y"]) for r in got)
-    return train([t for _, t, _ in got], [y for *_, y in got])
+def _counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in parts:
+        for k, text in enumerate(bytes_of(batch.column(1))):
+            ids, n = counted(text)
+            yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).select(["d", "y"]).columns, pa.array([ids.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["d", "y", "ids", "n"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> np.ndarray:
+    """Learns from a bounded sample of the labelled rows; rows without an id, a label or a text are not taken.
+
+    Of labels that differ for one id the greater counts, and rows equal in id and text count once. Features are counted in Spark
+    tasks, at most BUCKETS of them for a text however long.
+    """
+    marks = labels.where(F.col(f"`{label_col}`").isin(0, 1)).groupBy(F.col(f"`{id_col}`").alias("i")).agg(F.max(f"`{label_col}`").cast("int").alias("y"))
+    text = F.col(f"`{text_col}`")
+    rows = docs.select(F.col(f"`{id_col}`").alias("d"), text.cast("binary").alias("t"), F.xxhash64(text).alias("th")).where(F.col("d").isNotNull() & text.isNotNull())
+    chosen = rows.select("d", "th").join(marks, F.col("d") == F.col("i")).select("d", "th", "y").distinct().orderBy(F.xxhash64("d", "th", F.lit(2)), "d", "th").limit(sample)
+    # at most ``sample`` rows
+    got = rows.join(F.broadcast(chosen), ["d", "th"]).dropDuplicates(["d", "th"]).select("d", "t", "y").mapInArrow(_counts, f"d {rows.schema['d'].dataType.simpleString()}, y int, ids binary, n binary").collect()
+    got = sorted((r["d"], bytes(r["ids"]), bytes(r["n"]), r["y"]) for r in got)
+    return train([(np.frombuffer(i, np.int32), np.frombuffer(n, np.float32)) for _, i, n, _ in got], [y for *_, y in got])
 
 
 def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,7 +129,7 @@ def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col:
     Texts are read whole, repeated rows get equal scores, and an empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    slim = packed(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    slim = packed(docs, id_col, text_col).select("doc_id", F.col("text").cast("binary").alias("text"))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -113,7 +143,7 @@ def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col:
                 z[i] = m[-1] + total / max(1, n)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-z)))], names=["doc_id", "score"])
 
-    return slim.mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())]))
+    return slim.mapInArrow(run, T.StructType([slim.schema.fields[0], T.StructField("score", T.DoubleType())]))
 
 
 def pieces(text, size: int = K.PIECE) -> list[slice]:

@@ -8,6 +8,7 @@ import pytest
 from cases import corpus, frame
 from pyspark.sql import functions as F
 
+from skein.llm import kernels as K
 from skein.llm import language_id, quality
 from skein.llm.common import held_out
 
@@ -55,12 +56,73 @@ def test_quality_reads_whole_texts():
     text = b"abc defgh " * 400_000
     assert sum(len(quality.features(text[at])) for at in quality.pieces(text)) >= len(quality.features(b"abc defgh")) * 399_000
     assert quality.pieces(b"") == [slice(0, 0)]
-    assert len(quality.features(b" \n ")) == 0 and len(quality.features(b"a")) == 2
+    # the word, that it is new, and <a>
+    assert len(quality.features(b" \n ")) == 0 and len(quality.features(b"a")) == 3
+
+
+def buckets_by_hand(text):
+    """Words, pairs of words, recurrences and n-grams, one at a time."""
+    top = lambda x: int(x) >> (64 - 17)
+    words, out, mask = text.split(), [], (1 << 64) - 1
+    hashes = [int(K.word_hashes(np.frombuffer(w, np.uint8))[2][0]) for w in words]
+    for i, (w, h) in enumerate(zip(words, hashes)):
+        out.append(top(h))
+        if i:
+            out.append(top(K.mix(np.array([(hashes[i - 1] * 3 + h) & mask], np.uint64))[0]))
+        last = max((j for j in range(i) if words[j] == w), default=None)
+        gap = 0 if last is None else 1 + (i - last - 1).bit_length()
+        out.append(top(K.mix(np.array([gap], np.uint64))[0]))
+        marked = b"<" + w + b">"
+        for n in (3, 4, 5):
+            for at in range(len(marked) - n + 1):
+                out.append(top((((int.from_bytes(marked[at : at + n], "big") + (n << 48)) & mask) * 0x9E3779B97F4A7C15) & mask))
+    return sorted(out)
+
+
+def test_scores_by_hand(spark):
+    """The score is the mean of the model's numbers over the buckets counted one at a time, plus the bias."""
+    model = np.random.default_rng(3).standard_normal(quality.BUCKETS + 1).astype(np.float32)
+    rows = [r for r in corpus() if r[0] is not None and len(r[1] or "") < 3000]
+    got = {r.doc_id: r.score for r in quality.score(frame(spark, rows), model).collect()}
+    for i, text, *_ in rows:
+        data = (text or "").encode()
+        b = buckets_by_hand(data)
+        assert quality.features(data).tolist() is not None and sorted(quality.features(data).tolist()) == b
+        z = float(model[-1]) + (float(model[b].sum(dtype=np.float64)) / len(b) if b else 0)
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-6
+
+
+def test_samples_keep_their_bounds(spark, monkeypatch):
+    rows, marks = labelled()
+    often = frame(spark, [*rows, *[rows[0]] * 3000, *[(None, t, *x) for _, t, *x in rows]])
+    sizes = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels: sizes.append(len(texts)))
+    quality.fit(often, spark.createDataFrame([*marks, (None, 1)], "doc_id long, quality int"), sample=50)
+    monkeypatch.setattr(language_id, "Model", lambda texts, langs: sizes.append(len(texts)))
+    many = [(i % 40, f"text number {i % 90}", "en" if i % 3 else "fr", "a", 1) for i in range(4000)]
+    language_id.fit(frame(spark, many), per_language=5)
+    assert sizes == [50, 10]
+
 
+def test_ids_of_other_types(spark):
+    """Classifiers carry any id; operators that compare ids say that they need whole numbers."""
+    from skein.llm.common import ids_and_bytes
 
-def test_features_of_repeated_words():
-    assert (quality.features(b"x y x") == quality.SAME).sum() == 0
-    assert (quality.features(b"x x y y y") == quality.SAME).sum() == 3
+    rows, marks = labelled()
+    named = frame(spark, rows).withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    model = quality.fit(named, spark.createDataFrame([(f"d{i}", y) for i, y in marks], "doc_id string, quality int"))
+    assert quality.score(named, model).schema["doc_id"].dataType.simpleString() == "string" and quality.score(named, model).count() == 240
+    assert language_id.identify(named, language_id.fit(named)).where("doc_id = 'd3'").count() == 1
+    with pytest.raises(TypeError):
+        ids_and_bytes(named)
+    with pytest.raises(Exception, match="largest long"):
+        ids_and_bytes(frame(spark, [((1 << 63) - 1, "x", "en", "a", 1)])).collect()
+
+
+def test_a_letter_without_a_known_gram(spark):
+    model = language_id.Model([b"abc abd", b"xyz xyw"], ["en", "fr"])
+    ((best, score),) = [tuple(x) for x in zip(*model.predict(["漢".encode()]))]
+    assert (model.langs[best], float(score)) == ("en", 0.5)
 
 
 @given
