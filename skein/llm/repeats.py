@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import kernels as K
-from skein.llm.common import batches, bytes_of, column_np, stash
+from skein.llm.common import batches, bytes_of, column_np, discard, stash, written
 
 #: Most contexts of one prefix that meet in a task, and most values whose suffixes are ordered at a time.
 GROUP, CHUNK = 4000, 1 << 19
@@ -255,9 +255,11 @@ def _after(kind: Kind):
 def removed_spans(docs: DataFrame, kind: Kind) -> DataFrame:
     """doc_id, th and spans (array of lo, hi) of each document (of doc_id, th, text) that loses something."""
     # the text travels to its documents' spans twice: for the contexts and for the result
-    places = stash(docs.mapInArrow(_places(kind), _ddl(PLACE)), "places")
-    again = places.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
-    places = stash(places.join(again, "key"), "repeats")
+    every, path = written(docs.mapInArrow(_places(kind), _ddl(PLACE)), "places")
+    # written, so that the join may split a prefix that has very many rows
+    again = stash(every.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key"), "again")
+    places = stash(every.join(again, "key"), "repeats")
+    discard(docs.sparkSession, path)
     first = F.min(F.struct("doc_id", "th", "lo")).alias("first")
     contexts = places.groupBy("key", "ctx").agg(first, F.count("*").alias("n"), F.min(F.col("hi") - F.col("lo")).alias("wide"), F.min(F.col("at") - F.col("lo")).alias("at"))
     todo = contexts.groupBy(F.col("first.doc_id"), F.col("first.th")).agg(F.collect_list(F.struct("key", "ctx", F.col("first.lo").alias("lo"), "wide", "n", "at")).alias("rows"))
