@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -10,6 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from skein.sources.tables import shared_dir
 
 #: The white space of the contracts: [\x20\x09-\x0D].
 BLANKS = " \t\n\x0b\f\r"
@@ -17,20 +19,22 @@ BLANKS = " \t\n\x0b\f\r"
 NO_ID = (1 << 63) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="skein-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a table written to the shared folder, so that a lost executor costs no recomputation, and its path."""
+    path = f"{shared_dir(df.sparkSession)}/skein-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table written to the shared folder, so that a lost executor costs no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/skein-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A table written to the shared folder that stays, as a result still reads it; whoever owns the folder clears it."""
+    return written(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a written table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -43,9 +47,15 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def ids_and_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id`` (null as NO_ID), ``th`` (a hash of the text: with doc_id it names a row's content) and ``text`` as bytes, null as empty."""
-    text = F.coalesce(docs[f"`{text_col}`"], F.lit(""))
-    return docs.select(F.coalesce(docs[f"`{id_col}`"].cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
+    """``doc_id`` (null as NO_ID), ``th`` (a hash of the text: with doc_id it names a row's content) and ``text`` as bytes, null as empty.
+
+    Ids are whole numbers; others raise TypeError. The largest long is the one that may not be an id, as it stands for null.
+    """
+    text, ids = F.coalesce(docs[f"`{text_col}`"], F.lit("")), docs[f"`{id_col}`"]
+    if not isinstance(docs.schema[id_col].dataType, (T.IntegralType, T.NullType)):
+        raise TypeError(f"ids must be whole numbers, not {docs.schema[id_col].dataType.simpleString()}")
+    checked = F.when(ids.cast("long") == NO_ID, F.raise_error(F.lit("an id is the largest long, which stands for null"))).otherwise(F.coalesce(ids.cast("long"), F.lit(NO_ID)))
+    return docs.select(checked.alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("text"))
 
 
 def with_null_ids(df: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import kernels as K
-from skein.llm.common import batches, column_np, stash
+from skein.llm.common import batches, column_np, discard, written
 
 #: Sets of one component that meet in a task; beyond, blocks of about half as many.
 GROUP = 2000
@@ -119,11 +119,12 @@ def bucket_edges(bands: DataFrame) -> DataFrame:
     return bands.repartition("band").sortWithinPartitions("band", "id").mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, name: str = "cc", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(id, root): the smallest member of each vertex's component, for all vertices of edges (a, b).
 
     Union-find as alternating star steps: every vertex links its larger neighbours, then its smaller ones, to the smallest
-    vertex it knows, until all components are stars. Each round is written to the shared folder.
+    vertex it knows, until all components are stars; edges only move to smaller vertices, so this ends. Each round is written
+    to the shared folder, and the one before it goes.
     """
 
     def large(e: DataFrame) -> DataFrame:
@@ -139,18 +140,14 @@ def components(edges: DataFrame, name: str = "cc", rounds: int = 60) -> DataFram
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
 
-    e = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), name)
-    seen = mark(e)
-    for _ in range(rounds):
-        if not seen[0]:
-            break
-        e = stash(small(large(e)), name)
+    e, path = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), name)
+    seen, settled = mark(e), False
+    while seen[0] and not settled:
+        before = path
+        e, path = written(small(large(e)), name)
+        discard(e.sparkSession, before)
         now = mark(e)
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
+        seen, settled = now, now == seen
     return e.select(F.col("a").alias("id"), F.col("b").alias("root")).union(e.select("b", "b")).distinct()
 
 
