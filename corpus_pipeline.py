@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.llm import decontaminate, exact_dedup, language_id, mixing, ngram_join
-from skein.llm.common import NO_ID, stash
+from skein.llm.common import NO_ID, packed, stash
 from skein.sources.tables import table
 
 
@@ -30,7 +30,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """The document of the smallest id of each group that similarity links."""
     found = ngram_join.ngram_join(docs).where("first").select(F.col("doc_id").alias("i"), F.col("th").alias("t")).distinct()
     row_id = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_id.alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+    keyed = packed(docs).select("row", row_id.alias("i"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
     nth = F.row_number().over(Window.partitionBy("i", "t").orderBy("i"))
     return keyed.join(found, ["i", "t"]).withColumn("nth", nth).where("nth = 1").select("row.*")
 
@@ -42,8 +42,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with the copies that the mix takes of each (0 to 2) and the words in them."""
-    return mixing.mix(docs).select("row.*", "size", "source_size", "target", "copies", "taken")
+    """All documents with the copies that the mix takes of each (0 to 2) and the words in them; columns of these names give way."""
+    new = ("size", "source_size", "target", "copies", "taken")
+    return mixing.mix(docs).select(*[F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in new], *new)
 
 
 STAGES = [
