@@ -4,8 +4,9 @@ The benchmark's windows (13 consecutive words, or a whole shorter item) are the
 word numbers of the phrases' vocabulary, keeps the stretches in which every neighbouring pair of words also stands in some
 phrase (only there a phrase can occur), and indexes these stretches as one shard: suffix order, Burrows-Wheeler transform and
 a wavelet tree. All phrases are searched backwards at once through the tree's ranks; each occurrence is located from sampled
-suffix positions, and its words are marked in its document. The benchmark is broadcast in parts of at most PART_BYTES of
-text, one pass over the rows for each part, so no broadcast grows with it.
+suffix positions, and its words are marked in its document. The benchmark is broadcast in parts of about PART_BYTES of text, one
+pass over the texts for each: what a part hits is written before its broadcast goes and the next one comes, and the hits of all
+parts meet their documents in a join by the text's digest. So nothing that is broadcast, or alive at a time, grows with it.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from skein.llm import kernels as K
-from skein.llm.common import bytes_of
+from skein.llm.common import bytes_of, packed, stash
 from skein.sources.tables import table
 
 WINDOW = 13
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 #: Words in a shard's index at most (a longer document makes a longer shard of its own), and one suffix position in so many is kept.
 SHARD_WORDS, SAMPLE = 1 << 20, 16
 _WORD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -198,13 +199,7 @@ def _searched(shared, text_col: str, drop_text: bool):
             row = batch.column(0)
             k = row.type.get_field_index(text_col)
             texts = [bytes(t) for t in bytes_of(row.field(k).cast(pa.string()))]
-            found, at = [], 0
-            while at < len(texts):  # a shard: whole documents
-                size, to = 0, at
-                while to < len(texts) and (to == at or size + len(texts[to]) <= 6 * SHARD_WORDS):
-                    size, to = size + len(texts[to]), to + 1
-                found += find(texts[at:to], phrases)
-                at = to
+            found = [f for some in shards(texts) for f in find(some, phrases)]
             hits = pa.array([{"n_words": n, "spans": list(map(list, zip(a.tolist(), b.tolist(), strict=True))), "items": i} for n, a, b, i in found], type=HIT_ARROW)
             if drop_text:
                 others = [i for i in range(row.type.num_fields) if i != k]
@@ -214,6 +209,31 @@ def _searched(shared, text_col: str, drop_text: bool):
     return run
 
 
+def shards(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """Whole documents, so many that one index holds them."""
+    at = 0
+    while at < len(texts):
+        size, to = 0, at
+        while to < len(texts) and (to == at or size + len(texts[to]) <= 6 * SHARD_WORDS):
+            size, to = size + len(texts[to]), to + 1
+        yield texts[at:to]
+        at = to
+
+
+def _hits(shared):
+    """digest, spans and items of the texts that are hit at all."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = shared.value
+        for batch in parts:
+            found = [f for some in shards([bytes(t) for t in bytes_of(batch.column(1))]) for f in find(some, phrases)]
+            hit = [i for i, f in enumerate(found) if len(f[1])]
+            spans = [list(map(list, zip(found[i][1].tolist(), found[i][2].tolist(), strict=True))) for i in hit]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit, pa.int64())), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([found[i][3] for i in hit], pa.list_(pa.string()))], names=["digest", "spans", "items"])
+
+    return run
+
+
 HIT_ARROW = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("items", pa.list_(pa.string()))])
 
 
@@ -239,22 +259,35 @@ def find_benchmark(
     text has no words; an item without words has no window; an empty benchmark hits nothing; repeated items with one id are
     one item; a text of any length is searched whole.
     """
-    spark = docs.sparkSession
-    df = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
-    hits, parts = [], list(parts_of(benchmark, item_col, item_text, part_bytes))
-    for k, part in enumerate(parts):
-        shared = spark.sparkContext.broadcast(Phrases(list(part()), window))
-        drop = not keep_text and k == len(parts) - 1
-        row = T.StructType([f for f in df.schema["row"].dataType if not (drop and f.name == text_col)])
-        schema = T.StructType([T.StructField("row", row), *df.schema.fields[1:], T.StructField("hits", HITS)])
-        df = df.mapInArrow(_searched(shared, text_col, drop), schema).withColumnRenamed("hits", f"hits{k}")
-        hits.append(F.col(f"hits{k}"))
-    spans = F.sort_array(F.flatten(F.array(*[h["spans"] for h in hits])))
-    merged = F.aggregate(
-        spans, F.lit([]).cast("array<array<bigint>>"),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.get(F.get(acc, F.size(acc) - 1), 1) >= s[0]), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.array(F.get(F.get(acc, F.size(acc) - 1), 0), F.greatest(F.get(F.get(acc, F.size(acc) - 1), 1), s[1]))))).otherwise(F.concat(acc, F.array(s))),
-    )
-    return df.select("row", hits[0]["n_words"].alias("n_words"), (spans if len(hits) == 1 else merged).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.array(*[h["items"] for h in hits])))).alias("items"))
+    context, df = docs.sparkSession.sparkContext, packed(docs, text_col, text_col).drop("doc_id")
+    parts = parts_of(benchmark, item_col, item_text, part_bytes)
+    digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest")
+    earlier = None
+    for part in parts[:-1]:
+        shared = context.broadcast(Phrases(list(part()), window))
+        hits = stash(df.select(digest, F.col("text").cast("binary").alias("text")).where("text is not null").mapInArrow(_hits(shared), "digest binary, spans array<array<bigint>>, items array<string>"), "hits")
+        shared.destroy()
+        earlier = hits if earlier is None else earlier.unionByName(hits)
+    shared = context.broadcast(Phrases(list(parts[-1]()), window))
+    df = df.select("row", *[digest] * (earlier is not None))
+    row = T.StructType([f for f in df.schema["row"].dataType if keep_text or f.name != text_col])
+    df = df.mapInArrow(_searched(shared, text_col, not keep_text), T.StructType([T.StructField("row", row), *df.schema.fields[1:], T.StructField("hits", HITS)]))
+    n_words, spans, items = F.col("hits")["n_words"], F.col("hits")["spans"], F.col("hits")["items"]
+    if earlier is not None:
+        # copies of a text have equal hits of a part, which count once before they are shuffled
+        all_ = earlier.groupBy("digest").agg(F.flatten(F.collect_set("spans")).alias("more"), F.flatten(F.collect_set("items")).alias("others"))
+        df = df.join(all_, "digest", "left")
+        spans = F.when(F.col("more").isNull(), spans).otherwise(_merged(F.array_sort(F.concat("more", spans))))
+        items = F.concat(F.coalesce("others", F.array().cast("array<string>")), items)
+    return df.select("row", n_words.alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(items)).alias("items"))
+
+
+def _merged(spans):
+    """Sorted spans as disjoint maximal ones."""
+    last = lambda acc: F.get(acc, F.size(acc) - 1)
+    longer = lambda acc, s: F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.array(F.get(last(acc), 0), F.greatest(F.get(last(acc), 1), s[1]))))
+    touch = lambda acc, s: (F.size(acc) > 0) & (F.get(last(acc), 1) >= s[0])
+    return F.aggregate(spans, F.lit([]).cast("array<array<bigint>>"), lambda acc, s: F.when(touch(acc, s), longer(acc, s)).otherwise(F.concat(acc, F.array(s))))
 
 
 def contamination(found: DataFrame) -> DataFrame:
