@@ -81,15 +81,18 @@ class Model:
             self.p[n][:] = 0
         self.mask = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
-    def hidden(self, inputs: np.ndarray, keep: dict | None = None) -> np.ndarray:
-        """Vectors (windows, WINDOW, DIM) from which the units are predicted; inputs are the units before them.
+    def hidden(self, inputs: np.ndarray, keep: dict | None = None, first: int = 0) -> np.ndarray:
+        """Vectors (windows, WINDOW - first, DIM) from which the units are predicted; inputs are the units before them.
 
+        Places before ``first`` are context only: they give keys and values, but nothing is predicted there.
         Logits are clipped at LIMIT, so that no maximum has to be taken off; a column of ones beside v sums the weights.
         """
         p, n = self.p, len(inputs)
         x = p["unit"][inputs]
         x += p["place"]
         flat = x.reshape(-1, DIM)
+        if first:
+            return self._later(x, flat, first)
         qkv = flat @ np.concatenate([p["q"] / np.float32(np.sqrt(DIM)), p["k"], p["v"], np.zeros((DIM, 1), p["v"].dtype)], 1)
         qkv[:, -1] = 1
         qkv = qkv.reshape(n, WINDOW, -1)
@@ -110,6 +113,25 @@ class Model:
         y = y + g @ p["h2"] if keep is not None else np.add(y, g @ p["h2"], out=y)
         return y.reshape(n, WINDOW, DIM)
 
+    def _later(self, x: np.ndarray, flat: np.ndarray, first: int) -> np.ndarray:
+        p, n = self.p, len(x)
+        kv = (flat @ np.concatenate([p["k"], p["v"], np.zeros((DIM, 1), p["v"].dtype)], 1)).reshape(n, WINDOW, -1)
+        kv[:, :, -1] = 1
+        k, v = kv[:, :, :DIM], kv[:, :, DIM:]
+        x = x[:, first:]
+        own = np.ascontiguousarray(x).reshape(-1, DIM)
+        q = (own @ (p["q"] / np.float32(np.sqrt(DIM)))).reshape(n, WINDOW - first, DIM)
+        a = q @ k.transpose(0, 2, 1)
+        _limit(a, _longest(q) * _longest(k))
+        np.exp(a, out=a)
+        a *= self.mask[first:]
+        c = a @ v
+        y = own + (c[:, :, :DIM] / c[:, :, DIM:]).reshape(-1, DIM) @ p["o"]
+        g = y @ p["h1"]
+        np.maximum(g, 0, out=g)
+        y += g @ p["h2"]
+        return y.reshape(n, WINDOW - first, DIM)
+
     def log_probs(self, z: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
         """For vectors (n, DIM) and units: log probability of each unit, log probability of any that begins a word."""
         p, u = self.p, self.units
@@ -239,18 +261,20 @@ class Model:
         offset = np.cumsum(lengths) - lengths
         home, begin, first = windows(lengths)
         logp, logb = np.empty(len(seq), np.float32), np.empty(len(seq), np.float32)
-        for at in range(0, len(home), 2 * BATCH):
-            vectors, goals, places = [], [], []
-            for lo in range(at, min(at + 2 * BATCH, len(home)), BATCH):
-                h, b = home[lo : lo + BATCH], begin[lo : lo + BATCH]
-                inputs, targets, valid, place = inputs_of(seq, offset[h], b, lengths[h], self.units.n)
-                valid[~first[lo : lo + BATCH], :OVERLAP] = False
-                flat = np.flatnonzero(valid.ravel())
-                vectors.append(self.hidden(inputs).reshape(-1, DIM)[flat])
-                goals.append(targets.ravel()[flat])
-                places.append(place.ravel()[flat])
-            to = np.concatenate(places)
-            logp[to], logb[to], _ = self.log_probs(np.concatenate(vectors), np.concatenate(goals))
+        for some, skip in ((np.flatnonzero(first), 0), (np.flatnonzero(~first), OVERLAP)):
+            step = BATCH if skip == 0 else BATCH * 3 // 2
+            for at in range(0, len(some), 2 * step):
+                vectors, goals, places = [], [], []
+                for lo in range(at, min(at + 2 * step, len(some)), step):
+                    w = some[lo : min(lo + step, at + 2 * step)]
+                    h, b = home[w], begin[w]
+                    inputs, targets, valid, place = inputs_of(seq, offset[h], b, lengths[h], self.units.n)
+                    flat = np.flatnonzero(valid[:, skip:].ravel())
+                    vectors.append(self.hidden(inputs, first=skip).reshape(-1, DIM)[flat])
+                    goals.append(targets[:, skip:].ravel()[flat])
+                    places.append(place[:, skip:].ravel()[flat])
+                to = np.concatenate(places)
+                logp[to], logb[to], _ = self.log_probs(np.concatenate(vectors), np.concatenate(goals))
         return logp, logb
 
 

@@ -30,6 +30,8 @@ from skein.sources.tables import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 BLOCK, ROUNDS, STEPS, SHARE = 16 << 20, 8, 1400, 0.4
+#: Blocks that learn apart in a round are so many times smaller than those that are scored together.
+FINER = 2
 #: Parameters of a model that are averaged together; windows of a step of training.
 PIECE, BATCH = 1 << 14, 64
 #: Characters of a word that are tokenized at a time.
@@ -178,13 +180,14 @@ def trained(rows: DataFrame, counts: DataFrame, subwords, n_blocks: int, steps:
     ends = counts.where(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     model = new_model(times[0], times[1], ends, tokenizer)
     # one block has nothing to average
-    rounds = rounds if n_blocks > 1 else 1
+    n_blocks, rounds = (n_blocks * FINER, rounds) if n_blocks > 1 else (1, 1)
     expected = (times.sum() / WINDOW + ends) / BATCH / n_blocks / rounds
     falling = np.linspace(0.01, 0.0005, rounds + 1).tolist()
     learn = rows.where(~F.col("held_out")).withColumn("order", F.xxhash64("doc_id", "th", F.lit(7))).withColumn("round", F.pmod("order", F.lit(rounds)))
+    learn = learn.withColumn("block", F.pmod(F.xxhash64("doc_id", "th", F.lit(11)), F.lit(n_blocks)).cast("int"))
     for k in range(rounds if ends else 0):
         shared = context.broadcast(model)
-        dealt = learn.where(F.col("round") == k).select("block", "text", "order").repartition(n_blocks, "block").sortWithinPartitions("block", "order").select("block", "text")
+        dealt = learn.where(F.col("round") == k).select("block", "text", "order").repartitionById(n_blocks, "block").sortWithinPartitions("block", "order").select("block", "text")
         found = dealt.mapInArrow(_learned(subwords, shared, -(-steps // rounds), expected, (falling[k], falling[k + 1]), k), "piece long, block long, units long, values binary")
         # as many pieces as the model has, however many blocks there are
         got = sorted(tuple(r) for r in found.repartition("piece").sortWithinPartitions("piece", "block").mapInArrow(_summed, "piece long, units long, values binary").collect())
@@ -271,7 +274,7 @@ def score_texts(texts: list[np.ndarray], vocab: Vocabulary, total: int, distinct
     return n, np.add.reduceat(known.astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(mixed, first) / np.log(10)
 
 
-COUNT_ARROW = pa.schema([("word", pa.binary()), ("block", pa.int64()), ("n", pa.int64())])
+COUNT_ARROW = pa.schema([("word", pa.binary()), ("block", pa.int32()), ("n", pa.int64())])
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -345,8 +348,8 @@ def lm_score(docs: DataFrame, mod: int = 10, id_col: str = "doc_id", text_col: s
     raw = F.when(F.col("doc_id") != (1 << 63) - 1, F.col("doc_id")).cast("string")
     rows = rows.withColumn("held_out", F.crc32(F.coalesce(raw, F.lit("")).cast("binary")) % mod == 0)
     n_blocks = max(1, -(-(slim.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0) // block_bytes))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "th"), F.lit(n_blocks)))
-    seen = stash(rows.select("text", "block", "held_out").repartition(n_blocks, "block").mapInArrow(_counted, "word binary, block long, n long"), "words")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "th"), F.lit(n_blocks)).cast("int"))
+    seen = stash(rows.select("text", "block", "held_out").repartitionById(n_blocks, "block").mapInArrow(_counted, "word binary, block int, n long"), "words")
     counts = stash(seen.groupBy("word").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
@@ -357,7 +360,7 @@ def lm_score(docs: DataFrame, mod: int = 10, id_col: str = "doc_id", text_col: s
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     words = seen.join(counts, "word").select("block", F.lit(0).alias("kind"), "word", "c", none("long", "doc_id"), none("boolean", "held_out"), none("binary", "text"))
     texts = rows.select("block", F.lit(1).alias("kind"), none("binary", "word"), none("long", "c"), "doc_id", "held_out", "text")
-    work = words.unionByName(texts).repartition(n_blocks, "block").sortWithinPartitions("block", "kind")
+    work = words.unionByName(texts).repartitionById(n_blocks, "block").sortWithinPartitions("block", "kind")
     out = work.mapInArrow(_scored(shared, total, distinct, share), OUT).withColumn("train_tokens", F.lit(total).cast("long"))
     return with_null_ids(out)
 

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from cases import corpus, frame
 from skein.llm import attention as A
-from skein.llm.lm_scoring import SHARE, TOKENIZER, Subwords, lm_score, train
+from skein.llm.lm_scoring import SHARE, TOKENIZER, Subwords, lm_score, sequence, train
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -96,6 +96,25 @@ def test_gradients(model):
         assert np.isclose((up - down) / (2 * e), g[at], rtol=0.05, atol=2e-4), n
 
 
+def test_attention_beats_its_unigram():
+    """Bits for each subword of held-out texts: at least 1.5 fewer than by the counts of the same units."""
+    import duckdb
+
+    docs = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL ORDER BY doc_id").fetchall()
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    subwords = Subwords(TOKENIZER)
+    m = train([t.encode() for d, t in docs if not held(d)], subwords, 500)
+    units = lambda keep: [sequence(t.encode(), m.units, subwords) for d, t in docs if keep(d)]
+    learned, new = np.concatenate(units(lambda d: not held(d))), units(held)
+    flat, lengths = np.concatenate(new), np.array([len(x) for x in new])
+    counts = np.bincount(learned, minlength=m.units.n) + 1.0
+    rare = np.isin(flat, [m.units.rare_begin, m.units.rare_inner])
+    unigram = -(np.log2(counts[flat] / counts.sum()) - rare * np.log2(m.units.vocabulary)).mean()
+    model = -m.score(flat, lengths)[0].mean() / np.log(2)
+    print(f"unigram {unigram:.3f}, model {model:.3f} bits")
+    assert model < unigram - 1.5
+
+
 def test_beats_the_base_on_held_out_prose(spark):
     got = lm_score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").collect()
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
