@@ -40,7 +40,7 @@ def metrics_of(rows: DataFrame, sizes: DataFrame, asked: DataFrame, by: tuple =
 
 def markdown_lines(rows: DataFrame, labels: list[str], numbers: list[str], digits: int = 3) -> DataFrame:
     """Each row as a line of a Markdown table, numbers with so many digits and a dash for none."""
-    number = lambda c: F.coalesce(F.format_string(f"%.{digits}f", F.col(c)), F.lit("—"))
+    number = lambda c: F.coalesce(F.format_string(f"%.{digits}f", F.round(F.col(c), digits)), F.lit("—"))
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *labels, *[F.when(F.col(c).isNull(), "—").otherwise(number(c)) for c in numbers]), F.lit(" |")).alias("line"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.parsers import numeric_match
@@ -132,11 +132,12 @@ def ordered_lookup(d):
     return retrieval.in_order(rerank_top6(d), d.chunks).select("query_id", "rank", "chunk_id", "job_id", F.length("raw_text").cast("long").alias("n"))
 
 
-@query("SELECT doc_id AS chunk_id FROM documents WHERE source IN (SELECT source FROM documents WHERE lang = 'fr' GROUP BY source HAVING count(*) > (SELECT count(*) FROM documents WHERE lang = 'fr') / 10)")
+@query("SELECT doc_id AS chunk_id FROM documents WHERE source IN (SELECT source FROM documents WHERE lang = 'fr' GROUP BY source HAVING count(*) * 2 >= (SELECT max(n) FROM (SELECT count(*) AS n FROM documents WHERE lang = 'fr' GROUP BY source)))")
 def narrowed_chunks(d):
     """Only chunks of the jobs that a structured query found."""
     french = d.chunks.where(F.col("facts").startswith("language fr"))
-    found = french.groupBy("job_id").agg(F.count("*").alias("n")).where(F.col("n") > french.agg(F.count("*")).scalar() / 10)
+    found = french.groupBy("job_id").agg(F.count("*").alias("n"))
+    found = found.where(F.col("n") * 2 >= found.agg(F.max("n")).scalar())
     return retrieval.narrowed(d.chunks, found).select("chunk_id")
 
 
@@ -206,7 +207,7 @@ def ablation_table(d):
     return _four_lanes(d)
 
 
-@query(f"WITH {FOUR} SELECT printf('| %s | %.3f | %.3f | %.3f | %.3f | %.3f |', lane, recall_at_5, recall_at_10, recall_at_20, mrr, ndcg) AS line FROM average")
+@query(f"WITH {FOUR} SELECT printf('| %s | %.3f | %.3f | %.3f | %.3f | %.3f |', lane, round(recall_at_5, 3), round(recall_at_10, 3), round(recall_at_20, 3), round(mrr, 3), round(ndcg, 3)) AS line FROM average")
 def ablation_report(d):
     """The same as lines of a Markdown table."""
     return evals.markdown_lines(_four_lanes(d), ["lane"], ["recall_at_5", "recall_at_10", "recall_at_20", "mrr", "ndcg"])
@@ -215,7 +216,7 @@ def ablation_report(d):
 ROUTED = "SELECT CASE event_type WHEN 'click' THEN 'structured' WHEN 'view' THEN 'semantic' WHEN 'purchase' THEN 'hybrid' ELSE 'refuse' END AS expected, CASE CAST(props->>'$.k' AS INTEGER) % 5 WHEN 0 THEN 'structured' WHEN 1 THEN 'semantic' WHEN 2 THEN 'hybrid' ELSE 'refuse' END AS predicted FROM events"
 
 
-def _k() -> F.Column:
+def _k() -> Column:
     return F.from_json("props", "k int")["k"]
 
 
