@@ -101,10 +101,13 @@ def train(texts: list, labels: list[int], seed: int = 5) -> np.ndarray:
 
 
 def _counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text, or where that is shorter, which is for long texts, its counted features."""
     for batch in parts:
         for k, text in enumerate(bytes_of(batch.column(1))):
             ids, n = counted(text)
-            yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).select(["d", "y"]).columns, pa.array([ids.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["d", "y", "ids", "n"])
+            short = len(text) < ids.nbytes + n.nbytes
+            cells = (bytes(text), None, None) if short else (None, ids.tobytes(), n.tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).select(["d", "y"]).columns, *(pa.array([c], pa.binary()) for c in cells)], names=["d", "y", "t", "ids", "n"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> np.ndarray:
@@ -118,9 +121,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(f"`{id_col}`").alias("d"), text.cast("binary").alias("t"), F.xxhash64(text).alias("th")).where(F.col("d").isNotNull() & text.isNotNull())
     chosen = rows.select("d", "th").join(marks, F.col("d") == F.col("i")).select("d", "th", "y").distinct().orderBy(F.xxhash64("d", "th", F.lit(2)), "d", "th").limit(sample)
     # at most ``sample`` rows
-    got = rows.join(F.broadcast(chosen), ["d", "th"]).dropDuplicates(["d", "th"]).select("d", "t", "y").mapInArrow(_counts, f"d {rows.schema['d'].dataType.simpleString()}, y int, ids binary, n binary").collect()
-    got = sorted((r["d"], bytes(r["ids"]), bytes(r["n"]), r["y"]) for r in got)
-    return train([(np.frombuffer(i, np.int32), np.frombuffer(n, np.float32)) for _, i, n, _ in got], [y for *_, y in got])
+    got = rows.join(F.broadcast(chosen), ["d", "th"]).dropDuplicates(["d", "th"]).select("d", "t", "y").mapInArrow(_counts, f"d {rows.schema['d'].dataType.simpleString()}, y int, t binary, ids binary, n binary").collect()
+    got = sorted(((r["d"], bytes(r["t"] or b""), bytes(r["ids"] or b""), bytes(r["n"] or b""), r["y"]) for r in got))
+    return train([(np.frombuffer(i, np.int32), np.frombuffer(n, np.float32)) if i else t for _, t, i, n, _ in got], [y for *_, y in got])
 
 
 def score(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
