@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import decimal
 import random
 import time
 from collections.abc import Callable, Iterator
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.parsers import joined, long_enough, said, text_hash, token_estimate
+from skein.operators.ordering import running
 
 #: Phrases of notes that programs wrote.
 BOT_PHRASES = ("payment bot", "backfill", "check-bot", "Payment recorded", "Payment received", "No movement in the job since", "invoice-parsing fix")
@@ -114,6 +116,28 @@ def within_ceiling(chunks: DataFrame, spent: float, ceiling: float, prompt_token
     return projected
 
 
+#: Requests that are sent at a time.
+REQUESTS = 2000
+
+
+def request_batches(chunks: DataFrame, prompt_tokens: int, in_price: float, out_price: float, out_tokens: int = 80, ceiling: float | None = None, spent: float = 0.0, most: int = REQUESTS, order: tuple = ("source_type", "source_id")) -> DataFrame:
+    """``chunks`` (facts, raw_text and the columns of ``order``, which tell them apart) with request (from 0), batch (of at most ``most`` requests), cost and running (the cost up to this one and what was spent).
+
+    Costs are as projected_cost has them, in money as decimals; a request whose running cost is over the ``ceiling`` is not in the
+    result, nor is any after it, so the batches can be sent one by one without passing it.
+    """
+    tokens = F.lit(prompt_tokens + 10) + F.floor((F.length("facts") + F.length("raw_text")) / 4)
+    price = lambda p: F.lit(decimal.Decimal(str(p))).cast("decimal(18,6)")
+    # sums of whole numbers of millionths, which do not depend on where rows are
+    cost = tokens.cast("decimal(12,0)") * price(in_price) + F.lit(out_tokens).cast("decimal(12,0)") * price(out_price)
+    rows = running(chunks.withColumn("cost", cost.cast("decimal(24,6)")), list(order), {"request": F.lit(1).cast("long"), "running": F.col("cost")})
+    money = lambda c: (c.cast("decimal(24,6)") * F.lit(decimal.Decimal("0.000001"))).cast("decimal(30,12)")
+    amount = lambda x: F.lit(decimal.Decimal(str(x))).cast("decimal(30,12)")
+    rows = rows.withColumns({"request": F.col("request") - 1, "cost": money(F.col("cost")), "running": (money(F.col("running")) + amount(spent)).cast("decimal(30,12)")})
+    rows = rows.withColumn("batch", F.expr(f"request div {int(most)}"))
+    return rows if ceiling is None else rows.where(F.col("running") <= amount(ceiling))
+
+
 def patient(ask: Callable, refused: type[Exception] = ConnectionError, most: float = 3600.0, delay: float = 10.0, longest: float = 300.0, sleep: Callable[[float], None] = time.sleep) -> Callable:
     """``ask`` that waits and asks again when refused: twice as long each time, between half and one and a half of that by chance, for ``most`` seconds in all."""
 

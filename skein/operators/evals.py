@@ -97,9 +97,33 @@ def first_questions(golden: DataFrame, n: int | None) -> DataFrame:
     return golden if n is None else golden.orderBy("id").limit(n)
 
 
-def sample(rows: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n rows picked by chance, to be read by a person; the same ones for a seed and an order of rows."""
-    return rows.orderBy(F.rand(seed)).limit(n)
+def draw(keys: list[str], seed: int = 0) -> Column:
+    """A number in (0, 1] from the keys of a row and a seed alone: the first 52 bits of a digest."""
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    return (F.conv(F.substring(h, 1, 13), 16, 10).cast("double") + 1) / F.lit(float(1 << 52))
+
+
+def sample(rows: DataFrame, n: int, seed: int = 0, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """n rows picked by chance, the same ones for a seed however the rows are partitioned; for small n, as they pass through the driver's merge.
+
+    Each row draws from its ``keys`` (all columns by default, which must tell rows apart); the n smallest draws stay, so samples of
+    parts merge into that of the whole by the same rule (merged). With ``weight``, a column of numbers, a row is picked in proportion
+    to it: the draw is an exponential one over the weight; rows of no, null or negative weight are never picked.
+    """
+    keys = keys or rows.columns
+    u = draw(keys, seed)
+    if weight is None:
+        return rows.orderBy(u, *keys).limit(n)
+    w = F.col(weight).cast("double")
+    return rows.where((w > 0) & ~F.isnan(w)).orderBy(-F.ln(u) / w, *keys).limit(n)
+
+
+def merged(samples: list[DataFrame], n: int, seed: int = 0, keys: list[str] | None = None, weight: str | None = None) -> DataFrame:
+    """The sample of all from samples of disjoint parts that were taken with the same n or more, seed, keys and weight."""
+    out = samples[0]
+    for s in samples[1:]:
+        out = out.unionByName(s)
+    return sample(out, n, seed, keys, weight)
 
 
 def read_golden(rows: DataFrame) -> DataFrame:

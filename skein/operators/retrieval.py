@@ -10,17 +10,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions.stemming import stem, stem_word
 from skein.functions.text import STOP_WORDS, cover_density, search_text, terms, web_query
+from skein.functions.vectors import cosine_distance
 
 TOP = 50
 RRF = 60
-#: Queries of a block and vectors of a slab: what one task of the dense lane holds at a time, however large the corpus is.
-BLOCK, SLAB = 256, 20_000
+#: Queries of a block and vectors of a slab: what one task of the dense lane holds, however large the corpus is; queries of one product.
+BLOCK, SLAB, AT_ONCE = 4096, 20_000, 64
 
 
 def ranked(scored: DataFrame, n: int = TOP, score: str = "score") -> DataFrame:
@@ -145,27 +146,17 @@ def web_search(chunks: DataFrame, query: str, stemmed: bool = True) -> DataFrame
     return chunks.join(found.select("chunk_id"), "chunk_id", "left_semi")
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, n: int = TOP, within: DataFrame | None = None, block: int = BLOCK, slab: int = SLAB) -> DataFrame:
-    """Ranked lists by exact cosine: vectors (chunk_id, embedding) against queries (query_id, embedding).
+def unit(column: pa.ListArray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a list column that have that many numbers and a length, and these as doubles of length one."""
+    at = np.flatnonzero((np.diff(column.offsets.to_numpy()) == length) & column.is_valid().to_numpy(zero_copy_only=False))
+    m = np.asarray(column.values, np.float64)[column.offsets.to_numpy()[at][:, None] + np.arange(length)]
+    size = np.sqrt((m * m).sum(1))
+    ok = size > 0
+    return at[ok], m[ok] / size[ok, None]
 
-    Queries are dealt into blocks and vectors into slabs, by two counts of column data alone; each pair of a block and a slab is
-    one matrix product in one task, which returns its n best of each query, so what is shuffled next is n rows for each query
-    and slab. Vectors of another length than the query's, without length or null are not found.
-    """
-    if within is not None:
-        vectors = vectors.join(within.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    known = vectors.where(F.col("embedding").isNotNull())
-    blocks, slabs = (max(1, -(-c // size)) for c, size in ((queries.count(), block), (known.count(), slab)))
-    q = queries.select("query_id", F.col("embedding").alias("qv"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("b")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))))
-    v = known.select("chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id"), F.lit(slabs)).cast("int").alias("s")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def unit(column: pa.ListArray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """The rows of that length, as doubles of length one, that have a length."""
-        at = np.flatnonzero((np.diff(column.offsets.to_numpy()) == length) & column.is_valid().to_numpy(zero_copy_only=False))
-        m = np.asarray(column.values, np.float64)[column.offsets.to_numpy()[at][:, None] + np.arange(length)]
-        size = np.sqrt((m * m).sum(1))
-        ok = size > 0
-        return at[ok], m[ok] / size[ok, None]
+def best_of(n: int):
+    """A step of a cogroup: the n best vectors (chunk_id, embedding) of a slab for each query (query_id, qv) of a block, by products of some queries at a time."""
 
     def product(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
@@ -174,15 +165,39 @@ def dense_search(vectors: DataFrame, queries: DataFrame, n: int = TOP, within: D
             asked, have = left["qv"].combine_chunks(), right["embedding"].combine_chunks()
             for length in np.unique(np.diff(asked.offsets.to_numpy())).tolist():
                 (i, a), (j, b) = unit(asked, length), unit(have, length)
-                # one product for all queries of a length; a tie at the n-th place goes by id, so all that tie are kept first
-                for k, score in zip(i, np.round(a @ b.T, 12) if len(i) and len(j) else (), strict=False):
-                    near = np.flatnonzero(score >= np.partition(score, -n)[-n]) if len(score) > n else np.arange(len(score))
-                    best = near[np.lexsort((ids[j[near]], -score[near]))][:n]
-                    out.append((np.full(len(best), qids[k]), ids[j[best]], score[best]))
+                for lo in range(0, len(i) if len(j) else 0, AT_ONCE):
+                    for k, score in zip(i[lo : lo + AT_ONCE], np.round(a[lo : lo + AT_ONCE] @ b.T, 12), strict=True):
+                        # a tie at the n-th place goes by id, so all that tie are kept first
+                        near = np.flatnonzero(score >= np.partition(score, -n)[-n]) if len(score) > n else np.arange(len(score))
+                        best = near[np.lexsort((ids[j[near]], -score[near]))][:n]
+                        out.append((np.full(len(best), qids[k]), ids[j[best]], score[best]))
         return pa.table([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["query_id", "chunk_id", "score"])
 
-    best = q.groupBy("b", "s").cogroup(v.groupBy("b", "s")).applyInArrow(product, "query_id bigint, chunk_id bigint, score double")
-    return ranked(best, n)
+    return product
+
+
+def dense_search(vectors: DataFrame, queries: DataFrame, n: int = TOP, within: DataFrame | None = None, block: int = BLOCK, slab: int = SLAB) -> DataFrame:
+    """Ranked lists by exact cosine: vectors (chunk_id, embedding) against queries (query_id, embedding).
+
+    Queries are dealt into blocks and vectors into slabs, by two counts of column data alone; each pair of a block and a slab meets in
+    one task, which returns its n best of each query, so what is shuffled next is n rows for each query and slab. A vector travels
+    once for each block of queries; clusters.search reads fewer. Vectors of another length than the query's, without length or null
+    are not found.
+    """
+    if within is not None:
+        vectors = vectors.join(within.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    known = vectors.where(F.col("embedding").isNotNull())
+    blocks, slabs = (max(1, -(-c // size)) for c, size in ((queries.count(), block), (known.count(), slab)))
+    q = queries.select("query_id", F.col("embedding").alias("qv"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("b")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))))
+    v = known.select("chunk_id", "embedding", F.pmod(F.xxhash64("chunk_id"), F.lit(slabs)).cast("int").alias("s")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return ranked(q.groupBy("b", "s").cogroup(v.groupBy("b", "s")).applyInArrow(best_of(n), "query_id bigint, chunk_id bigint, score double"), n)
+
+
+def dense_within(vectors: DataFrame, queries: DataFrame, pairs: DataFrame, n: int = TOP) -> DataFrame:
+    """dense_search where each query has its own chunks: ``pairs`` (query_id, chunk_id), which are scored one by one."""
+    asked = queries.select("query_id", F.col("embedding").alias("qv")).join(pairs.select("query_id", "chunk_id").distinct(), "query_id")
+    scored = asked.join(vectors.select("chunk_id", "embedding"), "chunk_id").select("query_id", "chunk_id", F.round(1 - cosine_distance(F.col("embedding"), F.col("qv")), 12).alias("score"))
+    return ranked(scored.where(F.col("score").isNotNull()), n)
 
 
 def fuse(keyword: DataFrame, dense: DataFrame, n: int = TOP, k: int = RRF) -> DataFrame:
@@ -194,14 +209,14 @@ def fuse(keyword: DataFrame, dense: DataFrame, n: int = TOP, k: int = RRF) -> Da
     return ranked(both, n)
 
 
-def overlap(query: pd.Series, text: pd.Series) -> pd.Series:
-    """The default reranker: the share of the query's words that the text has."""
-    sets = [(set(a.lower().split()), set(b.lower().split())) for a, b in zip(query.fillna(""), text.fillna(""), strict=True)]
-    return pd.Series([len(a & b) / len(a) if a else 0.0 for a, b in sets])
+def overlap(query: Column, text: Column) -> Column:
+    """The default reranker: the share of the query's words, split at blanks, that the text has."""
+    of = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != ""))
+    return F.try_divide(F.size(F.array_intersect(of(query), of(text))).cast("double"), F.size(of(query)))
 
 
-def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, n: int = 6, scorer: Callable[[pd.Series, pd.Series], pd.Series] | None = overlap) -> DataFrame:
-    """The n best candidates by an injected scorer of (query, context and text); without one the candidates as they are ranked.
+def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, n: int = 6, scorer: Callable[[pd.Series, pd.Series], pd.Series] | Callable[[Column, Column], Column] | None = overlap) -> DataFrame:
+    """The n best candidates by a scorer of (query, context and text): overlap, an injected model over series, or none, which keeps the candidates as they are ranked.
 
     A missing score counts as 0; ties keep the candidates' order.
     """
@@ -215,7 +230,11 @@ def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, n: int
             if len(f):
                 yield f[["query_id", "chunk_id", "was"]].assign(score=np.asarray(scorer(f["query"], f["text"]), float))
 
-    scored = rows.mapInPandas(run, "query_id bigint, chunk_id bigint, was int, score double").withColumn("score", F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0)))
+    if scorer is overlap:
+        scored = rows.select("query_id", "chunk_id", "was", overlap(F.col("query"), F.col("text")).alias("score"))
+    else:
+        scored = rows.mapInPandas(run, "query_id bigint, chunk_id bigint, was int, score double")
+    scored = scored.withColumn("score", F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "was", "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select("query_id", "chunk_id", "rank", "score")
 

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from skein.functions import parsers
 from skein.operators import chunks as ch
 from skein.operators import derive, gates
+from skein.plans import incremental
 from skein.plans import views as v
 from skein.plans.guard import Guard
 from skein.plans.registry import query
 from skein.sources import ingest, sinks
 from skein.sources.domain import Domain
-from skein.sources.tables import shared_dir
+from skein.sources.tables import kept, shared_dir
+from skein.streaming import signals
 
 #: Nested pages: one JSON text for each order, with its lines as activities and two forms. The values that SQL expects are stated beside it.
 SQFT_TEXT = ("{} sf", " {}.5 ", "${} sq. ft.", "", "about {}")
@@ -217,6 +219,36 @@ def run_journal(d):
     return j.groupBy("status").agg(F.count("*").alias("runs"), F.coalesce(F.sum("rows_out"), F.lit(0)).alias("rows_out"), F.count("error").alias("errors"))
 
 
+@query("SELECT * FROM status", "status")
+def status_after_deltas(d):
+    """Pipeline status from a first build that lacks some activities, has others wrong or too many, and lacks jobs, after three deltas."""
+    store = incremental.StatusStore(sinks.Layer(d.spark, f"{shared_dir(d.spark)}/skein-status-{uuid.uuid4().hex}"))
+    acts = kept(d.keyed_activities.select("activity_id", "job_id", "type_name", "activity_date"), "activities")
+    kind = F.col("activity_id") % 4
+    moved = F.when(kind == 2, F.date_add("activity_date", 40)).otherwise(F.col("activity_date"))
+    surplus = acts.where("job_id % 3 = 0").select((F.col("activity_id") + 500).alias("activity_id"), "job_id", F.lit("Install").alias("type_name"), F.lit("1994-01-01").cast("date").alias("activity_date"))
+    late = F.col("job_id") % 10 == 7
+    store.apply(d.jobs.where(~late), acts.where(kind != 1).withColumn("activity_date", moved).unionByName(surplus))
+    store.apply(d.jobs.limit(0), acts.where(kind == 1))
+    store.apply(d.jobs.limit(0), acts.where(kind == 2))
+    store.apply(d.jobs.where(late), surplus.withColumn("deleted", F.lit(True)))
+    return store.status()
+
+
+@query("SELECT * FROM status", "status")
+def status_from_stream(d):
+    """Pipeline status from a stream of activities: old versions, a restart, then late, repeated and new rows."""
+    root = f"{shared_dir(d.spark)}/skein-stream-{uuid.uuid4().hex}"
+    layer = sinks.Layer(d.spark, f"{root}/layer")
+    acts = kept(d.keyed_activities.select("job_id", "activity_id", F.lit(2).cast("long").alias("version"), "type_name", "activity_date"), "activities")
+    old = acts.withColumns({"version": F.lit(1).cast("long"), "type_name": F.when(F.col("activity_id") % 3 == 0, "Install").otherwise(F.col("type_name")), "activity_date": F.date_sub("activity_date", 50)})
+    half = F.col("activity_id") % 2 == 0
+    for rows in (old.where(half).unionByName(acts.where(~half)), acts.unionByName(old.where(~half)).unionByName(acts.where(half))):
+        rows.write.mode("append").parquet(f"{root}/events")
+        signals.stream_signals(d.spark, f"{root}/events", layer, f"{root}/checkpoint").awaitTermination()
+    return v.status_of(d.jobs, layer.read("job_signals"))
+
+
 CITIES = "SELECT city, count(*) AS n, count(*) + (CASE WHEN city LIKE '%1' THEN 3 WHEN city LIKE '%2' THEN 2 ELSE 0 END) AS want FROM jobs GROUP BY city"
 
 

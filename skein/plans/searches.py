@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skein.functions.parsers import numeric_match
 from skein.functions.text import STOP_WORDS, words
 from skein.operators import chunks as ch
-from skein.operators import evals, retrieval
+from skein.operators import blocks, clusters, evals, retrieval
 from skein.plans import answer
 from skein.plans.registry import query
+from skein.sources import report
 from skein.sources.domain import Domain
+from skein.sources.tables import kept, shared_dir
 
 DENSE = """SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM (
     SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_dot_product(v.e, q.e) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(q.e, q.e))), 12) AS score
@@ -28,6 +32,12 @@ def dense_top50(d):
     return retrieval.dense_search(d.embeddings, _dense_queries(d)).select("query_id", "chunk_id", "rank")
 
 
+@query(DENSE.format(""))
+def dense_top50_clustered(d):
+    """The same lists from vectors that lie in clusters, of which a query reads those that may hold one of its 50 nearest."""
+    return clusters.search(clusters.build(d.embeddings), _dense_queries(d)).select("query_id", "chunk_id", "rank")
+
+
 @query(DENSE.format("WHERE label = 3"))
 def dense_top50_filtered(d):
     within = d.embeddings.where("label = 3").select("chunk_id")
@@ -54,8 +64,11 @@ def keyword_sql(questions: str, top: int = 50) -> str:
 
 
 def _keyword(d: Domain, questions: DataFrame) -> DataFrame:
-    asked = retrieval.query_terms(questions, False)
-    return retrieval.keyword_search(retrieval.postings(d.chunks.drop("facts"), False, only=asked), questions, stemmed=False)
+    return blocks.search(_index(d, questions), questions)
+
+
+def _index(d: Domain, questions: DataFrame) -> blocks.BlockIndex:
+    return blocks.build(d.chunks.drop("facts"), stemmed=False, only=retrieval.query_terms(questions, False))
 
 
 QUESTIONS = "SELECT item_id AS query_id, text AS query FROM benchmark"
@@ -66,6 +79,21 @@ def keyword_top50(d):
     return _keyword(d, d.questions)
 
 
+#: The windows of the block index, the bounds in them, and what a search opens: windows with all words, else the two of the highest bounds and those that may hold one of the 50 best.
+READS = f"""b_win AS (SELECT doc_id AS chunk_id, (row_number() OVER (ORDER BY length(coalesce(text, '')) DESC, doc_id) - 1) // 64 AS win FROM documents),
+    b_tf AS (SELECT query_id, chunk_id, term, win, any_value(n_terms) AS n_terms, count(*) AS tf FROM k_ask JOIN k_place USING (term) JOIN b_win USING (chunk_id) GROUP BY ALL),
+    b_bound AS (SELECT query_id, win, sum(most) AS bound, count(*) AS present, any_value(n_terms) AS n_terms FROM (SELECT query_id, win, term, max(tf) AS most, any_value(n_terms) AS n_terms FROM b_tf GROUP BY ALL) GROUP BY ALL),
+    b_loose AS (SELECT b.*, row_number() OVER (PARTITION BY query_id ORDER BY bound DESC, win) AS nth FROM b_bound b WHERE query_id NOT IN (SELECT query_id FROM k_try WHERE strict)),
+    b_least AS (SELECT query_id, sum(tf) AS least FROM b_tf JOIN b_loose USING (query_id, win) WHERE nth <= 2 GROUP BY query_id, chunk_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sum(tf) DESC, chunk_id) = 50),
+    b_open AS (SELECT query_id, win, present FROM b_bound WHERE present = n_terms UNION SELECT query_id, win, present FROM b_loose LEFT JOIN b_least USING (query_id) WHERE nth <= 2 OR least IS NULL OR bound >= least)"""
+
+
+@query(f"WITH {keyword_sql(QUESTIONS)}, {READS} SELECT query_id, a.blocks, b.read FROM (SELECT query_id, CAST(sum(present) AS BIGINT) AS blocks FROM b_bound GROUP BY 1) a JOIN (SELECT query_id, CAST(sum(present) AS BIGINT) AS read FROM b_open GROUP BY 1) b USING (query_id)")
+def keyword_blocks_read(d):
+    """How many blocks of the index each question's words have, and how many a search opens."""
+    return blocks.reads(_index(d, d.questions), d.questions)
+
+
 @query(f"WITH {keyword_sql(QUESTIONS)} SELECT query_id, strict, count(*) AS chunks, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM k_try WHERE every OR NOT strict GROUP BY ALL")
 def keyword_matches(d):
     """How many chunks each question matches, by all words or else by any."""
@@ -195,8 +223,8 @@ FOUR = f"""{keyword_sql(LANE_QUESTIONS)}, dense AS ({DENSE.format('')}),
 def _four_lanes(d: Domain) -> DataFrame:
     first = F.array_join(F.slice(words(F.col("raw_text")), 1, 8), " ")
     questions = d.chunks.where(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("query_id"), first.alias("query"))
-    keyword, dense = _keyword(d, questions), retrieval.dense_search(d.embeddings, _dense_queries(d))
-    fused = retrieval.fuse(keyword, dense)
+    keyword, dense = kept(_keyword(d, questions), "lane"), kept(retrieval.dense_search(d.embeddings, _dense_queries(d)), "lane")  # each lane's ranks are written once
+    fused = kept(retrieval.fuse(keyword, dense), "lane")
     reranked = retrieval.rerank(fused, questions, d.chunks.drop("facts"), retrieval.TOP)
     return evals.means(_metrics(d, {"keyword": keyword, "dense": dense, "fused": fused, "reranked": reranked}))
 
@@ -313,13 +341,22 @@ def golden_prefix(d):
     return evals.first_questions(evals.read_golden(rows), 30).select("id", F.array_join(F.col("relevant_ids").cast("array<string>"), ", ").alias("relevant_ids"))
 
 
-@query("SELECT count(*) AS n, true AS known, true AS again FROM (SELECT doc_id FROM documents LIMIT 10)")
+#: A number in (0, 1] from the first 52 bits of the digest of seed and id.
+DRAW = "(CAST('0x' || substr(md5('3:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 1) / 4503599627370496.0::DOUBLE"
+
+
+@query(f"SELECT doc_id AS chunk_id FROM documents ORDER BY {DRAW}, doc_id LIMIT 10")
 def seeded_sample(d):
-    """Ten chunks picked by chance: as many as asked, all known, and the same again for the same seed."""
-    ids = d.chunks.select("chunk_id")
-    one, two = evals.sample(ids, 10, 3), evals.sample(ids, 10, 3).withColumnRenamed("chunk_id", "second")
-    both = one.join(two, F.col("chunk_id") == F.col("second"), "full").join(ids.withColumn("is_known", F.lit(True)), "chunk_id", "left")
-    return both.agg(F.count("chunk_id").alias("n"), F.coalesce(F.bool_and(F.coalesce("is_known", F.lit(False))), F.lit(True)).alias("known"), F.coalesce(F.bool_and(F.col("second").isNotNull() & F.col("chunk_id").isNotNull()), F.lit(True)).alias("again"))
+    """Ten chunks picked by chance, the same for a seed whatever holds them."""
+    return evals.sample(d.chunks.select("chunk_id"), 10, 3, ["chunk_id"])
+
+
+@query(f"SELECT doc_id AS chunk_id FROM documents WHERE length(text) > 0 ORDER BY -ln({DRAW}) / length(text), doc_id LIMIT 40")
+def weighted_sample(d):
+    """Forty chunks picked in proportion to their length: samples of five parts, merged."""
+    chunks = d.chunks.select("chunk_id", F.length("raw_text").alias("n"))
+    parts = [evals.sample(chunks.where(F.pmod("chunk_id", F.lit(5)) == i), 40, 3, ["chunk_id"], "n") for i in range(5)]
+    return evals.merged(parts, 40, 3, ["chunk_id"], "n").select("chunk_id")
 
 
 @query("SELECT item_id AS query_id, CASE WHEN c AND t THEN 'hybrid' WHEN c THEN 'structured' ELSE 'semantic' END AS route FROM (SELECT item_id, item_id % 3 <> 1 AS c, item_id % 3 <> 0 AS t FROM benchmark)")
@@ -330,14 +367,14 @@ def question_routes(d):
     return answer.routes(d.questions.select("query_id", asked.alias("question"))).select("query_id", "route")
 
 
-@query("SELECT doc_id AS chunk_id, CAST(length(coalesce(text, '')) AS DOUBLE) AS x, CAST(length(coalesce(source, '')) AS DOUBLE) AS y FROM documents WHERE source IN ('src1', 'src2')")
+@query("SELECT doc_id AS chunk_id, CAST(length(coalesce(text, '')) AS DOUBLE) AS x, CAST(length(coalesce(source, '')) AS DOUBLE) AS y FROM documents")
 def embed_batches(d):
     """Stale chunks through an embedder that is asked in batches and answers after a refusal."""
 
     def embedder(texts: list[str]) -> list[list[float]]:
         return [[float(len(t.partition("\n")[2])), float(len(t.partition("\n")[0]))] for t in texts]
 
-    chunks = d.chunks.where(F.col("job_id").isin("src1", "src2")).withColumns({"raw_text": F.coalesce("raw_text", F.lit("")), "context_text": F.coalesce("job_id", F.lit("")), "text_hash": F.lit("h")})
+    chunks = d.chunks.withColumns({"raw_text": F.coalesce("raw_text", F.lit("")), "context_text": F.coalesce("job_id", F.lit("")), "text_hash": F.lit("h")})
     return ch.embed(chunks, ch.patient(embedder)).select("chunk_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate("xy")])
 
 
@@ -348,3 +385,53 @@ def enrichment_cost(d):
     """What the chunks of each source would cost to enrich, before anything is asked for."""
     chunks = d.chunks.select("job_id", F.coalesce("raw_text", F.lit("")).alias("raw_text"), F.lit("x" * 12).alias("facts"))
     return ch.projected_cost(chunks, 10, 1.0, 5.0, by=("job_id",))
+
+
+@query(
+    """SELECT chunk_id, request, request // 100 AS batch, CAST(cost AS DOUBLE) AS cost, CAST(running + 0.1 AS DOUBLE) AS running FROM (
+    SELECT doc_id AS chunk_id, row_number() OVER o - 1 AS request, cost, sum(cost) OVER o AS running FROM (
+        SELECT doc_id, CAST((20 + (length(concat_ws('; ', 'language ' || lang, 'source ' || source)) + length(coalesce(text, ''))) // 4) * 1.25::DECIMAL(9,2) + 80 * 5 AS DECIMAL(24,12)) / 1000000 AS cost FROM documents)
+    WINDOW o AS (ORDER BY doc_id)) WHERE running + 0.1 <= 5"""
+)
+def request_batches(d):
+    """The requests that enrich the chunks, in batches of a hundred that stop at the ceiling."""
+    chunks = d.chunks.withColumn("raw_text", F.coalesce("raw_text", F.lit("")))
+    found = ch.request_batches(chunks, 10, 1.25, 5.0, ceiling=5.0, spent=0.1, most=100, order=("chunk_id",))
+    return found.select("chunk_id", "request", "batch", F.col("cost").cast("double").alias("cost"), F.col("running").cast("double").alias("running"))
+
+
+ASKED = DENSE.format("").replace("FROM embeddings WHERE vec_id % 50 = 0) q", "FROM embeddings JOIN benchmark ON item_id = vec_id) q")
+EVIDENCE = f"""{keyword_sql(QUESTIONS)}, dense AS ({ASKED}),
+    either_lane AS (SELECT coalesce(k.query_id, d.query_id) AS query_id, coalesce(k.chunk_id, d.chunk_id) AS chunk_id, round(coalesce(1 / (60.0::DOUBLE + k.rank), 0) + coalesce(1 / (60.0::DOUBLE + d.rank), 0), 12) AS score FROM keyword k FULL JOIN dense d ON k.query_id = d.query_id AND k.chunk_id = d.chunk_id),
+    fused AS (SELECT query_id, chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM either_lane QUALIFY rank <= 50), {rerank_sql('fused', QUESTIONS, 6)},
+    best AS (SELECT query_id, r.rank, chunk_id, rtrim('[' || chunk_id || '] ' || chr(10) || coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM reranked r JOIN documents ON doc_id = chunk_id)"""
+
+
+@query(f"WITH {EVIDENCE} SELECT item_id AS query_id, coalesce(string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank), '') AS chunk_ids, md5(coalesce(string_agg(t, chr(10) || chr(10) ORDER BY rank), '')) AS evidence FROM benchmark LEFT JOIN best ON query_id = item_id GROUP BY item_id")
+def evidence_of_questions(d):
+    """The evidence of all questions in one plan: both lanes, fused and reranked, as the paragraphs that an answer is written from."""
+    questions = d.questions.withColumnRenamed("query", "question").join(d.embeddings.select(F.col("chunk_id").alias("query_id"), "embedding"), "query_id", "left")
+    engine = answer.Engine(d.spark, d.chunks.drop("facts"), _index(d, d.questions), d.embeddings.drop("label"), stemmed=False)
+    return engine.evidence(questions).select("query_id", F.array_join(F.col("chunk_ids").cast("array<string>"), ",").alias("chunk_ids"), F.md5("evidence").alias("evidence"))
+
+
+RUN_MEANS = f"SELECT '| ' || model || ' | ' || count(*) || ' | ' || printf('%.3f', avg(seconds)) || ' | ' || printf('%.3f', avg(cost)) || ' |' AS line FROM ({RUNS}) GROUP BY model"
+
+
+def _report(d: Domain) -> str:
+    path = f"{shared_dir(d.spark)}/skein-report-{uuid.uuid4().hex}"
+    report.write_report(_runs(d), path, "model", metrics="seconds, cost", title="Runs by model")
+    return path
+
+
+@query(RUN_MEANS)
+def report_lines(d):
+    """The Markdown table of a report that a sink has written: one line for each model."""
+    return report.read_lines(d.spark, _report(d))
+
+
+@query(f"SELECT model, count(*) AS n, count(*) FILTER (WHERE is_right) AS n_correct, round(sum(cost), 6) AS cost FROM ({RUNS}) GROUP BY model")
+def report_detail(d):
+    """The report's JSON detail, read back."""
+    rows = report.read_detail(d.spark, _report(d), "model string, correct boolean, seconds double, cost double")
+    return rows.groupBy("model").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"), F.round(F.sum("cost"), 6).alias("cost"))

@@ -67,8 +67,8 @@ def v_job_sqft(areas: DataFrame) -> DataFrame:
     return areas.groupBy("job_id").agg(F.sum("sq_ft").alias("total_sq_ft"), F.count("*").alias("area_count"))
 
 
-def pipeline_status(jobs: DataFrame, activities: DataFrame, as_of: dt.date = AS_OF, settle_days: int = SETTLE_DAYS) -> DataFrame:
-    """Where each job stands: not_quoted, moved, pending or quiet.
+def signal_facts(activities: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
+    """first_signal_date, last_signal_date, signal_source, had_dated_<signal> and first_move_date of each job with a dated signal or move.
 
     A signal is a quote, measure or template that happened; a move is an install or removal of any date. All facts of a job come
     from one aggregate over its activities, so the activities are shuffled once, after partial aggregation.
@@ -76,7 +76,7 @@ def pipeline_status(jobs: DataFrame, activities: DataFrame, as_of: dt.date = AS_
     kind, day, at = F.col("type_name"), F.col("activity_date"), F.lit(as_of)
     signal = kind.isin(*SIGNALS) & (day <= at)
     strength = F.when(kind == SIGNALS[0], 3).when(kind == SIGNALS[1], 2).otherwise(1)
-    facts = (
+    return (
         activities.where(day.isNotNull() & kind.isin(*SIGNALS, *MOVES))
         .groupBy("job_id")
         .agg(
@@ -87,6 +87,11 @@ def pipeline_status(jobs: DataFrame, activities: DataFrame, as_of: dt.date = AS_
             F.min(F.when(kind.isin(*MOVES), day)).alias("first_move_date"),
         )
     )
+
+
+def status_of(jobs: DataFrame, facts: DataFrame, as_of: dt.date = AS_OF, settle_days: int = SETTLE_DAYS) -> DataFrame:
+    """The status of each job from its facts (signal_facts), however they were kept."""
+    at = F.lit(as_of)
     s = jobs.select("job_id", "job_name").join(facts, "job_id", "left")
     quoted, moved = F.col("last_signal_date").isNotNull(), F.col("first_move_date").isNotNull()
     silent = F.datediff(at, F.col("last_signal_date"))
@@ -101,6 +106,11 @@ def pipeline_status(jobs: DataFrame, activities: DataFrame, as_of: dt.date = AS_
     )
 
 
+def pipeline_status(jobs: DataFrame, activities: DataFrame, as_of: dt.date = AS_OF, settle_days: int = SETTLE_DAYS) -> DataFrame:
+    """Where each job stands: not_quoted, moved, pending or quiet."""
+    return status_of(jobs, signal_facts(activities, as_of), as_of, settle_days)
+
+
 def conversion(cohorts: DataFrame, day: str) -> DataFrame:
     """Quoted jobs, moved ones and their share for each month of ``day``."""
     moved = F.count_if("moved_forward")

@@ -56,14 +56,14 @@ class Layer:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.parquet(f"{self.root}/{name}/{last}")
 
-    def rebuild(self, name: str, df: DataFrame) -> DataFrame:
+    def rebuild(self, name: str, df: DataFrame, note: str | None = None) -> DataFrame:
         """Writes ``df`` as the new version; readers of the old one are not disturbed."""
         with self.run(name) as result:
             version = uuid.uuid4().hex
             path = f"{self.root}/{name}/{version}"
             df.write.parquet(path)
             out = self.spark.read.schema(df.schema).parquet(path)
-            result |= {"version": version, "rows_out": out.count()}
+            result |= {"version": version, "rows_out": out.count(), "note": note}
         return out
 
     def upsert(self, name: str, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,10 @@ def shared_dir(spark: SparkSession) -> str:
         path = f"file://{tempfile.mkdtemp(prefix='skein-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder, for plans that read it in several places; whoever owns the folder clears it."""
+    path = f"{shared_dir(df.sparkSession)}/skein-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
