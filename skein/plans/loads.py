@@ -246,7 +246,7 @@ def status_from_stream(d):
     for rows in (old.where(half).unionByName(acts.where(~half)), acts.unionByName(old.where(~half)).unionByName(acts.where(half))):
         rows.write.mode("append").parquet(f"{root}/events")
         signals.stream_signals(d.spark, f"{root}/events", layer, f"{root}/checkpoint").awaitTermination()
-    return v.status_of(d.jobs, layer.read("job_signals"))
+    return v.status_of(d.jobs, signals.merged(layer.read("job_signals")))
 
 
 CITIES = "SELECT city, count(*) AS n, count(*) + (CASE WHEN city LIKE '%1' THEN 3 WHEN city LIKE '%2' THEN 2 ELSE 0 END) AS want FROM jobs GROUP BY city"

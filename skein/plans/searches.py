@@ -388,16 +388,16 @@ def enrichment_cost(d):
 
 
 @query(
-    """SELECT chunk_id, request, request // 100 AS batch, CAST(cost AS DOUBLE) AS cost, CAST(running + 0.1 AS DOUBLE) AS running FROM (
-    SELECT doc_id AS chunk_id, row_number() OVER o - 1 AS request, cost, sum(cost) OVER o AS running FROM (
-        SELECT doc_id, CAST((20 + (length(concat_ws('; ', 'language ' || lang, 'source ' || source)) + length(coalesce(text, ''))) // 4) * 1.25::DECIMAL(9,2) + 80 * 5 AS DECIMAL(24,12)) / 1000000 AS cost FROM documents)
-    WINDOW o AS (ORDER BY doc_id)) WHERE running + 0.1 <= 5"""
+    """SELECT chunk_id, request, request // 100 AS batch, cost, running FROM (
+    SELECT doc_id AS chunk_id, row_number() OVER o - 1 AS request, cost, CAST(10000000 + sum(cost) OVER o AS BIGINT) AS running FROM (
+        SELECT doc_id, CAST(((20 + (length(concat_ws('; ', 'language ' || lang, 'source ' || source)) + length(coalesce(text, ''))) // 4) * 125 + 80 * 500) AS BIGINT) AS cost FROM documents)
+    WINDOW o AS (ORDER BY doc_id)) WHERE running <= 500000000"""
 )
 def request_batches(d):
-    """The requests that enrich the chunks, in batches of a hundred that stop at the ceiling."""
+    """The requests that enrich the chunks, in batches of a hundred that stop at the ceiling; money in hundred-millionths."""
     chunks = d.chunks.withColumn("raw_text", F.coalesce("raw_text", F.lit("")))
     found = ch.request_batches(chunks, 10, 1.25, 5.0, ceiling=5.0, spent=0.1, most=100, order=("chunk_id",))
-    return found.select("chunk_id", "request", "batch", F.col("cost").cast("double").alias("cost"), F.col("running").cast("double").alias("running"))
+    return found.select("chunk_id", "request", "batch", *[(F.col(c) * 100_000_000).cast("long").alias(c) for c in ("cost", "running")])
 
 
 ASKED = DENSE.format("").replace("FROM embeddings WHERE vec_id % 50 = 0) q", "FROM embeddings JOIN benchmark ON item_id = vec_id) q")

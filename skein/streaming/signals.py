@@ -10,8 +10,7 @@ import datetime as dt
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -20,7 +19,7 @@ from skein.plans.views import AS_OF, MOVES, SIGNALS
 from skein.sources.sinks import Layer
 
 EVENTS = "job_id long, activity_id long, version long, type_name string, activity_date date"
-FACTS = "job_id long, first_signal_date date, last_signal_date date, signal_source string, had_dated_quote boolean, had_dated_measure boolean, had_dated_template boolean, first_move_date date"
+FACTS = "job_id long, shard int, first_signal_date date, last_signal_date date, signal_source string, had_dated_quote boolean, had_dated_measure boolean, had_dated_template boolean, first_move_date date"
 #: What an activity counts as: a quote, measure or template by its strength, a move, or nothing.
 MOVE, NOTHING = -1, 0
 STRENGTH = {t: len(SIGNALS) - i for i, t in enumerate(SIGNALS)}
@@ -28,34 +27,45 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class JobSignals(StatefulProcessor):
-    """Keeps the latest version of each activity of a job and gives its facts whenever one has changed."""
+    """Keeps the latest version of each activity of a job's shard, read and written once a batch, and gives its facts whenever one has changed."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("activities", "activity_id long", "version long, kind int, day int")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, tuple] = {}
-        for f in rows:
-            for i, version, kind, day in zip(f["activity_id"].tolist(), f["version"].tolist(), f["kind"].tolist(), f["day"].tolist(), strict=True):
-                if i not in new or new[i] < (version, kind, day):
-                    new[i] = (version, kind, day)
-        old = {k[0]: tuple(v) for k, v in self.seen.iterator()} if self.seen.exists() else {}
-        fresh = {i: v for i, v in new.items() if i not in old or old[i] < v}
-        for i, v in fresh.items():
-            self.seen.updateValue((i,), v)
-        if fresh:
-            yield self.facts(key[0], list((old | fresh).values()))
+        self.seen = handle.getValueState("activities", "id array<long>, version array<long>, kind array<int>, day array<int>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = self.seen.get()
+        old = {i: v for i, *v in zip(*held, strict=True)} if held else {}
+        now = dict(old)
+        for r in rows:
+            new = [r["version"], r["kind"], r["day"]]
+            if r["activity_id"] not in now or now[r["activity_id"]] < new:
+                now[r["activity_id"]] = new
+        if now != old:
+            self.seen.update(tuple(list(c) for c in zip(*[(i, *v) for i, v in now.items()], strict=True)))
+            yield self.facts(*key, list(now.values()))
 
     @staticmethod
-    def facts(job: int, activities: list[tuple]) -> pd.DataFrame:
+    def facts(job: int, shard: int, activities: list) -> Row:
         signals = [(day, kind) for _, kind, day in activities if kind > NOTHING]
         moves = [day for _, kind, day in activities if kind == MOVE]
         date = lambda n: dt.date(1970, 1, 1) + dt.timedelta(n)
         names = {n: t for t, n in STRENGTH.items()}
         had = {kind for _, kind in signals}
         first, last = (date(min(signals)[0]), date(max(signals)[0])) if signals else (None, None)
-        row = [job, first, last, names[max(signals)[1]].lower() if signals else None, *[STRENGTH[t] in had for t in SIGNALS], date(min(moves)) if moves else None]
-        return pd.DataFrame([row], columns=[c.split()[0] for c in FACTS.split(", ")])
+        values = [job, shard, first, last, names[max(signals)[1]].lower() if signals else None, *[STRENGTH[t] in had for t in SIGNALS], date(min(moves)) if moves else None]
+        return Row(**dict(zip([c.split()[0] for c in FACTS.split(", ")], values, strict=True)))
+
+
+def merged(facts: DataFrame) -> DataFrame:
+    """The facts of each job (views.signal_facts) from those of its shards."""
+    strength = F.lit(NOTHING)
+    for t, n in STRENGTH.items():
+        strength = F.when(F.col("signal_source") == t.lower(), n).otherwise(strength)
+    last = F.when(F.col("signal_source").isNotNull(), F.struct("last_signal_date", strength))
+    return facts.groupBy("job_id").agg(
+        F.min("first_signal_date").alias("first_signal_date"), F.max("last_signal_date").alias("last_signal_date"), F.max_by("signal_source", last).alias("signal_source"),
+        *[F.bool_or(f"had_dated_{t.lower()}").alias(f"had_dated_{t.lower()}") for t in SIGNALS], F.min("first_move_date").alias("first_move_date"),
+    )
 
 
 @contextmanager
@@ -70,29 +80,33 @@ def _rocks(spark: SparkSession):
         spark.conf.set(name, old) if old else spark.conf.unset(name)
 
 
-def job_signals(events: DataFrame, as_of: dt.date = AS_OF) -> DataFrame:
-    """The facts of a job (views.signal_facts) whenever they may have changed, from a stream of its activities (EVENTS).
+def job_signals(events: DataFrame, as_of: dt.date = AS_OF, shards: int = 1) -> DataFrame:
+    """The facts of a shard of a job whenever they may have changed, from a stream of its activities (EVENTS); see merged.
 
     Of an activity the greatest version counts; of rows of one version the greatest, so that any order gives the same. Jobs and
-    activities without an id are left out.
+    activities without an id are left out. A shard's activities are held together, so ``shards`` is raised where a job may have
+    very many; it stays the same for a checkpoint.
     """
     kind, day = F.col("type_name"), F.col("activity_date")
     strength = F.lit(NOTHING)
     for t, n in STRENGTH.items():
         strength = F.when((kind == t) & (day <= F.lit(as_of)), n).otherwise(strength)
     strength = F.when(kind.isin(*MOVES) & day.isNotNull(), MOVE).otherwise(strength)
-    rows = events.where("job_id is not null and activity_id is not null").select("job_id", "activity_id", F.coalesce("version", F.lit(0).cast("long")).alias("version"), strength.cast("int").alias("kind"), F.coalesce(F.unix_date(day), F.lit(0)).alias("day"))
-    return rows.groupBy("job_id").transformWithStateInPandas(JobSignals(), FACTS, "Update", "None")
+    rows = events.where("job_id is not null and activity_id is not null").select(
+        "job_id", F.pmod(F.xxhash64("activity_id"), F.lit(shards)).cast("int").alias("shard"), "activity_id", F.coalesce("version", F.lit(0).cast("long")).alias("version"),
+        strength.cast("int").alias("kind"), F.coalesce(F.unix_date(day), F.lit(0)).alias("day"),
+    )
+    return rows.groupBy("job_id", "shard").transformWithState(JobSignals(), FACTS, "Update", "None")
 
 
-def stream_signals(spark: SparkSession, path: str, layer: Layer, checkpoint: str, name: str = "job_signals", per_trigger: int | None = None) -> StreamingQuery:
+def stream_signals(spark: SparkSession, path: str, layer: Layer, checkpoint: str, name: str = "job_signals", per_trigger: int | None = None, shards: int = 1) -> StreamingQuery:
     """Takes in the Parquet files there are now and ends; started again with the same checkpoint it takes only new ones.
 
-    The layer's table ``name`` has the last facts of each job; a batch that is run again upserts the same rows.
+    The layer's table ``name`` has the last facts of each shard; a batch that is run again upserts the same rows.
     """
     reader = spark.readStream.schema(EVENTS)
     if per_trigger:
         reader = reader.option("maxFilesPerTrigger", per_trigger)
     with _rocks(spark):
-        facts = job_signals(reader.parquet(path))
-        return facts.writeStream.outputMode("update").foreachBatch(lambda batch, _: layer.upsert(name, batch, ["job_id"])).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        facts = job_signals(reader.parquet(path), shards=shards)
+        return facts.writeStream.outputMode("update").foreachBatch(lambda batch, _: layer.upsert(name, batch, ["job_id", "shard"])).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
