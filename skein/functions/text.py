@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words without meaning for a search.
@@ -27,6 +27,16 @@ def terms(text: Column) -> Column:
     return F.filter(placed, lambda r: ~r.term.isin(STOP_WORDS))
 
 
+def term_rows(rows: DataFrame, text: Column) -> DataFrame:
+    """``rows`` with term and pos, a row for each of terms(text): one generator over the split text, without arrays of structs."""
+    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    # a text that begins with another character has an empty part first, which is no word
+    split = rows.withColumn("_parts", parts).withColumn("_skip", (F.get("_parts", F.lit(0)) == "").cast("int"))
+    out = split.select(*names, "_skip", F.posexplode("_parts").alias("_at", "term"))
+    return out.where((F.col("term") != "") & ~F.col("term").isin(STOP_WORDS)).select(*names, "term", (F.col("_at") + 1 - F.col("_skip")).alias("pos"))
+
+
 def search_text(raw: Column, context: Column) -> Column:
     return F.concat_ws("\n", context, raw)
 

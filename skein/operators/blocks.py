@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions.stemming import stem
-from skein.functions.text import cover_density, search_text, terms
+from skein.functions.text import cover_density, search_text, term_rows
 from skein.operators.ordering import numbered
 from skein.operators.retrieval import TOP, keyword_search, query_terms, ranked
 from skein.sources.tables import kept, shared_dir
@@ -49,7 +49,7 @@ def _span():
 
 @dataclass(frozen=True)
 class BlockIndex:
-    """An index in a folder: blocks (shard, term, window, n, most, lo, hi, chunks), chunks as structs (chunk_id, places) by id."""
+    """An index in a folder: blocks (shard, term, window, n, most, lo, hi, and by chunk id: ids, counts, places)."""
 
     spark: SparkSession
     path: str
@@ -58,12 +58,12 @@ class BlockIndex:
     stemmed: bool
 
     def blocks(self) -> DataFrame:
-        return self.spark.read.schema("term string, window long, n int, most int, lo long, hi long, chunks array<struct<chunk_id: long, places: array<int>>>, shard int").parquet(self.path)
+        return self.spark.read.schema("term string, window long, n int, most int, lo long, hi long, ids array<long>, counts array<int>, places array<array<int>>, shard int").parquet(self.path)
 
     def postings(self, asked: DataFrame) -> DataFrame:
         """The postings of the terms in ``asked`` as retrieval.postings has them."""
         found = self.blocks().join(asked.select("term").distinct(), "term", "left_semi")
-        return found.select("term", F.explode("chunks").alias("c")).select("term", "c.chunk_id", "c.places")
+        return found.select("term", F.explode(F.arrays_zip("ids", "places")).alias("c")).select("term", F.col("c.ids").alias("chunk_id"), "c.places")
 
 
 def build(chunks: DataFrame, path: str | None = None, stemmed: bool = True, only: DataFrame | None = None, shards: int = SHARDS, size: int = SIZE) -> BlockIndex:
@@ -75,20 +75,17 @@ def build(chunks: DataFrame, path: str | None = None, stemmed: bool = True, only
     """
     spark = chunks.sparkSession
     path = path or f"{shared_dir(spark)}/skein-blocks-{uuid.uuid4().hex}"
-    placed = kept(windows(chunks, size), "windows")
-    spans = (placed.agg(F.max("window")).first()[0] or 0) // SPAN + 1
-    texts = chunks.select("chunk_id", _text(chunks).alias("text")).join(placed, "chunk_id")
-    rows = texts.select("chunk_id", "window", F.explode(terms(F.col("text"))).alias("t")).select("chunk_id", "window", "t.term", "t.pos")
+    spans = max(0, chunks.count() - 1) // size // SPAN + 1
+    texts = chunks.select("chunk_id", _text(chunks).alias("text")).join(windows(chunks, size), "chunk_id")
+    rows = term_rows(texts, F.col("text")).drop("text")
     if stemmed:
         rows = rows.withColumn("term", stem("term"))
     if only is not None:
         rows = rows.join(only.select("term").distinct(), "term", "left_semi")
     dealt = rows.repartition("term", "window")  # both aggregates below keep it
     by_chunk = dealt.groupBy("term", "window", "chunk_id").agg(F.sort_array(F.collect_list("pos")).alias("places"))
-    many = F.size("places")
-    block = by_chunk.groupBy("term", "window").agg(
-        F.count("*").cast("int").alias("n"), F.max(many).alias("most"), F.min("chunk_id").alias("lo"), F.max("chunk_id").alias("hi"), F.sort_array(F.collect_list(F.struct("chunk_id", "places"))).alias("chunks")
-    )
+    block = by_chunk.groupBy("term", "window").agg(F.sort_array(F.collect_list(F.struct("chunk_id", F.size("places").alias("count"), "places"))).alias("c"))
+    block = block.select("term", "window", F.size("c").alias("n"), F.array_max("c.count").alias("most"), F.get("c.chunk_id", F.lit(0)).alias("lo"), F.element_at("c.chunk_id", -1).alias("hi"), F.col("c.chunk_id").alias("ids"), F.col("c.count").alias("counts"), F.col("c.places").alias("places"))
     block.withColumn("shard", _shard(shards, _span())).sortWithinPartitions("shard", "term", "window").write.partitionBy("shard").parquet(path)
     return BlockIndex(spark, path, shards, spans, stemmed)
 
@@ -105,12 +102,12 @@ def bounds(index: BlockIndex, asked: DataFrame) -> DataFrame:
     return found.groupBy("query_id", "window").agg(F.sum("most").alias("bound"), F.count("*").alias("present"), F.max("n_clauses").alias("n_clauses"))
 
 
-def _read(index: BlockIndex, asked: DataFrame, chosen: DataFrame, within: DataFrame | None) -> DataFrame:
-    """query_id, chunk_id, clause and places in the blocks of the chosen windows (query_id, window)."""
+def _read(index: BlockIndex, asked: DataFrame, chosen: DataFrame, within: DataFrame | None, column: str = "counts") -> DataFrame:
+    """query_id, chunk_id, clause and counts (or places) in the blocks of the chosen windows (query_id, window)."""
     wanted = chosen.select("query_id", "window").join(asked.select("query_id", "clause", "term"), "query_id")
     wanted = wanted.withColumn("shard", _shard(index.shards, _span()))
-    rows = index.blocks().select("shard", "term", "window", "chunks").join(wanted, ["shard", "term", "window"])
-    rows = rows.select("query_id", "clause", F.explode("chunks").alias("c")).select("query_id", "clause", "c.chunk_id", "c.places")
+    rows = index.blocks().select("shard", "term", "window", "ids", column).join(wanted, ["shard", "term", "window"])
+    rows = rows.select("query_id", "clause", F.explode(F.arrays_zip("ids", column)).alias("c")).select("query_id", "clause", F.col("c.ids").alias("chunk_id"), f"c.{column}")
     if within is None:
         return rows
     on = [c for c in PAIR if c in within.columns]
@@ -118,7 +115,7 @@ def _read(index: BlockIndex, asked: DataFrame, chosen: DataFrame, within: DataFr
 
 
 def _scores(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*PAIR).agg(F.round(F.sum(F.size("places")) * 0.1, 9).alias("score"))
+    return rows.groupBy(*PAIR).agg(F.round(F.sum("counts") * 0.1, 9).alias("score"))
 
 
 @dataclass(frozen=True)
@@ -137,7 +134,7 @@ def planned(index: BlockIndex, asked: DataFrame, n: int = TOP, within: DataFrame
     """The windows that a search for the n best reads; each round's rows are written once."""
     limits = kept(bounds(index, asked), "bounds")
     every = limits.where("present = n_clauses")
-    whole = _read(index, asked, every, within).groupBy(*PAIR).agg(F.count("*").alias("matched"), F.collect_list(F.struct("clause", "places")).alias("parts"))
+    whole = _read(index, asked, every, within, "places").groupBy(*PAIR).agg(F.count("*").alias("matched"), F.collect_list(F.struct("clause", "places")).alias("parts"))
     n_clauses = asked.groupBy(F.col("query_id").alias("q")).agg(F.max("n_clauses").alias("n_clauses"))
     strict = kept(whole.join(n_clauses, F.col("query_id") == F.col("q")).where("matched = n_clauses").drop("q"), "strict")
     loose = limits.join(strict.select("query_id").distinct(), "query_id", "left_anti")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions.stemming import stem, stem_word
-from skein.functions.text import STOP_WORDS, cover_density, search_text, terms, web_query
+from skein.functions.text import STOP_WORDS, cover_density, search_text, term_rows, web_query
 from skein.functions.vectors import cosine_distance
 
 TOP = 50
@@ -36,7 +36,7 @@ def postings(chunks: DataFrame, stemmed: bool = True, only: DataFrame | None = N
     only: a table with the terms that will be looked up; no others are indexed, nor shuffled.
     """
     text = search_text(F.col("raw_text"), F.col("context_text")) if "context_text" in chunks.columns else F.col("raw_text")
-    rows = chunks.select("chunk_id", F.explode(terms(text)).alias("t")).select("chunk_id", "t.term", "t.pos")
+    rows = term_rows(chunks.select("chunk_id", text.alias("_text")), F.col("_text")).drop("_text")
     if stemmed:
         rows = rows.withColumn("term", stem("term"))
     if only is not None:

@@ -51,8 +51,8 @@ def test_blocks_hold_bounds_and_are_pruned_by_folder(spark):
     index = blocks.build(chunks, stemmed=False, size=8)
     rows = index.blocks().collect()
     for b in rows:
-        ids = [c.chunk_id for c in b.chunks]
-        assert ids == sorted(ids) and (b.lo, b.hi, b.n) == (ids[0], ids[-1], len(ids)) and b.most == max(len(c.places) for c in b.chunks) and len(ids) <= 8
+        ids = b.ids
+        assert ids == sorted(ids) and (b.lo, b.hi, b.n) == (ids[0], ids[-1], len(ids)) and b.most == max(b.counts) and b.counts == [len(x) for x in b.places] and len(ids) <= 8
     assert len({(b.term, b.window) for b in rows}) == len(rows)
     shard = rows[0].shard
     plan = index.blocks().where(F.col("shard") == shard).select("term", "most")._jdf.queryExecution().toString()
