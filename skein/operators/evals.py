@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +76,32 @@ def context_precision(useful: Column, retrieved: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(useful, retrieved)).cast("double"), F.size(F.array_distinct(retrieved)))
 
 
+def model_runs(questions: DataFrame, models: dict[str, Callable[[list[str]], list[tuple[str, float, float]]]], batch: int = 48) -> DataFrame:
+    """A row for each injected model and question (query_id, question, expected): model, query_id, answer, correct, seconds, cost.
+
+    A model is asked for ``batch`` questions at a time and gives answer, seconds and cost of each. Answers are judged by their numbers;
+    correct is null where the expected answer has none. Each model runs over the questions in tasks of its own.
+    """
+
+    def asked(name: str, ask: Callable) -> DataFrame:
+        def run(frames):
+            for f in frames:
+                for at in range(0, len(f), batch):
+                    part = f.iloc[at : at + batch]
+                    found = ask(part["question"].fillna("").tolist())
+                    yield part[["query_id", "expected"]].assign(answer=[a for a, _, _ in found], seconds=[float(s) for _, s, _ in found], cost=[float(c) for _, _, c in found])
+
+        kind = questions.schema["query_id"].dataType.simpleString()
+        rows = questions.select("query_id", "question", "expected").mapInPandas(run, f"query_id {kind}, expected string, answer string, seconds double, cost double")
+        return rows.withColumn("model", F.lit(name))
+
+    out = None
+    for name, ask in models.items():
+        one = asked(name, ask)
+        out = one if out is None else out.unionByName(one)
+    return out.select("model", "query_id", "answer", numeric_match(F.col("expected"), F.col("answer")).alias("correct"), "seconds", "cost")
+
+
 def cost_summary(runs: DataFrame) -> DataFrame:
     """accuracy, mean seconds and cost for each right answer by model: ``runs`` (model, correct, seconds, cost)."""
     right = F.count_if("correct")

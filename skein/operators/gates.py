@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -65,3 +66,15 @@ def spend(journal: DataFrame, ceiling: float) -> DataFrame:
 
 def failed(gates: DataFrame) -> DataFrame:
     return gates.where(~F.coalesce("ok", F.lit(False)))
+
+
+def probe(spark: SparkSession, names: Iterable[str]) -> list[tuple[str, bool, int | None, int | None]]:
+    """name, whether the session has such a table or view that can be read, its columns and rows."""
+    out = []
+    for name in names:
+        if not spark.catalog.tableExists(name):
+            out.append((name, False, None, None))
+            continue
+        rows = spark.table(name)
+        out.append((name, True, len(rows.columns), rows.count()))
+    return out

@@ -132,6 +132,14 @@ class Guard:
         except PySparkException as e:
             raise Rejected(str(e)[:300]) from e
 
+    def verdict(self, sql: str) -> str:
+        """``allowed``, or why not, without the details that name the statement's own words."""
+        try:
+            self.frame(sql)
+        except Rejected as e:
+            return "not resolved" if isinstance(e.__cause__, PySparkException) and not str(e).startswith("not one") else str(e).partition(":")[0]
+        return "allowed"
+
     def run(self, sql: str) -> Result:
         df, text = self.frame(sql), unfenced(sql)
         whole = _LIMIT.sub("", text)

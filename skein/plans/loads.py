@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import parsers
+from skein.functions.stemming import stem
+from skein.operators import blocks, derive, gates, retrieval
 from skein.operators import chunks as ch
-from skein.operators import derive, gates
 from skein.plans import incremental
 from skein.plans import views as v
 from skein.plans.guard import Guard
@@ -304,6 +306,7 @@ YEAR_RATE = "SELECT {} AS item, round(100.0 * sum(moved_forward) / sum(quoted_jo
 #: Structured questions as SQL over the views: by name, the answer's item and value.
 SALES = {
     "jobs of one salesperson": "SELECT salesperson AS item, count(*) AS value FROM v_jobs WHERE salesperson = '1-URGENT' GROUP BY salesperson",
+    "jobs of another salesperson": "SELECT salesperson AS item, count(*) AS value FROM v_jobs WHERE salesperson = '5-LOW' GROUP BY salesperson",
     "top salesperson": "SELECT salesperson AS item, count(*) AS value FROM v_jobs WHERE trim(salesperson) <> '' GROUP BY salesperson ORDER BY value DESC, item LIMIT 1",
     "jobs by a part of the name": "SELECT 'high' AS item, count(*) AS value FROM v_jobs WHERE salesperson ILIKE '%high%'",
     "all salespeople": "SELECT salesperson AS item, count(*) AS value FROM v_jobs WHERE trim(salesperson) <> '' GROUP BY salesperson",
@@ -322,6 +325,7 @@ WORK = {
     "areas without material": "SELECT 'none' AS item, count(*) AS value FROM v_job_areas WHERE material_name IS NULL OR trim(material_name) = ''",
     "material by jobs": "SELECT 'anvil' AS item, count(DISTINCT job_id) AS value FROM v_job_areas WHERE material_name ILIKE '%anvil%'",
     "most used material": "SELECT material_name AS item, count(DISTINCT job_id) AS value FROM v_job_areas GROUP BY material_name ORDER BY value DESC, item LIMIT 1",
+    "most common activity type": "SELECT type_name AS item, count(*) AS value FROM v_activities GROUP BY type_name ORDER BY value DESC, item LIMIT 1",
     "repairs": "SELECT 'Repair' AS item, count(*) AS value FROM v_activities WHERE type_name = 'Repair'",
     "quotes": "SELECT 'Quote' AS item, count(*) AS value FROM v_activities WHERE type_name = 'Quote'",
     "jobs with a type of work": "SELECT 'Measure' AS item, count(DISTINCT job_id) AS value FROM v_activities WHERE type_name = 'Measure'",
@@ -331,6 +335,9 @@ WORK = {
     "crew with most jobs": CREW.format("count(*)") + " ORDER BY value DESC, item LIMIT 1",
     "largest average job": CREW.format("round(avg(total_sq_ft), 2)") + " ORDER BY value DESC NULLS LAST, item LIMIT 1",
     "jobs of crews": CREW.format("count(*)"),
+    "square feet of crews in a month": f"SELECT assignees AS item, sum(total_sq_ft) AS value FROM ({CREW_WORK.replace('1998-07-01', '1998-02-01')}) w LEFT JOIN v_job_sqft s ON s.job_id = w.job_id WHERE assignees ILIKE '%1' GROUP BY assignees",
+    "average job of one crew": f"SELECT min(assignees) AS item, round(avg(total_sq_ft), 2) AS value FROM ({CREW_WORK}) w LEFT JOIN v_job_sqft s ON s.job_id = w.job_id WHERE assignees = (SELECT max(assignees) FROM ({CREW_WORK}) x)",
+    "two crews compared": f"SELECT assignees AS item, sum(total_sq_ft) / count(*) AS value FROM ({CREW_WORK}) w LEFT JOIN v_job_sqft s ON s.job_id = w.job_id WHERE assignees IN (SELECT max(assignees) FROM ({CREW_WORK}) x UNION ALL SELECT min(assignees) FROM ({CREW_WORK}) y) GROUP BY assignees",
     "square feet of crews": CREW.format("sum(total_sq_ft)"),
 }
 RATES = {
@@ -349,7 +356,9 @@ def _answers_sql(questions: dict[str, str]) -> str:
 
 
 def _answers(d: Domain, questions: dict[str, str]) -> DataFrame:
-    lane, out = guard(d), None
+    """All questions over views that are built and written once."""
+    used = " ".join(questions.values())
+    lane, out = Guard(d.spark, lambda session: {n: kept(df, n) for n, df in _views(session, d.sf_dir).items() if re.search(rf"\b{n}\b", used)}), None
     for name, sql in questions.items():
         one = lane.frame(sql).select(F.lit(name).alias("question"), "item", F.col("value").cast("double").alias("value"))
         out = one if out is None else out.unionByName(one)
@@ -389,3 +398,79 @@ def guarded_rows(d):
 def guarded_limit(d):
     """A limit of its own is kept, and the total is that without it."""
     return _shown(d, "```sql\nSELECT try_cast(doc_number AS bigint) AS job_id, customer_name FROM v_invoices WHERE status = 'F' ORDER BY job_id LIMIT 250;\n```")
+
+
+#: Statements that generated SQL might be, with {} for a supplier's number, and what the guard makes of them.
+STATEMENTS = (
+    ("SELECT count(*) FROM v_jobs WHERE job_id > {}", "allowed"),
+    ("DROP TABLE v_jobs_{}", "not a plain SELECT"),
+    ("SELECT 1; SELECT {}", "not one readable statement"),
+    ("SELECT * FROM orders_{}", "unknown table"),
+    ("SELECT * FROM parquet.`/data/{}`", "unknown table"),
+    ("SELECT java_method('java.lang.System', 'exit', {})", "function not allowed"),
+    ("```sql\nSELECT job_id FROM v_jobs WHERE job_id = {};\n```", "allowed"),
+    ("WITH v_jobs AS (SELECT {} AS job_id) SELECT * FROM v_jobs", "a WITH query takes the name of a view"),
+    ("SELECT no_such_column_{} FROM v_jobs", "not resolved"),
+    ("INSERT INTO v_jobs VALUES ({})", "not a plain SELECT"),
+    ("", "empty query"),
+    ("SELECT j.job_id FROM v_jobs j WHERE job_id IN (SELECT max(job_id) FROM v_invoices_{})", "unknown table"),
+    ("SET x = {}", "not a plain SELECT"),
+    ("SELECT * FROM range({})", "not allowed"),
+    ("WITH w AS (SELECT job_id FROM v_jobs WHERE job_id < {}) SELECT count(*) FROM w", "allowed"),
+)
+VERDICTS = f"SELECT s_suppkey, list_value({', '.join(chr(39) + what + chr(39) for _, what in STATEMENTS)})[s_suppkey % {len(STATEMENTS)} + 1] AS verdict FROM supplier"
+
+
+@query(VERDICTS)
+def guard_verdicts(d):
+    """What the guard makes of a statement for each supplier: of fifteen kinds, three are allowed."""
+    rows = [(r.s_suppkey, STATEMENTS[r.s_suppkey % len(STATEMENTS)][0].format(r.s_suppkey)) for r in d.raw("supplier").select("s_suppkey").toLocalIterator()]
+    lane = Guard(d.spark, lambda session: {"v_jobs": v.v_jobs(Domain(session, d.sf_dir).jobs)})
+    return d.spark.createDataFrame([(k, lane.verdict(sql)) for k, sql in rows], "s_suppkey long, verdict string")
+
+
+PROBED = ("orders", "lineitem", "documents", "no_such_table")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS name, true AS found, (SELECT count(*) FROM information_schema.columns WHERE table_name = '{t}' AND table_schema = 'main') AS n_columns, (SELECT count(*) FROM {t}) AS n_rows" for t in PROBED[:3]) + " UNION ALL SELECT 'no_such_table', false, NULL, NULL")
+def catalog_probes(d):
+    """Which tables a session has, with their columns and rows, and one that it has not."""
+    session = d.spark.newSession()
+    for t in PROBED[:3]:
+        session.read.parquet(f"{d.sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    found = gates.probe(session, PROBED)
+    return d.spark.createDataFrame([tuple(r) for r in found], "name string, found boolean, n_columns long, n_rows long")
+
+
+#: Words in the forms that notes have, and their stems.
+FORMS = {
+    "click": ("click", "clicks clicked clicking click"), "error": ("error", "error errors errored erroring"), "purchase": ("purchas", "purchase purchases purchased purchasing"),
+    "signup": ("signup", "signup signups signups signup"), "view": ("view", "views viewed viewing view"),
+}
+_FORM = "CASE event_type " + " ".join(f"WHEN '{e}' THEN ['" + "', '".join(forms.split()) + f"'][CAST(props->>'$.k' AS INTEGER) % 4 + 1]" for e, (_, forms) in FORMS.items()) + " END"
+_STEM = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{stem}'" for e, (stem, _) in FORMS.items()) + " END"
+
+
+def _forms(d: Domain) -> DataFrame:
+    nth = F.from_json("props", "k int")["k"] % 4
+    word = F.lit(None).cast("string")
+    for e, (_, forms) in FORMS.items():
+        word = F.when(F.col("event_type") == e, F.element_at(F.array(*[F.lit(w) for w in forms.split()]), nth + 1)).otherwise(word)
+    return d.raw("events").select("event_id", "event_type", word.alias("word"))
+
+
+@query(f"SELECT event_id, {_FORM} AS word, {_STEM} AS stem FROM events")
+def stems_of_words(d):
+    """Words in several forms with their stems."""
+    return _forms(d).select("event_id", "word", stem("word").alias("stem"))
+
+
+@query(f"SELECT e AS query_id, count(*) AS chunks, min(event_id) AS first_chunk FROM (SELECT event_id, event_type FROM events) JOIN (VALUES {', '.join(f'({i}, ' + chr(39) + e + chr(39) + ')' for i, e in enumerate(FORMS))}) t(e, event_type) USING (event_type) GROUP BY 1")
+def stemmed_matches(d):
+    """A question with a word in one form finds the notes that have it in any."""
+    notes = _forms(d).select(F.col("event_id").alias("chunk_id"), F.concat(F.lit("the client "), F.col("word"), F.lit(" it on "), F.col("event_id").cast("string")).alias("raw_text"))
+    kinds = F.create_map(*[F.lit(x) for i, e in enumerate(FORMS) for x in (e, i)])
+    asked = d.raw("events").select("event_type").distinct().select(kinds[F.col("event_type")].cast("long").alias("query_id"), F.concat(F.regexp_replace("event_type", "e$", ""), F.lit("ing")).alias("query"))
+    index = blocks.build(notes, only=retrieval.query_terms(asked))
+    found = retrieval.matches(index.postings(retrieval.query_terms(asked)), asked)
+    return found.where("matched = n_clauses").groupBy("query_id").agg(F.count("*").alias("chunks"), F.min("chunk_id").alias("first_chunk"))
