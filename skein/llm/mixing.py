@@ -21,8 +21,8 @@ SHARE = 1.5
 MOST_COPIES = 2.0
 #: Bins of a histogram of ranks, and how many histograms there are, each within one bin of the one before.
 BINS, LEVELS = 64, 4
-#: Weights count in hundredths and up to this, so that a source has a bounded number of different ones.
-HEAVIEST = 100.0
+#: Weights count to so many digits after their first, so that a source has a bounded number of different ones (9,000 in each power of ten).
+DIGITS = 3
 
 
 def words(text):
@@ -62,8 +62,9 @@ def draw(doc_id, seed: int):
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = 7, weight_col: str | None = None) -> DataFrame:
     """One row for each row of docs: row, doc_id, size, source_size, target, copies and taken (copies times size).
 
-    With weight_col, a number of at least 0 (null as 1), the expected copies of a document are proportional to it within its
-    source, up to ``most`` copies; weights count in hundredths, at most HEAVIEST. Documents without words (null, empty) are taken 0 times; a null source is a
+    With weight_col, a finite number of at least 0 (null as 1; others raise an error), the expected copies of a document are
+    proportional to it within its source, up to ``most`` copies; only how weights of a source compare counts, not how large they are,
+    and of a weight its first four digits. Documents without words (null, empty) are taken 0 times; a null source is a
     source of its own; rows repeated with one id share their draw and are cut in any order among themselves. An empty table
     gives an empty result.
     """
@@ -92,8 +93,9 @@ def rates(classes: DataFrame, goal: DataFrame, most: float = MOST_COPIES) -> Dat
 
 def allocate(rows: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES, seed: int = 7) -> DataFrame:
     """rows (doc_id, source, size, tilt, perhaps row), which are read several times, with source_size, target, copies and taken."""
-    tilt = F.round(F.least(F.greatest(F.coalesce("tilt", F.lit(1.0)), F.lit(0.0)), F.lit(HEAVIEST)), 2)
-    rows = rows.withColumn("tilt", tilt)
+    tilt = F.coalesce("tilt", F.lit(1.0))
+    fine = (tilt >= 0) & (tilt < float("inf"))  # NaN is greater than all numbers
+    rows = rows.withColumn("tilt", F.when(fine, F.format_string(f"%.{DIGITS}e", tilt).cast("double")).otherwise(F.raise_error(F.lit("a weight must be a finite number of at least 0"))))
     classes = stash(rows.groupBy("source", "tilt").agg(F.sum("size").alias("words")), "sources")
     goal = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
     goal = stash(rates(classes, goal, most).withColumnRenamed("source", "g"), "targets")

@@ -75,3 +75,22 @@ def test_a_column_of_any_name_and_repeated_ids(spark):
     df = frame(spark, rows).withColumns({c: F.lit("x") for c in ("size", "target", "copies", "row", "q", "g")})
     got = mix(df, share=0.5).collect()
     assert sum(r.taken for r in got) == pytest.approx(200, abs=4) and all(r.row.size == "x" for r in got)
+
+
+@pytest.mark.parametrize("scale", [0.004, 1.0, 1e6, 1e-12])
+def test_only_how_weights_compare_counts(spark, scale):
+    """Weights of any size meet the target, and a document of ten times the weight is taken more often."""
+    rows = [(i, "w " * 10, "en", "a", 20) for i in range(600)]
+    df = frame(spark, rows).withColumn("heavy", F.when(F.col("doc_id") % 3 == 0, 10.0).otherwise(1.0) * F.lit(scale))
+    got = mix(df, weight_col="heavy", share=0.25).collect()
+    assert sum(r.taken for r in got) == pytest.approx(0.25 * 6000, abs=10)
+    heavy, light = (sum(r.copies for r in got if (r.row.doc_id % 3 == 0) == h) for h in (True, False))
+    assert 4 * light < heavy
+
+
+@pytest.mark.parametrize("bad", ["NaN", "Infinity", "-1"])
+def test_weights_that_are_none_raise(spark, bad):
+    df = frame(spark, [(1, "a b", "en", "a", 3), (2, "a b", "en", "a", 3)]).withColumn("heavy", F.when(F.col("doc_id") == 1, F.lit(bad).cast("double")).otherwise(1.0))
+    with pytest.raises(Exception, match="finite"):
+        mix(df, weight_col="heavy").collect()
+    assert len(mix(df.withColumn("heavy", F.lit(None).cast("double")), weight_col="heavy").collect()) == 2
