@@ -6,7 +6,8 @@
 3. A group of more than GROUP contexts gets longer prefixes: its windows are dealt in halves by where the anchor stands in
    them, each half to the longer gram that all its windows hold, until groups fit; in the end the prefix is the window.
 4. In a group, suffix order settles every window: by smaller positions before and after it (bytes), or by the smallest
-   document below a deep node of the suffix tree (words). What it says of a context goes back to all its occurrences.
+   document below a deep node of the suffix tree (words), to which a context brings the smallest of its own. What it says of a
+   context goes back to all its occurrences; a word's goes where its document is not that smallest one.
 Each result is a span of removed windows.
 """
 
@@ -39,7 +40,7 @@ PLACE = _long("key", "ctx", "doc_id", "th", "lo", "hi", "at")
 STRING = _long("key", "ctx", "doc_id", "th", "lo", "n", "at", "a", "b").append(pa.field("vals", pa.binary()))
 #: The same cut from the string (of, of_ctx), ``skip`` values in.
 PIECE = _long("of", "of_ctx", "skip", *STRING.names[:-1]).append(pa.field("vals", pa.binary()))
-#: What becomes of the windows [lo, hi] of a context that is first found at (first_doc, first_th, first_lo).
+#: What becomes of the windows [lo, hi] of a context that is first found at (first_doc, first_th, first_lo): ALL or LATER, or, where documents count, the smallest document below their node.
 FATE = _long("key", "ctx", "first_doc", "first_th", "first_lo", "lo", "hi", "fate")
 
 
@@ -170,8 +171,8 @@ def _ordered(kind: Kind) -> Callable:
         fate = np.zeros(len(data), np.int64)
         if kind.keep == "document":
             doc = np.array([r[2] for r in rows])[home]
-            fate[at[again[at]]] = LATER
-            fate[below_smaller(data, order, rest, doc, kind.length)] = ALL
+            fate = smallest_below(data, order, rest, doc, kind.length)
+            at = at[(fate[at] < doc[at]) | again[at]]  # of the others no occurrence is in a greater document
         else:
             local = np.full(len(data), -1, np.int64)
             local[at] = np.arange(len(at))
@@ -182,16 +183,14 @@ def _ordered(kind: Kind) -> Callable:
             if kind.keep == "first":
                 twins = np.flatnonzero(again[:copies])
                 fate[twins] = np.where(fate[twins] == 0, LATER * (fate[copies : copies + len(twins)] > 0), fate[twins])
-            at = at[at < copies]
+            at = at[(at < copies) & (fate[at] > 0)]
         yield from runs(rows, home[at], at - start[home[at]], fate[at])
 
     def runs(rows: list[tuple], row: np.ndarray, place: np.ndarray, fate: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(row):
             return
-        cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (fate[1:] != fate[:-1])]))
+        cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1) | (fate[1:] != fate[:-1])]))
         end = np.append(cut[1:], len(row)) - 1
-        go = fate[cut] > 0
-        cut, end = cut[go], end[go]
         own = np.array([r[:5] for r in rows], np.int64)[row[cut]]
         yield from batches(FATE, [*own.T, place[cut], place[end], fate[cut]])
 
@@ -213,17 +212,18 @@ def _ordered(kind: Kind) -> Callable:
     return run
 
 
-def below_smaller(data: np.ndarray, order: np.ndarray, rest: np.ndarray, doc: np.ndarray, depth: int) -> np.ndarray:
-    """Suffix starts below an internal node of at least this depth that a smaller document also reaches.
+def smallest_below(data: np.ndarray, order: np.ndarray, rest: np.ndarray, doc: np.ndarray, depth: int) -> np.ndarray:
+    """For each place the smallest document below the highest node of at least this depth over its suffix; the place's own where there is none.
 
-    order: suffixes in order; rest: how many values each may use. The nodes are the intervals of the suffix tree in which
-    neighbours have so long a common prefix; deeper nodes lie within them and have no other documents.
+    order: suffixes in order; rest: how many values each may use; doc: the smallest document that each place stands for. The nodes
+    are the intervals of the suffix tree in which neighbours have so long a common prefix; deeper nodes lie within them and have
+    no other documents.
     """
-    if not len(order):
-        return order
-    start = np.flatnonzero(K.common_prefixes(data, order, rest) < depth)
-    least = np.minimum.reduceat(doc[order], start)
-    return order[doc[order] > np.repeat(least, np.diff(np.append(start, len(order))))]
+    out = doc.copy()
+    if len(order):
+        start = np.flatnonzero(K.common_prefixes(data, order, rest) < depth)
+        out[order] = np.repeat(np.minimum.reduceat(doc[order], start), np.diff(np.append(start, len(order))))
+    return out
 
 
 def fates(kind: Kind, strings: DataFrame) -> DataFrame:
@@ -240,16 +240,16 @@ def fates(kind: Kind, strings: DataFrame) -> DataFrame:
     first = F.min(F.struct("doc_id", "th", "lo")).alias("first")
     longer = stash(pieces.groupBy("key", "ctx").agg(first, F.sum("n").alias("n"), *[F.first(c).alias(c) for c in ("at", "a", "b", "vals")]).select("key", "ctx", "first.*", "n", "at", "a", "b", "vals"), "longer")
     found = fates(kind, longer).withColumnsRenamed({"lo": "from", "hi": "to"}).join(pieces.drop("vals", "a", "b", "at"), ["key", "ctx"])
-    fate = F.when((F.col("fate") == ALL) | _after(kind), ALL).otherwise(LATER).cast("long").alias("fate")
+    fate = F.col("fate") if kind.keep == "document" else F.when(_goes(kind), ALL).otherwise(LATER).cast("long").alias("fate")
     found = found.select(F.col("of").alias("key"), F.col("of_ctx").alias("ctx"), F.col("doc_id").alias("first_doc"), F.col("th").alias("first_th"), (F.col("lo") - F.col("skip")).alias("first_lo"), (F.col("skip") + F.col("from")).alias("lo"), (F.col("skip") + F.col("to")).alias("hi"), fate)
     return settled.unionByName(found)
 
 
-def _after(kind: Kind):
-    """Whether an occurrence comes after the first of its context, in the sense that matters."""
+def _goes(kind: Kind):
+    """Whether an occurrence goes by its fate."""
     if kind.keep == "document":
-        return F.col("doc_id") > F.col("first_doc")
-    return F.struct("doc_id", "th", "lo") > F.struct("first_doc", "first_th", "first_lo")
+        return F.col("doc_id") > F.col("fate")
+    return (F.col("fate") == ALL) | (F.struct("doc_id", "th", "lo") > F.struct("first_doc", "first_th", "first_lo"))
 
 
 def removed_spans(docs: DataFrame, kind: Kind) -> DataFrame:
@@ -265,7 +265,7 @@ def removed_spans(docs: DataFrame, kind: Kind) -> DataFrame:
     todo = contexts.groupBy(F.col("first.doc_id"), F.col("first.th")).agg(F.collect_list(F.struct("key", "ctx", F.col("first.lo").alias("lo"), "wide", "n", "at")).alias("rows"))
     strings = stash(docs.join(todo, ["doc_id", "th"]).select("doc_id", "th", "text", "rows").mapInArrow(_strings(kind), _ddl(STRING)), "strings")
     found = fates(kind, strings).withColumnsRenamed({"lo": "from", "hi": "to"})
-    spans = places.join(found, ["key", "ctx"]).where((F.col("fate") == ALL) | _after(kind)).select("doc_id", "th", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to") + kind.length).alias("hi"))
+    spans = places.join(found, ["key", "ctx"]).where(_goes(kind)).select("doc_id", "th", (F.col("lo") + F.col("from")).alias("lo"), (F.col("lo") + F.col("to") + kind.length).alias("hi"))
     return spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
