@@ -12,6 +12,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 MAX_ROWS = 200
+#: Rows that come to the driver at most, whatever limit a query has.
+MOST_SHOWN = 10_000
 TIMEOUT = 10.0
 #: The plan nodes, by class, that a query may have, and the functions it may call.
 WRAPPERS = {"GlobalLimit", "LocalLimit", "Sort", "Distinct", "UnresolvedWith"}
@@ -88,17 +90,18 @@ class Result:
 class Guard:
     """Runs queries in a session of its own that holds only the given views.
 
-    ``build`` makes the views in the session it gets. A query without a limit of its own shows ``max_rows`` rows; row_count tells
-    how many there are without any limit at the query's end.
+    ``build`` makes the views in the session it gets. A query without a limit of its own shows ``max_rows`` rows, one with a limit that
+    many, but no more than ``most_shown``, as they come to the driver; row_count tells how many there are without any limit at the
+    query's end, and the frame has them all.
     """
 
-    def __init__(self, spark: SparkSession, build: Callable[[SparkSession], dict[str, DataFrame]], max_rows: int = MAX_ROWS, timeout: float = TIMEOUT) -> None:
+    def __init__(self, spark: SparkSession, build: Callable[[SparkSession], dict[str, DataFrame]], max_rows: int = MAX_ROWS, timeout: float = TIMEOUT, most_shown: int = MOST_SHOWN) -> None:
         self.session = spark.newSession()
         self.session.conf.set("spark.sql.runSQLOnFiles", "false")
         self.views = build(self.session)
         for name, df in self.views.items():
             df.createOrReplaceTempView(name)
-        self.max_rows, self.timeout = max_rows, timeout
+        self.max_rows, self.timeout, self.most_shown = max_rows, timeout, most_shown
 
     def frame(self, sql: str) -> DataFrame:
         """The query as a DataFrame, not yet limited; Rejected if it is not allowed."""
@@ -149,7 +152,7 @@ class Guard:
         def work() -> None:
             try:
                 self.session.sparkContext.setJobGroup(group, "guarded query", True)
-                rows = (df if own else df.limit(self.max_rows + 1)).collect()
+                rows = df.limit(self.most_shown if own else self.max_rows + 1).collect()
                 if own and rows:
                     n = self.session.sql(whole).count()
                 else:
