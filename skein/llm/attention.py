@@ -213,10 +213,10 @@ class Model:
         self.p["cls_b"][:] = np.log(count.sum(1) / count.sum())
         self.p["out_b"][:] = np.log(count / count.sum(1, keepdims=True))
 
-    def fit(self, texts: Iterable[np.ndarray], least: int, expected: float = 0, rates: tuple[float, float] = (0.01, 0.0005), batch: int = 64, seed: int = 2, together: int = 1 << 20) -> tuple[list[float], int]:
+    def fit(self, texts: Iterable[np.ndarray], least: int, expected: float = 0, rates: tuple[float, float] = (0.01, 0.0005), batch: int = 64, seed: int = 2, together: int = 1 << 20, passes: int = 1) -> tuple[list[float], int]:
         """Adam over windows of the texts' units, in an order shuffled among ``together`` units at a time: losses and units seen.
 
-        Every unit of every text is predicted once; texts of too few windows for ``least`` steps are gone through again.
+        Every unit of every text is predicted in each of ``passes`` passes; texts of too few windows for ``least`` steps are gone through again.
         The rate rises over the first steps and goes from the first of ``rates`` to the second over the expected steps.
         """
         r, losses, units, span = np.random.default_rng(seed), [], 0, max(least, expected, 1)
@@ -226,8 +226,9 @@ class Model:
             lengths = np.array([len(t) for t in some])
             seq, offset = np.concatenate(some), np.cumsum(lengths) - lengths
             home, begin, _ = windows(lengths, WINDOW)
-            done = 0
-            while done == 0 or done < least:
+            done, gone = 0, 0
+            while gone < passes or done < least:
+                gone += 1
                 order = r.permutation(len(home))
                 for at in range(0, len(order), batch):
                     w, t = order[at : at + batch], len(losses) + 1

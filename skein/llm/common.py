@@ -19,10 +19,10 @@ BLANKS = " \t\n\x0b\f\r"
 NO_ID = (1 << 63) - 1
 
 
-def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` as a table written to the shared folder, so that a lost executor costs no recomputation, and its path."""
+def written(df: DataFrame, name: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """``df`` as a table written to the shared folder (in folders ``by`` a column), so that a lost executor costs no recomputation, and its path."""
     path = f"{shared_dir(df.sparkSession)}/skein-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -1,9 +1,9 @@
 """Language-model scoring: corpus word counts and a causal self-attention model over subword ids.
 
 Words of all training documents are counted on Spark, and these counts name the attention model's units. The model
-(attention.py) learns from every training document whole: documents are dealt to ROUNDS rounds by hash, in a round each block of
-them goes through its own texts from the same parameters, and the next round begins at the mean of what the blocks came to,
-weighted by their units. It scores every text whole in overlapping windows, each subword once. A word's
+(attention.py) learns from every training document whole: documents are dealt to ROUNDS rounds and to learners by hash, in a round
+each learner goes through its own texts from the same parameters, and the next round begins at the mean of what the learners came
+to, weighted by their units and formed in a tree. It scores every text whole in overlapping windows, each subword once. A word's
 probability mixes its share of the training tokens with the model's probability of its subwords, which includes that the word
 ends there, so both are distributions over words.
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby, islice
 
 import numpy as np
@@ -25,15 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.attention import WINDOW, Model, Units
-from skein.llm.common import batches, bytes_of, column_np, ids_and_bytes, stash, with_null_ids
+from skein.llm.common import batches, bytes_of, column_np, discard, ids_and_bytes, stash, with_null_ids, written
 from skein.sources.tables import table
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 BLOCK, ROUNDS, STEPS, SHARE = 16 << 20, 8, 1400, 0.4
-#: Blocks that learn apart in a round are so many times smaller than those that are scored together.
-FINER = 2
-#: Parameters of a model that are averaged together; windows of a step of training.
-PIECE, BATCH = 1 << 14, 64
+#: Parameters of a model that are averaged together; windows of a step of training; tasks whose parameters are averaged at once.
+PIECE, BATCH, FAN = 1 << 14, 64, 128
 #: Characters of a word that are tokenized at a time.
 PART = 48
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -128,76 +126,101 @@ def _ids(shared):
     return run
 
 
-def _learned(shared, model, least: int, expected: float, rates: tuple[float, float], seed: int):
-    """Parameters, times the units seen, that each block of texts comes to from the model's, in pieces."""
-    schema = pa.schema([("piece", pa.int64()), ("block", pa.int64()), ("units", pa.int64()), ("values", pa.binary())])
+def _learned(shared, model, passes: int, expected: float, rates: tuple[float, float], seed: int, tasks: int):
+    """Mean parameters that the learners of a task come to from the model's, weighted by their units, in pieces."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords, start = shared.value, model.value
 
         def rows() -> Iterator[tuple[int, memoryview]]:
             for batch in parts:
-                yield from zip(column_np(batch, "block").tolist(), bytes_of(batch.column(1)), strict=True)
+                yield from zip(column_np(batch, "learner").tolist(), bytes_of(batch.column(1)), strict=True)
 
-        for block, texts in groupby(rows(), key=lambda row: row[0]):
+        task, units, total = 0, 0, 0.0
+        for learner, texts in groupby(rows(), key=lambda row: row[0]):
             own = Model(start.units)
             for n, x in start.p.items():
                 own.p[n] = x.copy()
-            _, units = own.fit((sequence(t, own.units, subwords) for _, t in texts), least, expected, rates, seed=seed)
-            flat = np.concatenate([own.p[n].ravel() for n in Model.NAMES]).astype(np.float64) * units
-            cut = range(0, len(flat), PIECE)
-            yield pa.RecordBatch.from_arrays([pa.array([at // PIECE for at in cut]), pa.array([block] * len(cut)), pa.array([units] * len(cut)), pa.array([flat[at : at + PIECE].tobytes() for at in cut], pa.binary())], schema=schema)
+            _, seen = own.fit((sequence(t, own.units, subwords) for _, t in texts), 0, expected, rates, batch=BATCH, seed=seed, passes=passes)
+            task, units = learner % tasks, units + seen
+            total = total + np.concatenate([own.p[n].ravel() for n in Model.NAMES]).astype(np.float64) * seen
+        if units:
+            yield _pieces(range(-(-len(total) // PIECE)), task, units, [total[at : at + PIECE] for at in range(0, len(total), PIECE)])
 
     return run
 
 
-def _summed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the pieces, which come in order; a piece of all blocks at a time."""
-    piece, units, total = None, 0, np.empty(0)
+def _pieces(numbers: Iterable[int], task: int, units: int, sums: list[np.ndarray]) -> pa.RecordBatch:
+    numbers = list(numbers)
+    values = pa.array([(x / units).astype(np.float32).tobytes() for x in sums], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([task] * len(numbers), pa.int64()), pa.array([units] * len(numbers), pa.int64()), values], names=["piece", "task", "units", "values"])
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([piece]), pa.array([units]), pa.array([total.tobytes()], pa.binary())], names=["piece", "units", "values"])
 
+def _averaged(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Means of the pieces of each group of tasks, weighted by units; they come in order, and one is held at a time."""
+    at, units, total = None, 0, np.empty(0)
     for batch in parts:
-        for p, u, x in zip(column_np(batch, "piece").tolist(), column_np(batch, "units").tolist(), bytes_of(batch.column(3)), strict=True):
-            if p != piece:
-                if piece is not None:
-                    yield out()
-                piece, units, total = p, 0, np.zeros(len(x) // 8)
+        for p, t, u, x in zip(column_np(batch, "piece").tolist(), column_np(batch, "task").tolist(), column_np(batch, "units").tolist(), bytes_of(batch.column(3)), strict=True):
+            if (p, t // FAN) != at:
+                if at is not None:
+                    yield _pieces([at[0]], at[1], units, [total])
+                at, units, total = (p, t // FAN), 0, np.zeros(len(x) // 4)
             units += u
-            total += np.frombuffer(x, np.float64)
-    if piece is not None:
-        yield out()
+            total += np.frombuffer(x, np.float32).astype(np.float64) * u
+    if at is not None:
+        yield _pieces([at[0]], at[1], units, [total])
 
 
-def trained(rows: DataFrame, counts: DataFrame, subwords, n_blocks: int, steps: int, rounds: int) -> Model:
-    """A model of all rows (doc_id, th, text, block) that are not held out; counts: their words."""
-    tokenizer, context = subwords.value, rows.sparkSession.sparkContext
+PIECES = "piece long, task long, units long, values binary"
+
+
+def averaged(found: DataFrame, tasks: int) -> DataFrame:
+    """One row for each piece: pieces of FAN tasks meet, then those of FAN such groups, so no key has more than FAN rows."""
+    while True:
+        group = F.expr(f"task div {FAN}")
+        found = found.repartition("piece", group).sortWithinPartitions("piece", "task").mapInArrow(_averaged, PIECES)
+        tasks = -(-tasks // FAN)
+        if tasks == 1:
+            return found
+
+
+def trained(rows: DataFrame, counts: DataFrame, subwords, steps: int, rounds: int) -> Model:
+    """A model of all rows (doc_id, th, text) that are not held out; counts: their words.
+
+    There are as many learners as get ``steps`` steps each; a corpus of fewer has one, which goes through its texts again.
+    """
+    tokenizer, spark = subwords.value, rows.sparkSession
     times = np.zeros((2, tokenizer.size), np.int64)
     # at most two rows for each id of the tokenizer
     for i, n in counts.mapInArrow(_ids(subwords), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():
         times[int(i < 0), i if i >= 0 else -1 - i] = n
     ends = counts.where(F.length("word") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     model = new_model(times[0], times[1], ends, tokenizer)
-    # one block has nothing to average
-    n_blocks, rounds = (n_blocks * FINER, rounds) if n_blocks > 1 else (1, 1)
-    expected = (times.sum() / WINDOW + ends) / BATCH / n_blocks / rounds
+    if not ends:
+        return model
+    total = (times.sum() / WINDOW + ends) / BATCH
+    learners, passes = max(1, int(total // max(1, steps))), max(1, round(steps / total))
+    # few enough tasks that what they send is small beside the texts, and enough for all cores
+    tasks = min(learners, 4 * spark.sparkContext.defaultParallelism)
+    expected = total * passes / learners / rounds
     falling = np.linspace(0.01, 0.0005, rounds + 1).tolist()
-    learn = rows.where(~F.col("held_out")).withColumn("order", F.xxhash64("doc_id", "th", F.lit(7))).withColumn("round", F.pmod("order", F.lit(rounds)))
-    learn = learn.withColumn("block", F.pmod(F.xxhash64("doc_id", "th", F.lit(11)), F.lit(n_blocks)).cast("int"))
-    for k in range(rounds if ends else 0):
-        shared = context.broadcast(model)
-        dealt = learn.where(F.col("round") == k).select("block", "text", "order").repartitionById(n_blocks, "block").sortWithinPartitions("block", "order").select("block", "text")
-        found = dealt.mapInArrow(_learned(subwords, shared, -(-steps // rounds), expected, (falling[k], falling[k + 1]), k), "piece long, block long, units long, values binary")
-        # as many pieces as the model has, however many blocks there are
-        got = sorted(tuple(r) for r in found.repartition("piece").sortWithinPartitions("piece", "block").mapInArrow(_summed, "piece long, units long, values binary").collect())
+    learn = rows.where(~F.col("held_out")).withColumn("order", F.xxhash64("doc_id", "th", F.lit(7)))
+    learn = learn.select("text", "order", F.pmod("order", F.lit(rounds)).cast("int").alias("round"), F.pmod(F.xxhash64("doc_id", "th", F.lit(11)), F.lit(learners)).cast("int").alias("learner"))
+    texts, path = written(learn, "learn", by="round")
+    for k in range(rounds):
+        shared = spark.sparkContext.broadcast(model)
+        dealt = texts.where(F.col("round") == k).select("learner", "text", "order").repartitionById(tasks, F.col("learner") % tasks).sortWithinPartitions("learner", "order").select("learner", "text")
+        found = dealt.mapInArrow(_learned(subwords, shared, passes, expected, (falling[k], falling[k + 1]), k, tasks), PIECES)
+        # as many pieces as the model has, however many learners there are
+        got = sorted((r.piece, r["values"]) for r in averaged(found, tasks).collect())
         shared.unpersist()
         if got:
-            flat, at = np.concatenate([np.frombuffer(x, np.float64) / u for _, u, x in got]), 0
+            flat, at = np.concatenate([np.frombuffer(x, np.float32) for _, x in got]), 0
             for n in Model.NAMES:
                 x = model.p[n]
-                model.p[n] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
+                model.p[n] = flat[at : at + x.size].reshape(x.shape).copy()
                 at += x.size
+    discard(spark, path)
     return model
 
 
@@ -339,7 +362,7 @@ def lm_score(docs: DataFrame, mod: int = 10, id_col: str = "doc_id", text_col: s
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10) of each row of docs.
 
     Documents whose crc32 of the id as text is divisible by ``mod`` are held out of all learning; the model learns from all
-    others, and where a block of them gives fewer than ``steps`` steps, it goes through them again. Null and empty texts are one
+    others, and goes through them again only where all of them together give few of ``steps`` steps. Null and empty texts are one
     end token; null ids count as the empty text; repeated rows count each time and score alike; if nothing is learned, all
     tokens are unknown and the untrained model scores; an empty table gives an empty result.
     """
@@ -355,7 +378,7 @@ def lm_score(docs: DataFrame, mod: int = 10, id_col: str = "doc_id", text_col: s
 
     context = docs.sparkSession.sparkContext
     subwords = context.broadcast(Subwords(tokenizer))
-    shared = context.broadcast((trained(rows, counts, subwords, n_blocks, steps, rounds), subwords.value))
+    shared = context.broadcast((trained(rows, counts, subwords, steps, rounds), subwords.value))
 
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     words = seen.join(counts, "word").select("block", F.lit(0).alias("kind"), "word", "c", none("long", "doc_id"), none("boolean", "held_out"), none("binary", "text"))

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from cases import corpus, frame
 from skein.llm import attention as A
-from skein.llm.lm_scoring import SHARE, TOKENIZER, Subwords, lm_score, sequence, train
+from skein.llm.lm_scoring import PIECES, SHARE, TOKENIZER, Subwords, averaged, lm_score, sequence, train
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -139,3 +139,23 @@ def test_rare_units_are_spelled_by_their_counts():
         assert rare.sum() == 4 and not extra[~rare].any()
         p = np.exp(extra[rare]) / 6
         assert np.isclose(p.sum(), 1) and p[c[rare] == 3] > p[c[rare] == 0].max()
+
+
+def test_parameters_are_averaged_by_units_in_a_tree(spark):
+    """Means of 300 tasks over groups of FAN: each piece is the mean weighted by units, however many tasks there are."""
+    r = np.random.default_rng(6)
+    for tasks in (1, 5, 300):
+        values, units = r.standard_normal((tasks, 3, 4)).astype(np.float32), r.integers(1, 50, tasks)
+        rows = [(p, t, int(units[t]), values[t, p].tobytes()) for t in range(tasks) for p in range(3)]
+        got = {x.piece: (x.units, np.frombuffer(x["values"], np.float32)) for x in averaged(spark.createDataFrame(rows, PIECES), tasks).collect()}
+        assert sorted(got) == [0, 1, 2]
+        for p, (n, x) in got.items():
+            assert n == units.sum() and np.allclose(x, (values[:, p] * units[:, None]).sum(0) / units.sum(), atol=1e-4)
+
+
+def test_each_training_unit_is_predicted_once_a_pass(model):
+    texts = [np.arange(n) % 50 for n in (3, 40, 700)]
+    for passes in (1, 3):
+        losses, units = A.Model(model.units).fit(texts, 0, batch=4, passes=passes)
+        # windows: 1 + 2 + 22
+        assert units == 743 and len(losses) == passes * 7
