@@ -98,7 +98,8 @@ def _runs(bits: int):
             if not len(batch):
                 continue
             number = batch.column(0)[0].as_py()
-            rows = pa.Table.from_batches([batch]).drop_columns(["run"])
+            # tables of one schema, whatever Spark knows of nulls
+            rows = pa.Table.from_arrays(batch.columns[1:], schema=pa.schema([f.with_nullable(True) for f in list(batch.schema)[1:]]))
             # batches follow one another in order
             rows = rows if rest is None else pa.concat_tables([rest, rows])
             done, rest = merged([rows], rows["digest"][-1].as_py())

@@ -52,7 +52,7 @@ def test_merge_in_chunks(spark, monkeypatch):
         own = [(hashlib.sha256(re.sub(" ", "", t).encode()).digest(), len(t.strip()), 7, -len(t), False, d, 1) for d, t in rows[k * 150 : k * 150 + 150]]
         columns = list(zip(*sorted(own), strict=True))
         types = [pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
-        whole = pa.Table.from_arrays([pa.array([k] * 150, pa.int64()), *map(pa.array, columns, types)], names=["run", *exact.KEYS, "count"])
+        whole = pa.Table.from_arrays([pa.array([k] * 150, pa.int64()), *map(pa.array, columns, types)], schema=pa.schema([pa.field(n, t, n in ("digest", "doc_id")) for n, t in zip(["run", *exact.KEYS, "count"], [pa.int64(), *types], strict=True)]))
         parts += exact._runs(1)(iter(whole.to_batches(max_chunksize=7)))
     order = sorted((x for b in parts for x in b.to_pylist()), key=lambda x: (x["range"], x["first"]))
     assert all(pa.ipc.open_stream(x["rows"]).read_all().num_rows <= 3 for x in order)
