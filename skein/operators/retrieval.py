@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from skein.functions.stemming import stem, stem_word
-from skein.functions.text import STOP_WORDS, cover_density, search_text, term_rows, web_query
+from skein.functions.text import STOP_WORDS, cover_density, search_text, term_rows, web_query, words
 from skein.functions.vectors import cosine_distance
 
 TOP = 50
@@ -47,6 +47,21 @@ def postings(chunks: DataFrame, stemmed: bool = True, only: DataFrame | None = N
 CLAUSES = "query_id {}, n_clauses int, clause int, negated boolean, phrase int, size int, place int, term string, single boolean"
 
 
+def clauses_of(text: str, stemmed: bool = True) -> list[tuple[frozenset, bool]]:
+    """The different clauses of a query, negated ones last: phrases as tuples of (place, word) without stop words, and whether negated."""
+    out: dict[tuple, None] = {}
+    for c in web_query(text):
+        phrases = [tuple((i, stem_word(w) if stemmed else w) for i, w in enumerate(p) if w not in STOP_WORDS) for p in c.phrases]
+        if kept := frozenset(p for p in phrases if p):
+            out[kept, c.negated] = None
+    return sorted(out, key=lambda c: c[1])
+
+
+def plain(queries: DataFrame) -> DataFrame:
+    """Queries whose text is plain words, as queries in web-search syntax: no ``or``, sign or quotation mark of theirs is syntax."""
+    return queries.withColumn("query", F.array_join(F.array_remove(words(F.col("query")), "or"), " "))  # a stop word
+
+
 def query_terms(queries: DataFrame, stemmed: bool = True) -> DataFrame:
     """The terms of queries in web-search syntax (text.web_query): one row for each word of each phrase of each different clause.
 
@@ -54,19 +69,11 @@ def query_terms(queries: DataFrame, stemmed: bool = True) -> DataFrame:
     clause is one word that must hold. A query without such clauses has no rows.
     """
 
-    def parsed(text: str) -> list[tuple[frozenset, bool]]:
-        out: dict[tuple, None] = {}
-        for c in web_query(text):
-            phrases = [tuple((i, stem_word(w) if stemmed else w) for i, w in enumerate(p) if w not in STOP_WORDS) for p in c.phrases]
-            if kept := frozenset(p for p in phrases if p):
-                out[kept, c.negated] = None
-        return sorted(out, key=lambda c: c[1])
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for qid, text in zip(f["query_id"], f["query"], strict=True):
-                clauses = parsed(text or "")
+                clauses = clauses_of(text or "", stemmed)
                 n = sum(not negated for _, negated in clauses)
                 for i, (phrases, negated) in enumerate(clauses if n else []):
                     single = not negated and len(phrases) == 1 and len(next(iter(phrases))) == 1

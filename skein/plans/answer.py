@@ -130,9 +130,11 @@ class Engine:
     write: Callable[[str, str], str] = staticmethod(lambda question, evidence: evidence)
     embed_many: Callable[[list[str]], list[list[float]]] | None = None
     stemmed: bool = True
+    plain: bool = False
 
     def _lanes(self, queries: DataFrame, within: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        keyword = blocks.search(self.index, queries, within=within) if isinstance(self.index, BlockIndex) else retrieval.keyword_search(self.index, queries, within=within, stemmed=self.stemmed)
+        asked = retrieval.plain(queries) if self.plain else queries
+        keyword = blocks.search(self.index, asked, within=within) if isinstance(self.index, BlockIndex) else retrieval.keyword_search(self.index, asked, within=within, stemmed=self.stemmed)
         vectors = self.vectors.vectors().select("chunk_id", "embedding") if isinstance(self.vectors, ClusterIndex) else self.vectors
         if within is not None and "query_id" in within.columns:
             return keyword, retrieval.dense_within(vectors, queries, within)
