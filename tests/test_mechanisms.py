@@ -187,3 +187,33 @@ def test_stream_equals_batch_after_a_restart(spark, tmp_path):
     batch = views.signal_facts(spark.createDataFrame([v for _, v in last.values()], ACTIVITY))
     jobs = spark.createDataFrame([(j, f"job {j}") for j in range(13)], "job_id long, job_name string")
     assert as_rows(views.status_of(jobs, signals.merged(layer.read("job_signals")))) == as_rows(views.status_of(jobs, batch))
+
+
+def test_state_is_read_and_written_once_for_a_bucket_of_jobs(spark):
+    import pandas as pd
+
+    class Held:
+        value, calls = None, []
+
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+    held, p = Held(), signals.JobSignals()
+    p.init(held)
+    frame = pd.DataFrame({"job_id": range(4000), "activity_id": range(4000), "version": 1, "day": range(4000), "kind": [3, -1, 0, 1] * 1000})
+    out = pd.concat(p.handleInputRows((0, 5), iter([frame[1000:], frame[:1000]]), None))
+    assert held.calls == ["get", "update"] and sorted(out["job_id"]) == list(range(4000)) and set(out["shard"]) == {5}
+    by = out.set_index("job_id")
+    assert by.loc[8, ["first", "last", "move", "source"]].tolist() == [8, 8, signals.NONE, 3] and by.loc[9, ["first", "last", "move", "source"]].tolist() == [signals.NONE, signals.NONE, 9, 0]
+    older, newer = frame.assign(version=0, kind=3)[:9], frame.assign(version=2, kind=1)[9:10]
+    assert list(p.handleInputRows((0, 5), iter([frame, older]), None)) == [] and held.calls == ["get", "update", "get"]
+    (last,) = p.handleInputRows((0, 5), iter([frame, newer]), None)
+    assert last[["job_id", "first", "move", "source"]].values.tolist() == [[9, 9, signals.NONE, 1]]
