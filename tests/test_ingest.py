@@ -99,3 +99,14 @@ def test_stream_and_rerun(spark, tmp_path):
     before = {n: sorted(map(str, layer.read(n).collect())) for n in ("jobs", "activities", "job_forms", "area_fields", "job_contacts", "job_summary")}
     load(layer, ingest.read_pages(spark, str(src / "[23].json")))
     assert before == {n: sorted(map(str, layer.read(n).collect())) for n in before}
+
+
+def test_the_summary_builds_and_parses_the_pages_once(spark):
+    import os
+
+    from skein.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    if os.path.isdir(sf):
+        plan = QUERIES["ingested_summary"](spark, sf)._jdf.queryExecution().toString()
+        assert "from_json" not in plan and "l_orderkey" not in plan
