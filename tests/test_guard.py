@@ -106,3 +106,22 @@ def test_engine(spark, guard):
     assert engine.answer("how many notes mention the sink").chunk_ids == [2]
     engine.generate = lambda *x: "DROP TABLE v"
     assert engine.answer("how many jobs").chunk_ids
+
+
+def test_statements_of_one_shape_are_parsed_once(spark, guard, monkeypatch):
+    """Verdicts of many statements equal those one by one, and statements that differ in numbers alone are one."""
+    alike = ["SELECT count(*) FROM v_jobs WHERE job_id > {}", "DROP TABLE v_jobs_{}", "SELECT 1; SELECT {}", "SELECT * FROM parquet.`/data/{}`", "SELECT java_method('java.lang.System', 'exit', {})", "SELECT no_such_{} FROM v_jobs", "WITH w_{} AS (SELECT {} AS a) SELECT a FROM w_{}"]
+    apart = [
+        "SELECT job_id FROM v_jobs ORDER BY {}", "SELECT job_id, count(*) FROM v_jobs GROUP BY {}", "SELECT job_id FROM v_jobs LIMIT {}", "SELECT CAST(job_id AS decimal({}, 2)) FROM v_jobs", "SELECT percentile(job_id, {}) FROM v_jobs",
+        "SELECT `{}` FROM (SELECT 5)", "SELECT `{}` FROM (SELECT 05)", "SELECT `{}` FROM (SELECT '5')", "WITH a_{} AS (SELECT 1 AS k) SELECT * FROM a_5", "SELECT * FROM VALUES (999999999 + 999999999 + {}99999999)", "SELECT ntile({}) OVER (ORDER BY job_id) FROM v_jobs",
+        "SELECT DATE '2000-01-{}' FROM v_jobs", "SELECT {}{}{}Y FROM v_jobs", "SELECT job_id FROM v_jobs WHERE job_id > -{}", "SELECT job_id /* {} */ FROM v_jobs", "SELECT {} > 5 AS a FROM v_jobs WHERE salesperson = 'it''s'", "",
+    ]
+    rows = [(i, p.format(*[n] * 3)) for i, (p, n) in enumerate((p, n) for p in alike + apart for n in (0, 1, 2, 3, 5, 35, 77))] + [(999, None)]
+    want = {i: guard.verdict(sql or "") for i, sql in rows}
+    asked, verdict = [], Guard.verdict
+    monkeypatch.setattr(Guard, "verdict", lambda self, sql: asked.append(sql) or verdict(self, sql))
+    got = {r.k: r.verdict for r in guard.verdicts(spark.createDataFrame(rows, "k long, sql string")).collect()}
+    assert got == want
+    asked.clear()
+    many = spark.range(20, 3000).select("id", F.replace(F.element_at(F.array(*map(F.lit, alike)), (F.col("id") % len(alike) + 1).cast("int")), F.lit("{}"), F.col("id").cast("string")).alias("sql"))
+    assert guard.verdicts(many).count() == 2980 and len(asked) == len(alike)
