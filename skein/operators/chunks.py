@@ -40,29 +40,45 @@ def job_facts(jobs: DataFrame, areas: DataFrame) -> DataFrame:
     return j.select("job_id", facts.alias("job_facts"), F.coalesce("n_areas", F.lit(0)).alias("n_areas"))
 
 
-def activity_chunks(activities: DataFrame, facts: DataFrame) -> DataFrame:
-    rows, c = activities.where(long_enough(F.col("notes"))).join(facts, "job_id"), F.col
-    text = joined(
-        c("job_facts"), F.coalesce(said("this note is on a ", c("type_name"), " activity"), F.lit("this note is on an activity")), said("activity status ", c("status_name")),
+def activity_notes(activities: DataFrame) -> DataFrame:
+    """Notes with what is known of them beside their job (about), and that if the job has one area (about_single; null: the same)."""
+    rows, c = activities.where(long_enough(F.col("notes"))), F.col
+    about = joined(
+        F.coalesce(said("this note is on a ", c("type_name"), " activity"), F.lit("this note is on an activity")), said("activity status ", c("status_name")),
         F.coalesce(said("dated ", c("activity_date")), F.lit("undated")), said("phase ", c("phase")) if "phase" in activities.columns else F.lit(None).cast("string"),
     )
-    return rows.select(F.lit("activity_note").alias("source_type"), F.col("activity_id").alias("source_id"), "job_id", F.col("notes").alias("raw_text"), text.alias("facts"))
+    return rows.select(F.lit("activity_note").alias("source_type"), F.col("activity_id").alias("source_id"), "job_id", F.col("notes").alias("raw_text"), about.alias("about"), F.lit(None).cast("string").alias("about_single"))
 
 
-def area_chunks(areas: DataFrame, facts: DataFrame) -> DataFrame:
-    rows, c = areas.where(long_enough(F.col("notes"))).join(facts, "job_id"), F.col
+def area_notes(areas: DataFrame) -> DataFrame:
+    rows, c = areas.where(long_enough(F.col("notes"))), F.col
     single = F.concat(F.lit("this note is on the job's single area"), F.coalesce(said(" (room type: ", c("room_type"), ")"), F.lit("")))
-    where = F.coalesce(said('this note is on the "', c("area_name"), '" area'), F.when(c("n_areas") == 1, single).otherwise("this note is on one of the job's areas"))
+    named, many = said('this note is on the "', c("area_name"), '" area'), F.lit("this note is on one of the job's areas")
     room = F.when(c("area_name") != "", said("room type ", c("room_type")))
-    text = joined(c("job_facts"), where, room, said("", c("sq_ft_raw"), " sq ft"), said("area material ", c("material_name")), said("supplier ", c("supplier")))
-    return rows.select(F.lit("area_note").alias("source_type"), F.col("form_id").alias("source_id"), "job_id", F.col("notes").alias("raw_text"), text.alias("facts"))
+    about = lambda where: joined(where, room, said("", c("sq_ft_raw"), " sq ft"), said("area material ", c("material_name")), said("supplier ", c("supplier")))
+    return rows.select(F.lit("area_note").alias("source_type"), F.col("form_id").alias("source_id"), "job_id", F.col("notes").alias("raw_text"), about(F.coalesce(named, many)).alias("about"), F.when(named.isNull(), about(single)).alias("about_single"))
 
 
-def summary_chunks(forms: DataFrame, fields: DataFrame, facts: DataFrame) -> DataFrame:
+def summary_notes(forms: DataFrame, fields: DataFrame) -> DataFrame:
     summary = forms.where(F.col("form_template_name") == "Job Summary").select("form_id", "job_id")
     notes = fields.where((F.col("field_name") == "Notes") & long_enough(F.col("field_value"))).select("form_id", "field_value")
-    text = joined(F.col("job_facts"), F.lit("this note is the job's summary-form notes"))
-    return summary.join(notes, "form_id").join(facts, "job_id").select(F.lit("area_note").alias("source_type"), F.col("form_id").alias("source_id"), "job_id", F.col("field_value").alias("raw_text"), text.alias("facts"))
+    about = F.lit("this note is the job's summary-form notes")
+    return summary.join(notes, "form_id").select(F.lit("area_note").alias("source_type"), F.col("form_id").alias("source_id"), "job_id", F.col("field_value").alias("raw_text"), about.alias("about"), F.lit(None).cast("string").alias("about_single"))
+
+
+def with_facts(notes: DataFrame, facts: DataFrame) -> DataFrame:
+    """Notes (of one source or several) of known jobs as chunks, with the facts of their jobs by one join."""
+    about = F.when(F.col("n_areas") == 1, F.coalesce("about_single", "about")).otherwise(F.col("about"))
+    return notes.join(facts, "job_id").select("source_type", "source_id", "job_id", "raw_text", joined(F.col("job_facts"), about).alias("facts"))
+
+
+def activity_chunks(activities: DataFrame, facts: DataFrame) -> DataFrame:
+    return with_facts(activity_notes(activities), facts)
+
+
+def notes_of(activities: DataFrame, areas: DataFrame, forms: DataFrame, fields: DataFrame) -> DataFrame:
+    """The notes of all three sources."""
+    return activity_notes(activities).unionByName(area_notes(areas)).unionByName(summary_notes(forms, fields))
 
 
 def finished(chunks: DataFrame) -> DataFrame:
@@ -71,9 +87,7 @@ def finished(chunks: DataFrame) -> DataFrame:
 
 
 def build_chunks(jobs: DataFrame, activities: DataFrame, areas: DataFrame, forms: DataFrame, fields: DataFrame) -> DataFrame:
-    facts = job_facts(jobs, areas)
-    parts = [activity_chunks(activities, facts), area_chunks(areas, facts), summary_chunks(forms, fields, facts)]
-    return finished(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return finished(with_facts(notes_of(activities, areas, forms, fields), job_facts(jobs, areas)))
 
 
 def merge_chunks(old: DataFrame, new: DataFrame, keys: tuple = ("source_type", "source_id")) -> DataFrame:

@@ -25,14 +25,14 @@ from skein.streaming import signals
 SQFT_TEXT = ("{} sf", " {}.5 ", "${} sq. ft.", "", "about {}")
 
 
-def _page_texts(d: Domain) -> DataFrame:
+def _page_texts(d: Domain, activities: DataFrame) -> DataFrame:
     c = F.col
     phases = F.when(c("phase").isNotNull(), F.array(F.struct(F.lit(2).alias("seqNum"), F.lit("second").alias("name")), F.struct(F.lit(1).alias("seqNum"), c("phase").alias("name"))))
     activity = F.struct(
         c("activity_id").alias("activityId"), c("type_name").alias("typeName"), c("status_name").alias("statusName"), F.date_format("activity_date", "yyyy-MM-dd'T'HH:mm:ss").alias("date"), c("notes").alias("notes"),
         F.struct(phases.alias("jobPhases")).alias("extra"),
     )
-    lines = d.keyed_activities.groupBy("job_id").agg(F.collect_list(activity).alias("activities"))
+    lines = activities.groupBy("job_id").agg(F.collect_list(activity).alias("activities"))
     field = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
     tick = lambda n: F.when(c("job_id") % n == 0, "1").otherwise("0")
     number = (c("job_id") % 200).cast("string")
@@ -53,10 +53,10 @@ def _page_texts(d: Domain) -> DataFrame:
     return d.jobs.join(lines, "job_id", "left").select(F.to_json(F.struct(F.array(job).alias("jobs"))).alias("value"))
 
 
-def _pages(d: Domain, once: bool = False) -> dict[str, DataFrame]:
-    """once: the parsed pages are written once, for queries that read two of the tables."""
-    pages = ingest.parse_pages(_page_texts(d))
-    return ingest.split_pages(kept(pages, "pages") if once else pages)
+def _pages(d: Domain, once: bool = False, activities: DataFrame | None = None) -> dict[str, DataFrame]:
+    """once: the forms of the parsed pages are written once, for queries that read two of the tables made from them."""
+    pages = ingest.parse_pages(_page_texts(d, activities or d.keyed_activities))
+    return ingest.split_pages(pages, lambda forms: kept(forms, "forms")) if once else ingest.split_pages(pages)
 
 
 @query("SELECT job_id, job_name, account_name, CASE WHEN job_id % 11 <> 0 THEN creation_date END AS creation_date, salesperson, city FROM jobs", "jobs")
@@ -171,14 +171,15 @@ JOB_FACTS = """SELECT j.job_id, process_name, concat_ws('; ', CASE WHEN job_name
 @query(f"SELECT * FROM (WITH f AS ({JOB_FACTS}) {BUILT})", "lines jobs areas")
 def chunk_build_all(d):
     """Chunks of all three sources: activities, areas (named, single, or one of many) and summary forms."""
-    facts, t, c = ch.job_facts(d.jobs, d.job_areas), _pages(d), F.col
+    acts, c = kept(d.keyed_activities, "activities"), F.col
+    t = _pages(d, True, acts)
     even = c("job_id") % 2 == 0
     areas = d.jobs.select(
         "job_id", (c("job_id") * 10 + 1).alias("form_id"), F.when(even, "Main").alias("area_name"), F.lit("Kitchen").alias("room_type"), (c("job_id") % 200).cast("string").alias("sq_ft_raw"), c("process_name").alias("material_name"),
         F.lit(None).cast("string").alias("supplier"), F.concat(F.lit("This area belongs to job "), c("job_id").cast("string"), F.lit(" of "), c("process_name")).alias("notes"),
     )
-    parts = [ch.activity_chunks(d.keyed_activities, facts), ch.area_chunks(areas, facts), ch.summary_chunks(t["job_forms"], t["area_fields"], facts)]
-    return ch.finished(parts[0].unionByName(parts[1]).unionByName(parts[2])).select("source_type", "source_id", "job_id", "text_hash")
+    notes = ch.notes_of(acts, areas, t["job_forms"], t["area_fields"])
+    return ch.finished(ch.with_facts(notes, ch.job_facts(d.jobs, d.job_areas))).select("source_type", "source_id", "job_id", "text_hash")
 
 
 @query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice ELSE 0 END AS price FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,8 +54,11 @@ def phases(extra: Column) -> Column:
     return F.when(F.size(ordered) > 0, F.array_join(F.transform(ordered, lambda p: p["name"]), ", "))
 
 
-def split_pages(pages: DataFrame) -> dict[str, DataFrame]:
-    """The six tables of read_pages(): jobs, job_contacts, activities, job_forms, area_fields and job_summary."""
+def split_pages(pages: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda forms: forms) -> dict[str, DataFrame]:
+    """The six tables of read_pages(): jobs, job_contacts, activities, job_forms, area_fields and job_summary.
+
+    keep: what is done with the forms, which the last three tables are made from, as writing them once.
+    """
     j = F.col("job")
     jobs = pages.select(
         j.jobId.alias("job_id"), j.jobName.alias("job_name"), j.accountId.alias("account_id"), j.accountName.alias("account_name"),
@@ -72,7 +77,7 @@ def split_pages(pages: DataFrame) -> dict[str, DataFrame]:
         a.duration.alias("duration"), a.notes.alias("notes"), F.length(a.notes).alias("note_len"), phases(a.extra).alias("phase"), F.to_json(a).alias("raw"),
     )
     f = F.col("f")
-    forms = pages.select(j.jobId.alias("job_id"), F.posexplode(j.forms).alias("ordinal", "f")).withColumn("form_id", form_id(f.formId, F.col("job_id"), F.col("ordinal")))
+    forms = keep(pages.select(j.jobId.alias("job_id"), F.posexplode(j.forms).alias("ordinal", "f"))).withColumn("form_id", form_id(f.formId, F.col("job_id"), F.col("ordinal")))
     fields = forms.select("form_id", "job_id", F.col("f.formTemplateName").alias("template"), F.posexplode("f.fields").alias("place", "v"))
     job_forms = forms.select(
         "form_id", "job_id", f.formName.alias("form_name"), f.formTemplateName.alias("form_template_name"),

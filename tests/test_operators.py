@@ -203,3 +203,18 @@ def test_gates(spark):
     assert ok(gates.spend(notes, 3.5)) == [True] and ok(gates.spend(notes, 3.0)) == [False]
     assert gates.failed(gates.row_count(child, "n", 9)).count() == 1
     assert ok(gates.coverage(F.col("k") > 0, child, "c")) == [False]
+
+
+def test_chunks_of_three_sources_meet_the_facts_once(spark):
+    """One join to the facts of jobs for notes of all sources, so that facts are computed once."""
+    areas = spark.createDataFrame([(1, 5, "", "Bath", None, "oak", None, "a note of more than twenty-five letters"), (2, 6, "", "Bath", None, "oak", None, "a note of more than twenty-five letters")], "job_id long, form_id long, area_name string, room_type string, sq_ft_raw string, material_name string, supplier string, notes string")
+    acts = spark.createDataFrame([(1, 10, None, "Done", None, "a note of more than twenty-five letters")], "job_id long, activity_id long, type_name string, status_name string, activity_date date, notes string")
+    forms, fields = spark.createDataFrame([(8, 2, "Job Summary")], "form_id long, job_id long, form_template_name string"), spark.createDataFrame([(8, "Notes", "a note of more than twenty-five letters")], "form_id long, field_name string, field_value string")
+    facts = spark.createDataFrame([(1, "Job 1", 1), (2, "Job 2", 2)], "job_id long, job_facts string, n_areas long")
+    out = ch.with_facts(ch.notes_of(acts, areas, forms, fields), facts)
+    assert {r.source_id: r.facts for r in out.collect()} == {
+        5: "Job 1; this note is on the job's single area (room type: Bath); area material oak", 6: "Job 2; this note is on one of the job's areas; area material oak",
+        8: "Job 2; this note is the job's summary-form notes", 10: "Job 1; this note is on an activity; activity status Done; undated",
+    }
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("job_facts") and sum(line.lstrip(" :+-").startswith("Join") for line in plan.splitlines()) == 2
