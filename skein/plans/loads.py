@@ -358,10 +358,16 @@ def _answers_sql(questions: dict[str, str]) -> str:
     return f"SELECT * FROM (WITH {views} " + " UNION ALL ".join(f"SELECT '{n}' AS question, item, CAST(value AS DOUBLE) AS value FROM ({s})" for n, s in questions.items()) + ")"
 
 
+def _named(df: DataFrame, used: str) -> DataFrame:
+    """``df`` with the columns whose names stand in ``used``; with all where there is none or a star that is not that of count(*)."""
+    names = [c for c in df.columns if re.search(rf"\b{re.escape(c)}\b", used, re.I)]
+    return df if not names or "*" in re.sub(r"(?i)count\(\*\)", "", used) else df.select(*names)
+
+
 def _answers(d: Domain, questions: dict[str, str]) -> DataFrame:
-    """All questions over views that are built and written once."""
+    """All questions over views that are built and written once, with the columns that questions name."""
     used = " ".join(questions.values())
-    lane, out = Guard(d.spark, lambda session: {n: kept(df, n) for n, df in _views(session, d.sf_dir).items() if re.search(rf"\b{n}\b", used)}), None
+    lane, out = Guard(d.spark, lambda session: {n: kept(_named(df, used), n) for n, df in _views(session, d.sf_dir).items() if re.search(rf"\b{n}\b", used)}), None
     for name, sql in questions.items():
         one = lane.frame(sql).select(F.lit(name).alias("question"), "item", F.col("value").cast("double").alias("value"))
         out = one if out is None else out.unionByName(one)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skein.operators import retrieval
 from skein.plans import answer as an
+from skein.plans import loads
 from skein.plans.guard import Guard, Rejected, run_structured, unfenced
 
 
@@ -125,3 +126,9 @@ def test_statements_of_one_shape_are_parsed_once(spark, guard, monkeypatch):
     asked.clear()
     many = spark.range(20, 3000).select("id", F.replace(F.element_at(F.array(*map(F.lit, alike)), (F.col("id") % len(alike) + 1).cast("int")), F.lit("{}"), F.col("id").cast("string")).alias("sql"))
     assert guard.verdicts(many).count() == 2980 and len(asked) == len(alike)
+
+
+def test_written_views_have_the_columns_that_questions_name(spark):
+    df = spark.range(1).selectExpr("id AS job_id", "id AS city", "id AS note")
+    assert loads._named(df, "SELECT CITY, count(*) FROM v GROUP BY city; SELECT job_id FROM v").columns == ["job_id", "city"]
+    assert loads._named(df, "SELECT * FROM v WHERE city = 1").columns == loads._named(df, "SELECT count(*) FROM v").columns == df.columns
