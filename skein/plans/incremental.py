@@ -44,9 +44,11 @@ class StatusStore:
 
     def _activities(self, upto: int, touched: DataFrame) -> DataFrame:
         """The activities of the touched jobs after the first deltas: the latest row of each, without those deleted."""
-        own = [r.bucket for r in touched.select(self._bucket()).distinct().collect()]  # at most ``buckets`` numbers
-        log = self.spark.read.schema(f"{COLUMNS}, delta int, bucket int").parquet(self.log_path)
-        rows = log.where((F.col("delta") <= upto) & F.col("bucket").isin(own)).join(touched, "job_id", "left_semi")
+        log = self.spark.read.schema(f"{COLUMNS}, delta int, bucket int").parquet(self.log_path).where(F.col("delta") <= upto)
+        rows = log
+        if upto > 1:  # the first delta's jobs are all touched
+            own = [r.bucket for r in touched.select(self._bucket()).distinct().collect()]  # at most ``buckets`` numbers
+            rows = log.where(F.col("bucket").isin(own)).join(touched, "job_id", "left_semi")
         last = rows.groupBy("job_id", "activity_id").agg(F.max_by(F.struct("type_name", "activity_date", "deleted"), "delta").alias("row"))
         return last.where("not row.deleted").select("job_id", "activity_id", "row.type_name", "row.activity_date")
 
@@ -63,8 +65,12 @@ class StatusStore:
         acts = activities.withColumn("deleted", F.coalesce("deleted", F.lit(False)) if "deleted" in activities.columns else F.lit(False))
         typed = acts.select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in COLUMNS.split(", ")], self._bucket())
         typed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.log_path}/delta={number}")
-        known = self.layer.upsert("status_jobs", jobs.select("job_id", "job_name"), ["job_id"])
-        touched = kept(jobs.select("job_id").union(acts.select("job_id")).distinct(), "touched")
+        given = kept(jobs.select("job_id", "job_name"), "jobs")
+        known = self.layer.read("status_jobs", given.schema)
+        if number == 1 or not given.isEmpty():  # without jobs the table of them stays
+            known = self.layer.upsert("status_jobs", given, ["job_id"])
+        log = self.spark.read.schema(f"{COLUMNS}, delta int, bucket int").parquet(self.log_path).where(F.col("delta") == number)
+        touched = kept(given.select("job_id").union(log.select("job_id")).distinct(), "touched")
         fresh = pipeline_status(known.join(touched, "job_id", "left_semi"), self._activities(number, touched), self.as_of, self.settle_days)
         try:
             old = self.status()
