@@ -2,7 +2,8 @@
 
 Each task writes its rows as lines of JSON in a file of its own and returns, for each label, how many rows and which sums it has seen.
 The driver's commit adds these up, one row for each label and task, and writes the Markdown table and a summary; a report counts only
-once its ``summary.json`` is there. A job that fails leaves neither its files nor a summary. Any file system that Arrow opens by its
+once its ``summary.json`` is there. A task copies its file to the report when it has all rows, and takes it back if the job has ended by
+then; a job that fails leaves neither its files nor a summary. Any file system that Arrow opens by its
 path will do.
 """
 
@@ -12,6 +13,8 @@ import datetime as dt
 import decimal
 import json
 import math
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -47,6 +50,17 @@ class ReportWriter(DataSourceWriter):
         self.job = uuid.uuid4().hex  # made before the writer is sent to the tasks
         if missing := {self.label, *self.metrics} - set(schema.names):
             raise ValueError(f"no columns {sorted(missing)}")
+        system, root = self._open()
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(f"{root}/{self._mark()}"):
+            pass
+
+    def _mark(self) -> str:
+        """A file that is there while the job runs, so that a task which outlives it takes its own file back."""
+        return f"_running-{self.job}"
+
+    def _ended(self, system: fs.FileSystem, root: str) -> bool:
+        return system.get_file_info(f"{root}/{self._mark()}").type == fs.FileType.NotFound
 
     def _open(self) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
@@ -56,21 +70,23 @@ class ReportWriter(DataSourceWriter):
         context = TaskContext.get()
         part = Part(f"detail/{self.job}-{context.partitionId():06d}-{context.taskAttemptId()}.json")
         values: dict = {}
-        system.create_dir(f"{root}/detail", recursive=True)
-        try:
+        with tempfile.TemporaryFile() as own:  # a task that is killed has put nothing into the report
+            for row in iterator:
+                d = row.asDict(True)
+                own.write((json.dumps(d, default=_plain, ensure_ascii=False) + "\n").encode())
+                label = str(d[self.label])
+                part.rows[label] = part.rows.get(label, 0) + 1
+                for m in self.metrics:
+                    if d[m] is not None and not math.isnan(d[m]):
+                        total = values.setdefault((label, m), [0.0, 0])
+                        total[0], total[1] = total[0] + float(d[m]), total[1] + 1
+            own.seek(0)
+            system.create_dir(f"{root}/detail", recursive=True)
             with system.open_output_stream(f"{root}/{part.file}") as out:
-                for row in iterator:
-                    d = row.asDict(True)
-                    out.write((json.dumps(d, default=_plain, ensure_ascii=False) + "\n").encode())
-                    label = str(d[self.label])
-                    part.rows[label] = part.rows.get(label, 0) + 1
-                    for m in self.metrics:
-                        if d[m] is not None and not math.isnan(d[m]):
-                            total = values.setdefault((label, m), [0.0, 0])
-                            total[0], total[1] = total[0] + float(d[m]), total[1] + 1
-        except BaseException:
-            system.delete_file(f"{root}/{part.file}")  # a task that fails never tells the driver of its file
-            raise
+                shutil.copyfileobj(own, out, 1 << 20)
+        if self._ended(system, root):
+            system.delete_file(f"{root}/{part.file}")
+            raise RuntimeError("the job of this report has ended")
         part.sums = values
         return part
 
@@ -92,12 +108,15 @@ class ReportWriter(DataSourceWriter):
         for name, text in (("report.md", "\n".join(lines) + "\n"), ("summary.json", json.dumps(summary, ensure_ascii=False, indent=1))):  # the summary last
             with system.open_output_stream(f"{root}/{name}") as out:
                 out.write(text.encode())
+        system.delete_file(f"{root}/{self._mark()}")
 
     def abort(self, messages: list[Part | None]) -> None:
         system, root = self._open()
-        for m in messages:
-            if m is not None and system.get_file_info(f"{root}/{m.file}").type == fs.FileType.File:
-                system.delete_file(f"{root}/{m.file}")
+        if not self._ended(system, root):
+            system.delete_file(f"{root}/{self._mark()}")
+        for f in system.get_file_info(fs.FileSelector(f"{root}/detail", allow_not_found=True)):  # those of tasks that sent no message too
+            if f.base_name.startswith(self.job):
+                system.delete_file(f.path)
 
 
 class ReportSource(DataSource):

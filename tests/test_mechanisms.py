@@ -9,6 +9,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from skein.operators import chunks as ch
@@ -113,6 +114,31 @@ def test_a_report_that_fails_leaves_nothing(spark, tmp_path):
         report.write_report(spark.range(3).withColumn("lane", F.lit("a")), f"{tmp_path}/q", "lane", metrics="nowhere")
 
 
+def test_a_task_that_is_killed_leaves_nothing(spark, tmp_path):
+    """A task has nothing in the report before it has all its rows, and abort deletes the files of tasks that sent no message."""
+    from pyspark.sql.types import StructType
+
+    schema = StructType().add("lane", "string").add("x", "double")
+    writer = report.ReportWriter(schema, {"path": f"{tmp_path}/r", "label": "lane"})
+
+    def killed():
+        yield Row(lane="a", x=1.0)
+        assert not os.path.exists(f"{tmp_path}/r/detail") or not os.listdir(f"{tmp_path}/r/detail")
+        raise SystemExit
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(report.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda s: 0, "taskAttemptId": lambda s: 7})()))
+        with pytest.raises(SystemExit):
+            writer.write(killed())
+        part = writer.write(iter([Row(lane="a", x=1.0)]))
+        assert os.listdir(f"{tmp_path}/r/detail") == [os.path.basename(part.file)]
+        open(f"{tmp_path}/r/detail/of-another-job.json", "w").close()
+        writer.abort([None, None])
+        with pytest.raises(RuntimeError, match="ended"):
+            writer.write(iter([Row(lane="a", x=1.0)]))
+    assert os.listdir(f"{tmp_path}/r/detail") == ["of-another-job.json"]
+
+
 KINDS = ["Quote", "Measure", "Template", "Install", "Removal", "Invoice"]
 
 
@@ -167,6 +193,16 @@ def test_a_failed_delta_is_not_seen(spark, tmp_path, monkeypatch):
     assert {r.job_id: r.status for r in store.status().collect()} == {1: "moved", 2: "not_quoted"}
 
 
+def test_a_delta_without_jobs_leaves_the_table_of_jobs(spark, tmp_path):
+    layer = sinks.Layer(spark, f"{tmp_path}/layer")
+    store = incremental.StatusStore(layer, buckets=2)
+    jobs = spark.createDataFrame([(1, "a"), (2, "b")], "job_id long, job_name string")
+    store.apply(jobs, spark.createDataFrame([(1, 1, "Quote", dt.date(2000, 12, 20))], ACTIVITY))
+    store.apply(jobs.limit(0), spark.createDataFrame([(2, 2, "Quote", dt.date(2000, 12, 1))], ACTIVITY))
+    assert len(os.listdir(f"{tmp_path}/layer/status_jobs")) == 1 and store.deltas() == 2
+    assert {r.job_id: (r.job_name, r.is_quoted) for r in store.status().collect()} == {1: ("a", True), 2: ("b", True)}
+
+
 def test_stream_equals_batch_after_a_restart(spark, tmp_path):
     r = random.Random(3)
     layer = sinks.Layer(spark, f"{tmp_path}/layer")
