@@ -141,7 +141,7 @@ def _learned(shared, model, passes: int, expected: float, rates: tuple[float, fl
             own = Model(start.units)
             for n, x in start.p.items():
                 own.p[n] = x.copy()
-            _, seen = own.fit((sequence(t, own.units, subwords) for _, t in texts), 0, expected, rates, batch=BATCH, seed=seed, passes=passes)
+            _, seen = own.fit(sequences((t for _, t in texts), Vocabulary(own, subwords)), 0, expected, rates, batch=BATCH, seed=seed, passes=passes)
             task, units = learner % tasks, units + seen
             total = total + np.concatenate([own.p[n].ravel() for n in Model.NAMES]).astype(np.float64) * seen
         if units:
@@ -274,17 +274,38 @@ class Vocabulary:
         self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, flat])
         self.start = np.cumsum(self.size) - self.size
 
+    def spelled(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The units of words given by number, one after another, how many each word has and where they begin."""
+        self.grow()
+        size = self.size[words]
+        at = np.cumsum(size) - size
+        return self.flat[np.arange(size.sum()) + np.repeat(self.start[words] - at, size)], size, at
+
+
+def sequences(texts: Iterable, vocab: Vocabulary, together: int = 150_000) -> Iterator[np.ndarray]:
+    """sequence() of each text, with each different word tokenized once."""
+    texts, some, size = iter(texts), [], 0
+    while True:
+        text = next(texts, None)
+        if text is not None:
+            some.append(vocab.numbers([*words_of(text), END]))
+            size += len(some[-1])
+        if some and (text is None or size > together):
+            seq, n, at = vocab.spelled(np.concatenate(some))
+            last = np.cumsum([len(x) for x in some]) - 1
+            yield from np.split(seq, (at + n)[last[:-1]])
+            some, size = [], 0
+        if text is None:
+            return
+
 
 def score_texts(texts: list[np.ndarray], vocab: Vocabulary, total: int, distinct: int, share: float) -> tuple[np.ndarray, ...]:
     """n_tokens, n_known, base_score and score of texts given as word numbers, each with its end."""
-    vocab.grow()
     n = np.array([len(t) for t in texts])
     first = np.cumsum(n) - n
     words = np.concatenate(texts)
     c = vocab.counted(words)
-    size = vocab.size[words]
-    at = np.cumsum(size) - size
-    seq = vocab.flat[np.arange(size.sum()) + np.repeat(vocab.start[words] - at, size)]
+    seq, size, at = vocab.spelled(words)
     logp, logb = vocab.model.score(seq, np.add.reduceat(size, first))
     # a word is its subwords, given that a word begins, and then that another begins; the end is the last word's other
     after = np.append(logb[at[1:]], 0)

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from cases import corpus, frame
 from skein.llm import attention as A
-from skein.llm.lm_scoring import PIECES, SHARE, TOKENIZER, Subwords, averaged, lm_score, sequence, train
+from skein.llm.lm_scoring import PIECES, SHARE, TOKENIZER, Subwords, Vocabulary, averaged, lm_score, sequence, sequences, train
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -159,3 +159,30 @@ def test_each_training_unit_is_predicted_once_a_pass(model):
         losses, units = A.Model(model.units).fit(texts, 0, batch=4, passes=passes)
         # windows: 1 + 2 + 22
         assert units == 743 and len(losses) == passes * 7
+
+
+def test_a_learner_tokenizes_each_word_once(model, monkeypatch):
+    """The units of texts by their words are those of each text alone, and no word is tokenized again."""
+    texts = [(t or "").encode() for _, t, *_ in corpus(9)] * 3 + [b"", b"again " * 400]
+    subwords, asked = Subwords(TOKENIZER), Counter()
+    want = [sequence(t, model.units, subwords).tolist() for t in texts]
+    ids = subwords.ids
+    monkeypatch.setattr(subwords, "ids", lambda words: asked.update(words) or ids(words))
+    for together in (150_000, 30, 0):
+        asked.clear()
+        got = [x.tolist() for x in sequences(texts, Vocabulary(model, subwords), together)]
+        assert got == want
+        assert asked and max(asked.values()) == 1
+    assert list(sequences([], Vocabulary(model, subwords))) == []
+
+
+def test_a_step_needs_no_new_gradients(model):
+    """Gradients in arrays that an earlier step has filled are those in fresh ones."""
+    r, used = np.random.default_rng(7), {n: np.full_like(v, 3) for n, v in model.p.items()}
+    for valid in (np.ones((4, A.WINDOW), bool), r.random((4, A.WINDOW)) < 0.7):
+        inputs, targets = r.integers(0, model.units.n, (4, A.WINDOW)), r.integers(0, 90, (4, A.WINDOW))
+        loss, fresh = model.step(inputs, targets, valid)
+        again, same = model.step(inputs, targets, valid, used)
+        assert loss == again and same is used
+        for n in fresh:
+            assert np.allclose(fresh[n], used[n], atol=1e-7), n
