@@ -90,7 +90,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD
     each = stash(docs.mapInArrow(_classes(words, bands, rows), "doc_id long, th long, id long, check long, bands binary"), "classes")
     named = each.where("bands is not null")
     classes = stash(named.groupBy("id", "check").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.count("*").alias("weight"), F.first("bands").alias("bands")), "sets")
-    edges = S.bucket_edges(classes.select("id", "bands").mapInArrow(_exploded, "band long, id long"))
+    edges = S.bucket_edges(classes.select("id", "bands"), _exploded, bands * classes.count())
     roots = stash(S.components(edges), "candidates")
     members = roots.groupBy("root").agg(F.count("*").alias("members"))
     chosen = classes.join(roots, "id").select("root", "id", "weight", "rep.*")
