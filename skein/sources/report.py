@@ -82,10 +82,15 @@ class ReportWriter(DataSourceWriter):
                         total[0], total[1] = total[0] + float(d[m]), total[1] + 1
             own.seek(0)
             system.create_dir(f"{root}/detail", recursive=True)
-            with system.open_output_stream(f"{root}/{part.file}") as out:
+            file, early = f"{root}/{part.file}", f"{root}/{part.file}.part"
+            with system.open_output_stream(early) as out:
                 shutil.copyfileobj(own, out, 1 << 20)
+        if not self._ended(system, root):
+            system.move(early, file)
+            early = file
         if self._ended(system, root):
-            system.delete_file(f"{root}/{part.file}")
+            if system.get_file_info(early).type != fs.FileType.NotFound:
+                system.delete_file(early)
             raise RuntimeError("the job of this report has ended")
         part.sums = values
         return part

@@ -139,6 +139,28 @@ def test_a_task_that_is_killed_leaves_nothing(spark, tmp_path):
     assert os.listdir(f"{tmp_path}/r/detail") == ["of-another-job.json"]
 
 
+def test_a_task_that_outlives_its_job_never_shows_a_file(tmp_path):
+    """A job that ends while a task copies its rows: no detail file is there at any time, and none is left."""
+    from pyspark.sql.types import StructType
+
+    writer = report.ReportWriter(StructType().add("lane", "string").add("x", "double"), {"path": f"{tmp_path}/r", "label": "lane"})
+    seen = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(report.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda s: 0, "taskAttemptId": lambda s: 7})()))
+        copy = report.shutil.copyfileobj
+
+        def slow(*args):
+            copy(*args)
+            m.setattr(report.ReportWriter, "_ended", lambda *a: True)
+            seen.extend(os.listdir(f"{tmp_path}/r/detail"))
+
+        m.setattr(report.shutil, "copyfileobj", slow)
+        with pytest.raises(RuntimeError, match="ended"):
+            writer.write(iter([Row(lane="a", x=1.0)]))
+    assert seen and not [f for f in seen if f.endswith(".json")]
+    assert os.listdir(f"{tmp_path}/r/detail") == []
+
+
 KINDS = ["Quote", "Measure", "Template", "Install", "Removal", "Invoice"]
 
 
