@@ -21,6 +21,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def words_joined(text: Column) -> Column:
+    """The same with a blank between, without an array of them."""
+    return F.btrim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
+
+
 def terms(text: Column) -> Column:
     """Array of struct(term, pos): the words to search by with their places among all words; stop words hold a place but are no terms."""
     placed = F.transform(words(text), lambda w, i: F.struct(w.alias("term"), (i + 1).cast("int").alias("pos")))

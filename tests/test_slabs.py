@@ -44,3 +44,22 @@ def test_questions_are_plain_words(spark, tmp_path, name):
     write(list(enumerate(PLAIN)), "item_id long, text string", "benchmark")
     write([(i, [float(i + 1), 1.0], i % 2) for i in range(len(TEXTS))], "vec_id long, embedding array<float>, label int", "embeddings")
     assert oracle.differences(QUERIES[name](spark, str(tmp_path)), oracle.connect(str(tmp_path)), SQL[name]) == []
+
+
+def test_rare_words_first_and_any_word_once(spark, monkeypatch):
+    """Only queries without a chunk that has all their words are asked for any of them, and then in one more pass; a pass is not made for none."""
+    asked, tasks = [], slabs._tasks
+
+    def counted_tasks(chunks, queries, step, *rest):
+        asked.append(sorted(r.query_id for r in queries.collect()))
+        return tasks(chunks, queries, step, *rest)
+
+    monkeypatch.setattr(slabs, "_tasks", counted_tasks)
+    chunks = spark.createDataFrame([(1, "red green blue"), (2, "red red"), (3, "Blue-green"), (4, None)], "chunk_id long, raw_text string")
+    make = lambda *rows: spark.createDataFrame(list(rows), "query_id long, query string")
+    rows = lambda q: sorted((r.query_id, r["rank"], r.chunk_id, r.score) for r in slabs.search(chunks, q, stemmed=False, slab=2).collect())
+    assert rows(make((1, "green blue"), (2, "red yellow"), (3, "the"), (4, None))) == [(1, 1, 1, 0.1), (1, 2, 3, 0.1), (2, 1, 2, 0.2), (2, 2, 1, 0.1)]
+    assert asked == [[1, 2], [2]]
+    asked.clear()
+    assert rows(make((1, "green blue"), (5, "red"))) == [(1, 1, 1, 0.1), (1, 2, 3, 0.1), (5, 1, 2, 0.2), (5, 2, 1, 0.1)]
+    assert asked == [[1, 5]]
