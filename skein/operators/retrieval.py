@@ -222,6 +222,16 @@ def overlap(query: Column, text: Column) -> Column:
     return F.try_divide(F.size(F.array_intersect(of(query), of(text))).cast("double"), F.size(of(query)))
 
 
+def _overlaps(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """overlap() of query and text, both in lower case and as bytes, which split at the same blanks; the text's words are looked up as they come."""
+    for batch in parts:
+        score = []
+        for query, text in zip(batch["query"].to_pylist(), batch["text"].to_pylist(), strict=True):
+            asked = set(query.split())
+            score.append(len(asked.intersection(text.split())) / len(asked) if asked else None)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(score, pa.float64())], names=["query_id", "chunk_id", "was", "score"])
+
+
 def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, n: int = 6, scorer: Callable[[pd.Series, pd.Series], pd.Series] | Callable[[Column, Column], Column] | None = overlap) -> DataFrame:
     """The n best candidates by a scorer of (query, context and text): overlap, an injected model over series, or none, which keeps the candidates as they are ranked.
 
@@ -238,7 +248,9 @@ def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, n: int
                 yield f[["query_id", "chunk_id", "was"]].assign(score=np.asarray(scorer(f["query"], f["text"]), float))
 
     if scorer is overlap:
-        scored = rows.select("query_id", "chunk_id", "was", overlap(F.col("query"), F.col("text")).alias("score"))
+        low = lambda c: F.lower(F.coalesce(c, F.lit(""))).cast("binary").alias(c)
+        kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("query_id", "chunk_id", "was"))
+        scored = rows.select("query_id", "chunk_id", "was", low("query"), low("text")).mapInArrow(_overlaps, f"{kinds}, score double")
     else:
         scored = rows.mapInPandas(run, "query_id bigint, chunk_id bigint, was int, score double")
     scored = scored.withColumn("score", F.coalesce(F.nanvl("score", F.lit(0.0)), F.lit(0.0)))

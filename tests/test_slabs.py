@@ -63,3 +63,17 @@ def test_rare_words_first_and_any_word_once(spark, monkeypatch):
     asked.clear()
     assert rows(make((1, "green blue"), (5, "red"))) == [(1, 1, 1, 0.1), (1, 2, 3, 0.1), (5, 1, 2, 0.2), (5, 2, 1, 0.1)]
     assert asked == [[1, 5]]
+
+
+def test_words_joined_and_overlap_in_arrow(spark):
+    from skein.functions.text import words, words_joined
+
+    texts = ["", None, "  ", "Élan vital—2nd\tTRY\x0bx\x0cy\r\nz", "a b a c İstanbul", "x-y  z", "١٢ กำ q_r"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "chunk_id long, raw_text string")
+    assert [r.a for r in rows.select(words_joined(F.col("raw_text")).alias("a")).collect()] == [r.a for r in rows.select(F.array_join(words(F.col("raw_text")), " ").alias("a")).collect()]
+    queries = spark.createDataFrame([(i, t) for i, t in enumerate(["X Y z élan", None, "a İstanbul b a b", "q_r ١٢"])], "query_id long, query string")
+    pairs = queries.crossJoin(rows)
+    want = sorted((r.query_id, r.chunk_id, r.s) for r in pairs.select("query_id", "chunk_id", F.coalesce(retrieval.overlap(F.col("query"), F.col("raw_text")), F.lit(0.0)).alias("s")).collect())
+    got = retrieval.rerank(pairs.select("query_id", "chunk_id", F.lit(1).alias("rank")), queries, rows, 50)
+    assert sorted((r.query_id, r.chunk_id, r.score) for r in got.collect()) == want and any(0 < s for *_, s in want)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
