@@ -30,7 +30,12 @@ def job_materials(areas: DataFrame) -> DataFrame:
 
 def job_facts(jobs: DataFrame, areas: DataFrame) -> DataFrame:
     """job_id, job_facts (one line of what is known) and n_areas."""
-    j, c = jobs.join(job_materials(areas), "job_id", "left"), F.col
+    return facts_of(jobs, job_materials(areas))
+
+
+def facts_of(jobs: DataFrame, materials: DataFrame) -> DataFrame:
+    """job_facts() from job_materials(), which may have been written."""
+    j, c = jobs.join(materials, "job_id", "left"), F.col
     account = F.when(c("account_name") != F.coalesce(c("job_name"), F.lit("")), c("account_name"))
     name = F.coalesce(said('Job "', c("job_name"), '"'), F.concat(F.lit("Job "), c("job_id").cast("string")))
     facts = joined(

@@ -53,9 +53,9 @@ def _page_texts(d: Domain, activities: DataFrame) -> DataFrame:
     return d.jobs.join(lines, "job_id", "left").select(F.to_json(F.struct(F.array(job).alias("jobs"))).alias("value"))
 
 
-def _pages(d: Domain, once: bool = False, activities: DataFrame | None = None) -> dict[str, DataFrame]:
+def _pages(d: Domain, once: bool = False) -> dict[str, DataFrame]:
     """once: the forms of the parsed pages are written once, for queries that read two of the tables made from them."""
-    pages = ingest.parse_pages(_page_texts(d, activities or d.keyed_activities))
+    pages = ingest.parse_pages(_page_texts(d, d.keyed_activities))
     return ingest.split_pages(pages, lambda forms: kept(forms, "forms")) if once else ingest.split_pages(pages)
 
 
@@ -171,15 +171,17 @@ JOB_FACTS = """SELECT j.job_id, process_name, concat_ws('; ', CASE WHEN job_name
 @query(f"SELECT * FROM (WITH f AS ({JOB_FACTS}) {BUILT})", "lines jobs areas")
 def chunk_build_all(d):
     """Chunks of all three sources: activities, areas (named, single, or one of many) and summary forms."""
-    acts, c = kept(d.keyed_activities, "activities"), F.col
-    t = _pages(d, True, acts)
+    acts, c = d.keyed_activities, F.col
+    t = _pages(d, True)
     even = c("job_id") % 2 == 0
     areas = d.jobs.select(
         "job_id", (c("job_id") * 10 + 1).alias("form_id"), F.when(even, "Main").alias("area_name"), F.lit("Kitchen").alias("room_type"), (c("job_id") % 200).cast("string").alias("sq_ft_raw"), c("process_name").alias("material_name"),
         F.lit(None).cast("string").alias("supplier"), F.concat(F.lit("This area belongs to job "), c("job_id").cast("string"), F.lit(" of "), c("process_name")).alias("notes"),
     )
-    notes = ch.notes_of(acts, areas, t["job_forms"], t["area_fields"])
-    return ch.finished(ch.with_facts(notes, ch.job_facts(d.jobs, d.job_areas))).select("source_type", "source_id", "job_id", "text_hash")
+    other = ch.area_notes(areas).unionByName(ch.summary_notes(t["job_forms"], t["area_fields"]))
+    # lines lie by job once they are numbered, so their notes meet the facts where they are; the materials of both joins are written once
+    facts = ch.facts_of(d.jobs, kept(ch.job_materials(d.job_areas), "materials"))
+    return ch.finished(ch.activity_chunks(acts, facts).unionByName(ch.with_facts(other, facts))).select("source_type", "source_id", "job_id", "text_hash")
 
 
 @query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice ELSE 0 END AS price FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
